@@ -55,7 +55,7 @@ def word_table(extra: bytes = b"") -> np.ndarray:
     return table
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into (first row, rows, bytes, offsets) slices.
 
     Each text is followed by one newline byte; offsets has rows + 1 entries and
@@ -71,7 +71,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     first = 0
     while first < len(column):
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        last = min(max(first + 1, int(np.searchsorted(ends, before + limit, side="right"))), first + most_rows)
         rows = last - first
         joined = b"\n".join([*binary.slice(first, rows).to_pylist(), b""])
         offsets = np.zeros(rows + 1, dtype=np.int64)
