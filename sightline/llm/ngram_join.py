@@ -78,7 +78,7 @@ def _sketch(batch: pa.RecordBatch, size: int, bands: int, rows: int) -> Iterator
 def _sets(batch: pa.RecordBatch, size: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
     """The sorted distinct shingles of the texts that may be wanted."""
     table = word_table()
-    for _, _, raw, offsets in text_slices(batch.column("text")):
+    for at, _, raw, offsets in text_slices(batch.column("text")):
         _, _, _, words, first = words_of(raw, offsets, table)
         shingles, begins = shingles_of(words, first, size)
         h1, _ = _contents(words, first)
@@ -86,8 +86,8 @@ def _sets(batch: pa.RecordBatch, size: int, wanted: Bloom) -> Iterator[pa.Record
         if len(picked):
             sets = [np.unique(shingles[begins[k] : begins[k + 1]]) for k in picked]
             yield pa.RecordBatch.from_arrays(
-                [as_long(h1[picked]), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())],
-                names=["node", "n_shingles", "shingles"],
+                [batch.column("doc_id").take(pa.array(picked + at)), as_long(h1[picked]), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())],
+                names=["doc_id", "node", "n_shingles", "shingles"],
             )
 
 
@@ -189,11 +189,12 @@ def ngram_groups(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, reca
     met = band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     stars = band.join(met.select("key", "low"), "key").where("node <> low")
     candidates = components(stars.select(F.col("node").alias("a"), F.col("low").alias("b")), spark)
-    candidates = written(candidates.join(classes.select(F.col("h1").alias("node"), F.col("n_copies").alias("copies")), "node"))
+    candidates = written(candidates.join(classes.select(F.col("h1").alias("node"), "copy_id", F.col("n_copies").alias("copies")), "node"))
 
     wanted = Bloom.of(candidates, "node")
-    sets = texts.mapInArrow(each_text(_sets, size, wanted), "node long, n_shingles long, shingles binary")
-    sets = sets.join(candidates, "node").dropDuplicates(["node"])
+    sets = texts.mapInArrow(each_text(_sets, size, wanted), "doc_id long, node long, n_shingles long, shingles binary")
+    # one copy of each class is compared; joined on both keys, so that a class of many copies is dealt out
+    sets = sets.withColumnRenamed("node", "h").join(candidates, (F.col("h") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("copy_id"))).dropDuplicates(["node", "doc_id"])
     sets = written(sets.select("node", "root", "copies", "n_shingles", "shingles"))
     weight = F.greatest("n_shingles", F.lit(block // ROWS_IN_BLOCK))
     dealt = by_block(sets, "root", F.col("node"), weight, block)

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language, line_dedup, ngram_join, quality, toxicity
+from . import decontaminate, embedding_dedup, language, language_model, line_dedup, mixing, ngram_join, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its weight, calibrated probability and whether it is drawn."""
+    drawn = mixing.mixed(table(spark, sf_dir, "documents"), power=0.5, fraction=0.5)
+    return drawn.selectExpr("doc_id", "source", "lang", "topic", "n_tokens", "round(weight, 6) AS weight", "round(chance, 6) AS chance", "drawn")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
 
@@ -29,23 +35,43 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: class_id, its number of links and whether it stays."""
     found = ngram_join.ngram_groups(table(spark, sf_dir, "documents"), size=5, threshold=0.8, recall=0.99)
     return found.selectExpr("doc_id", "class_id", "copy_id", "n_copies", "n_links", "doc_id = class_id AS kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("row_key", "found")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each benchmark passage stands in documents."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), q=12, edits=0.07)
+    return found.drop("row_key")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_pii": op8_pii,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.oracle("documents", power=0.5, fraction=0.5),
+}
