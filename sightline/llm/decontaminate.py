@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import each_text
-from .textkit import BASE, MIX_2, U64, fold_case, qgrams8, text_slices, word_table
+from .textkit import BASE, MIX_2, U64, fold, qgrams8, text_slices, word_table
 
 #: Bits of the table that tells which q-grams can occur at all.
 FILTER_BITS = 22
@@ -23,7 +23,7 @@ def normalise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     The newline that ends each text in a slice stays, so texts do not run together.
     """
-    folded = word_table()[fold_case(raw)]
+    folded = fold(raw, word_table())
     folded[folded == 0] = 32
     folded[raw == 10] = 32
     keep = np.ones(len(folded), dtype=bool)

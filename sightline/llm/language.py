@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import each_text
-from .textkit import BASE, U64, fold_case, qgrams8, text_slices
+from .textkit import BASE, U64, fold, qgrams8, text_slices
 from .training import in_fold
 
 
@@ -30,18 +30,18 @@ class Centroids:
 
 
 def _letters() -> np.ndarray:
-    """Byte to itself if it can be part of a letter, else to a blank."""
+    """Byte to itself, lower-cased, if it can be part of a letter, else to a blank."""
     table = np.full(256, 32, dtype=np.uint8)
     for b in range(256):
         if b >= 128 or chr(b).isalpha():
-            table[b] = b
+            table[b] = ord(chr(b).lower()) if b < 128 else b
     return table
 
 
 def term_counts(raw: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     """Counts of hashed 2-, 3- and 4-byte n-grams of the letters of each text, one row for each."""
     n = len(offsets) - 1
-    folded = _letters()[fold_case(raw)]
+    folded = fold(raw, _letters())
     # runs of blanks become one, so that layout does not count
     keep = np.ones(len(folded), dtype=bool)
     keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)

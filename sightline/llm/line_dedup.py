@@ -10,14 +10,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Bloom, Forest, by_block, components, each_text, grouped, written
+from .cluster import Bloom, by_block, components, each_text, grouped, written
 from .textkit import MIX_1, U64, as_long, mix64, sums_by_text, text_slices, word_table, words_of
 
 #: Sims that share one key before keys get longer.
 SIMS_A_KEY = 64
+#: A line counts once for every so many bytes against the size of a block.
+BYTES_A_LINE = 1024
 
 
-def _lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def simhash(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each run of words the bits that more than half of its hashes have.
+
+    Four bits at a time are counted in the 16-bit lanes of one integer; runs too
+    long for that are counted bit by bit.
+    """
+    size = np.diff(begin)
+    out = np.zeros(len(size), dtype=U64)
+    if not len(size):
+        return out
+    lanes = np.array([sum((v >> k & 1) << 16 * k for k in range(4)) for v in range(16)], dtype=U64)
+    for part in range(16):
+        votes = np.add.reduceat(lanes[((words >> U64(4 * part)) & U64(15)).astype(np.int64)], begin[:-1])
+        for k in range(4):
+            more = 2 * ((votes >> U64(16 * k)) & U64(0xFFFF)).astype(np.int64) > size
+            out |= more.astype(U64) << U64(4 * part + k)
+    for run in np.flatnonzero(size > 0xFFFF):
+        own = words[begin[run] : begin[run + 1]]
+        out[run] = sum(int(2 * int(((own >> U64(k)) & U64(1)).sum()) > size[run]) << k for k in range(64))
+    return out
+
+
+def _lines(raw: np.ndarray, offsets: np.ndarray, least: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
     """Lines of `least` words or more: folded bytes, first and last byte, text, number in it, hash and SimHash."""
     folded, starts, ends, words, first = words_of(raw, offsets, word_table())
     breaks = np.cumsum(raw == 10)
@@ -31,11 +55,7 @@ def _lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     owner = doc[begin[long]] if len(long) else np.zeros(0, dtype=np.int64)
     number = line[begin[long]] - np.concatenate([[0], breaks[offsets[1:-1] - 1], [0]])[owner] if len(long) else np.zeros(0, dtype=np.int64)
-    sims = np.zeros(len(long), dtype=U64)
-    if len(long):
-        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, begin[:-1], axis=0, dtype=np.int32)[long]
-        sims = np.packbits(2 * votes > np.diff(begin)[long][:, None], axis=1).view(U64).ravel()
+    sims = simhash(words, begin)[long] if hashed else np.zeros(len(long), dtype=U64)
     return folded, starts[begin[long]] if len(long) else long, ends[begin[long + 1] - 1] if len(long) else long, owner, number, content[long], sims
 
 
@@ -52,7 +72,7 @@ def _occurrences(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
 def _wanted_texts(batch: pa.RecordBatch, least: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
     """The words of the lines that may be wanted, with single blanks between."""
     for _, _, raw, offsets in text_slices(batch.column("text")):
-        folded, a, b, _, _, content, _ = _lines(raw, offsets, least)
+        folded, a, b, _, _, content, _ = _lines(raw, offsets, least, hashed=False)
         picked = np.flatnonzero(wanted.has(content))
         _, once = np.unique(content[picked], return_index=True)
         picked = picked[once]
@@ -189,18 +209,22 @@ def _verify(group: pa.Table, distance: int, least: float) -> Iterator[pa.RecordB
     node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
     sim = group.column("sim").to_numpy().view(U64)
     low, high = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-    texts = [t.decode("utf-8", "replace") for t in group.column("words").to_pylist()]
+    words = group.column("words")
+    text = lambda k: words[k].as_py().decode("utf-8", "replace")
     left = np.flatnonzero(part == low)
     right = left if low == high else np.flatnonzero(part == high)
-    forest = Forest(len(node))
+    label = np.arange(len(node))
     for i in left:
-        for j in right[np.bitwise_count(sim[right] ^ sim[i]) <= distance]:
-            if (i < j or low != high) and forest.root(int(i)) != forest.root(int(j)) and similar(texts[i], texts[j], least):
-                forest.join(int(i), int(j))
-    up = np.array([forest.root(k) for k in range(len(node))])
-    some = np.flatnonzero(up != np.arange(len(node)))
+        near = right[(np.bitwise_count(sim[right] ^ sim[i]) <= distance) & (label[right] != label[i])]
+        while len(near):
+            j, near = near[0], near[1:]
+            if similar(text(int(i)), text(int(j)), least):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label[label == old] = new
+                near = near[label[near] != new]
+    some = np.flatnonzero(label != np.arange(len(node)))
     if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[up[some]])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -208,7 +232,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 512) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768) -> DataFrame:
     """The lines to drop: (doc_id, row_key, line, kept_doc, kept_line).
 
     Lines are what newlines part. Lines of at least `least_words` words are
@@ -242,7 +266,8 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     wanted = Bloom.of(candidates, "node")
     texts = keyed.select("text").mapInArrow(each_text(_wanted_texts, least_words, wanted), "node long, words binary")
     texts = texts.join(candidates, "node").dropDuplicates(["node"])
-    met = by_block(texts, "root", F.col("node"), F.lit(1), block)
+    # a group of near lines stays whole up to `block` lines of BYTES_A_LINE, which one task can hold
+    met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
 
     def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _verify(group, distance, similarity)

@@ -80,15 +80,13 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES, most_rows: int = 1 <
         first = last
 
 
-def fold_case(raw: np.ndarray) -> np.ndarray:
-    """Lower-case ASCII and the two-byte Latin-1 capitals, keeping every byte's place."""
-    out = raw.copy()
-    upper = (raw >= 65) & (raw <= 90)
-    out[upper] += 32
-    if len(raw) > 1 and (raw == 0xC3).any():
-        latin = np.zeros(len(raw), dtype=bool)
-        latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[latin] += 32
+def fold(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's byte for each byte, with the two-byte Latin-1 capitals lower-cased; every byte keeps its place."""
+    out = table[raw]
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    if len(after):
+        b = raw[after]
+        out[after[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]] += 32
     return out
 
 
@@ -111,7 +109,7 @@ def hash_spans(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a slice: folded bytes, starts, ends, hashes, and for each text the first word's index."""
-    folded = table[fold_case(raw)]
+    folded = fold(raw, table)
     starts, ends = find_words(folded)
     return folded, starts, ends, hash_spans(folded, starts, ends), np.searchsorted(starts, offsets)
 
