@@ -1,0 +1,268 @@
+"""Each operator on small tables: against brute force, on held-out labels, and on odd rows."""
+
+import itertools
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from sightline.llm import cluster, decontaminate, embedding_dedup, language, language_model, line_dedup, mixing, ngram_join, pii, quality, queries, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, more=""):
+    """A documents table with a clashing extra column."""
+    rows = [(k, t, ["en", "de", None][k % 3], f"s{k % 2}", len(t or ""), 1) for k, t in texts]
+    return spark.createDataFrame(rows, DOC_SCHEMA + ", score int")
+
+
+def prose(rng, n, words=300):
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(words)]
+    return " ".join(rng.choice(pool) for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "x"), (5, "###"), (None, "a null id"), (6, "same text twice here now"), (6, "same text twice here now"), (7, "word " * 60_000)]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+
+
+def groups_of(n, links):
+    forest = cluster.Forest(n)
+    for a, b in links:
+        forest.join(a, b)
+    return [forest.root(k) for k in range(n)]
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(k, k + 1) for k in range(100, 140)]
+    got = {r["node"]: r["root"] for r in cluster.components(spark.createDataFrame(links, "a long, b long"), spark).collect()}
+    want = groups_of(141, links)
+    assert got == {k: want[k] for k in {x for a, b in links if a != b for x in (a, b)}}
+    assert cluster.components(spark.createDataFrame([], "a long, b long"), spark).count() == 0
+
+
+def near_texts():
+    rng = random.Random(2)
+    texts = []
+    for g in range(6):
+        base = prose(rng, 120).split()
+        for v in range(rng.randint(1, 12)):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = prose(rng, 1)
+            texts.append(" ".join(words))
+    texts += [texts[0].upper() + "!", texts[0], "one two", "One, two.", "one", "", "***"]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [400_000, 600])
+def test_ngram_join_is_brute_force(spark, block):
+    texts = near_texts()
+    got = {r["doc_id"]: r for r in ngram_join.ngram_groups(frame(spark, texts), recall=0.9999, block=block).collect()}
+    sets = []
+    for _, t in texts:
+        w = WORDS.findall(t.lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    degree = [sum(k in link for link in links) for k in range(len(sets))]
+    assert [got[k]["n_links"] for k in range(len(sets))] == degree
+    assert [got[k]["class_id"] for k in range(len(sets))] == groups_of(len(sets), links)
+    kept = [r["doc_id"] for r in ngram_join.deduplicate(frame(spark, texts), recall=0.9999).select("doc_id").collect()]
+    assert sorted(kept) == sorted(k for k, root in enumerate(groups_of(len(sets), links)) if k == root)
+
+
+def test_line_dedup_is_brute_force(spark):
+    rng = random.Random(3)
+    lines = [prose(rng, rng.randint(30, 60)) for _ in range(12)]
+    # a changed ending keeps the words' hashes nearly as they were
+    lines += [" ".join([*x.split()[:-1], x.split()[-1] + "s"]) for x in lines[:6]] + ["the end", "The END."]
+    texts = [(k, "\n".join(rng.choice([x, x.upper() + "."]) for x in rng.choices(lines, k=rng.randint(1, 8))) + ("\n" if k % 3 else "")) for k in range(25)]
+    got = {r["doc_id"]: r for r in line_dedup.report(frame(spark, texts)).collect()}
+    seen = []
+    for k, t in texts:
+        for number, line in enumerate(t.split("\n")):
+            words = WORDS.findall(line.lower())
+            if len(words) >= 5:
+                raw = np.frombuffer(line.encode() + b"\n", dtype=np.uint8)
+                sim = int(line_dedup._lines(raw, np.array([0, len(raw)]), 5)[-1][0])
+                seen.append((k, number, " ".join(words), sim))
+    links = [(a, b) for a, b in itertools.combinations(range(len(seen)), 2) if (seen[a][3] ^ seen[b][3]).bit_count() <= 3 and line_dedup.similar(seen[a][2], seen[b][2], 0.9)]
+    dropped = {(seen[k][0], seen[k][1]): seen[root][0] for k, root in enumerate(groups_of(len(seen), links)) if k != root}
+    assert {(d, line): kept for d, r in got.items() for line, kept in zip(r["dropped_lines"], r["kept_in"])} == dropped
+    assert all(got[k]["n_lines"] == t.count("\n") + 1 for k, t in texts)
+    left = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(frame(spark, texts)).collect()}
+    for k, t in texts:
+        keep = "\n".join(x for number, x in enumerate(t.split("\n")) if (k, number) not in dropped)
+        assert (left[k]["text"], left[k]["n_chars"]) == (keep, len(keep)) if keep.strip() else k not in left
+
+
+def test_decontamination_finds_edited_passages(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, rng.randint(15, 60)).capitalize() + ".") for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
+    texts, want = [], set()
+    for k in range(60):
+        parts = [prose(rng, 80)]
+        if k % 2:
+            item_id, passage = rng.choice(items[:12])
+            chars = list(passage)
+            m = len(" ".join(WORDS.findall(passage.lower())))
+            for _ in range(rng.randint(0, decontaminate.budget(m, 12, 0.07)[0] // 2)):
+                chars[rng.randrange(2, len(chars) - 2)] = rng.choice("xyz")
+            parts += ["".join(chars), prose(rng, 40)]
+            want.add((k, item_id))
+        texts.append((k, " ".join(parts)))
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (8 << 20, 400):
+        found = decontaminate.contaminated(docs, bench, most_bytes=most).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == want
+        assert len({tuple(r) for r in found}) == len(found)
+    for r in found:
+        clean = " ".join(WORDS.findall(dict(texts)[r["doc_id"]][r["start"] : r["end"]].lower()))
+        assert abs(len(clean) - len(" ".join(WORDS.findall(dict(items)[r["item_id"]].lower())))) <= r["edits"]
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()} == {k for k, _ in texts} - {k for k, _ in want}
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_near_vectors_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        centre = rng.normal(size=8)
+        for _ in range(rng.integers(1, 9)):
+            rows.append((len(rows), [float(v) for v in np.float32(centre + 0.08 * rng.normal(size=8))], g % 3))
+    rows += [(len(rows) + k, list(rows[k][1]), rows[k][2]) for k in (0, 0, 5)]
+    odd = [(None, 0), ([], 0), ([0.0] * 8, 0), ([None] + [1.0] * 7, 1), ([float("nan")] + [1.0] * 7, 1), ([float("inf")] + [1.0] * 7, 1), (list(rows[0][1]), None), ([1.0, 2.0], 0)]
+    rows += [(len(rows) + k, v, label) for k, (v, label) in enumerate(odd)]
+    good = [v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v) and label is not None for _, v, label in rows]
+    unit = {k: np.float64(v) / np.linalg.norm(np.float64(v)) for k, v, _ in rows if good[k]}
+    links = [(a, b) for a, b in itertools.combinations(sorted(unit), 2) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
+    want = groups_of(len(rows), links)
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, node string")
+    for parameters in ({}, {"target": 15, "block": 10}):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(vectors, **parameters).collect()}
+        assert [got[k]["n_links"] for k in range(len(rows))] == [sum(k in link for link in links) for k in range(len(rows))]
+        assert [got[k]["component_id"] for k in range(len(rows))] == want
+        assert all(got[k]["kept"] == (want[k] == k) for k in got)
+    assert embedding_dedup.near_vectors(vectors.limit(0)).count() == 0
+
+
+def test_lm_base_scores_are_exact_and_the_model_is_better(spark, small):
+    docs, _ = small
+    docs = docs.unionByName(frame(spark, ODD).select(docs.columns))
+    rows = docs.select("doc_id", "text").collect()
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0
+    counts = {}
+    for r in rows:
+        for w in tokens(r["text"]) if not held(r["doc_id"]) else ():
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    want = sorted((str(r["doc_id"]), held(r["doc_id"]), len(tokens(r["text"])), sum(w in counts for w in tokens(r["text"])), round(sum(np.log10((counts.get(w, 0) + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in tokens(r["text"])), 4)) for r in rows)
+    for most in (1 << 18, 500):
+        got = language_model.scored(docs, most_known=most).collect()
+        assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == want
+        assert {r["train_tokens"] for r in got} == {total}
+        assert sum(r["score"] - r["base_score"] for r in got if r["held_out"]) > 0
+    assert language_model.scored(docs.limit(0)).count() == 0
+    assert language_model.scored(docs.where(~docs.doc_id.isNull() & (docs.doc_id < 0))).count() == 0
+
+
+def test_classifiers_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = {r["doc_id"]: r for r in docs.join(labels, "doc_id", "left").collect()}
+    for got, label, least in ((toxicity.scored(docs, labels), "toxic", 0.9), (quality.scored(docs, labels), "quality", 0.97)):
+        rows = got.collect()
+        assert len(rows) == len(truth) and all(0 <= r["score"] <= 1 for r in rows)
+        test = [r for r in rows if r["held_out"] and truth[r["doc_id"]][label] is not None]
+        assert np.mean([r["predicted"] == truth[r["doc_id"]][label] for r in test]) >= least
+    rows = language.predicted(docs).collect()
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]]["lang"] for r in rows if r["held_out"]]) >= 0.97
+
+
+def test_offending_sentences_are_located(spark):
+    rng = random.Random(6)
+    texts, labels = [], []
+    for k in range(600):
+        sentences = [prose(random.Random(99), 0) or prose(rng, 8, 40) for _ in range(5)]
+        toxic = k % 4 == 0
+        if toxic:
+            sentences[rng.randrange(5)] += " é vilename"
+        texts.append((k, "ü. " + ". ".join(sentences) + "."))
+        labels.append((k, 1, int(toxic)))
+    docs = frame(spark, texts)
+    got = toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for r in got:
+        spans = [dict(texts)[r["doc_id"]][s["start"] : s["end"]] for s in r["offending"]]
+        assert len(spans) == labels[r["doc_id"]][2] and all("vilename." in s and s.count(".") == 1 for s in spans)
+    assert [toxicity.without_toxic(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count()] == [450]
+
+
+def test_odd_rows_and_empty_tables(spark):
+    docs = frame(spark, ODD)
+    labels = spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 1, 1), (6, 0, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "same text twice here now")], "item_id long, text string")
+    n = len(ODD)
+    for d in (docs, docs.limit(0)):
+        m = n if d is docs else 0
+        for lab in (labels, labels.limit(0)):
+            assert toxicity.scored(d, lab).count() == m
+            assert quality.scored(d, lab).count() == m
+        assert language.predicted(d).count() == m
+        assert pii.personal_data(d).count() == m
+        assert pii.redacted(d).columns == d.columns
+        assert mixing.mixed(d).count() == m
+        assert mixing.sampled(d).columns == d.columns
+        assert ngram_join.ngram_groups(d).count() == max(0, m - 1)
+        assert ngram_join.deduplicate(d).count() == max(0, m - 1)
+        assert line_dedup.report(d).count() == max(0, m - 1)
+        assert line_dedup.without_repeated_lines(d).count() == m
+        assert decontaminate.contaminated(d, bench).count() == (2 if m else 0)
+        assert decontaminate.without_contaminated(d, bench).count() == max(0, m - 2)
+        assert toxicity.without_toxic(d, labels).columns == d.columns
+    und = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs).collect()}
+    assert all(und[k] == "und" for k in (1, 2, 3, 5)) and und[4] != "und"
+
+
+def test_personal_data_query(spark):
+    texts = [(1, "a@b.example.com at 10.1.2.3"), (2, "joe (at) mail (dot) com"), (3, None)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    assert got[1]["spans"] == "email:0:15,ip:19:27" and got[1]["n_email"] == got[1]["n_ip"] == 1
+    assert got[2]["spans"] == "email:0:23" and got[2]["n_email"] == 0 and got[2]["n_added"] == 1
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert got[3]["spans"] == "" and got[2]["base_sha256"] == got[3]["base_sha256"] == empty
+    assert [r["text"] for r in pii.redacted(frame(spark, texts)).orderBy("doc_id").collect()] == ["<EMAIL> at <IP>", "<EMAIL>", None]
+
+
+def test_mixing_matches_sql_and_its_distributed_form(spark, small):
+    docs, _ = small
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op1_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.op1_mixing(spark, SMALL).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all()
+    apart = mixing.mixed(docs, most_cells=0).toPandas().set_index("doc_id")["chance"]
+    assert np.allclose(apart.loc[got["doc_id"]], mixing.mixed(docs).toPandas().set_index("doc_id")["chance"].loc[got["doc_id"]], atol=1e-6)
+
+
+def test_pipeline_runs_and_keeps_the_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = docs.count()
+    for name, stage in pipeline.STAGES:
+        docs = cluster.written(stage(spark, docs, SMALL))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert 0 < docs.count() <= before
+        before = docs.count()
+    assert pipeline.run(spark, SMALL).count() == before
