@@ -132,17 +132,48 @@ class Forest:
         return True
 
 
-def components(links: DataFrame, spark: SparkSession) -> DataFrame:
+#: Links that one task takes whole; it holds two numbers for each.
+MOST_ALONE = 1_000_000
+
+
+def smallest_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row connected with each of n rows, by repeated minima."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        was = root.copy()
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        root = root[root]
+        if (root == was).all():
+            return root
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if held:
+        nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        at = at.reshape(2, -1)
+        root = nodes[smallest_roots(len(nodes), at[0], at[1])]
+        for k in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 100_000]), pa.array(root[k : k + 100_000])], names=["node", "root"])
+
+
+def components(links: DataFrame, spark: SparkSession, most_alone: int = MOST_ALONE) -> DataFrame:
     """(node, root) for every node of links(a, b), root the smallest node of its group.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until
-    the links stand still; each round is written to the shared folder.
+    Up to most_alone links, by their count, one task joins them. Beyond, the
+    large-star and small-star steps of Kiveris et al. (2014) alternate until the
+    links stand still; each round is written to the shared folder. Both give the
+    same rows.
     """
     now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if now.count() <= most_alone:
+        return now.coalesce(1).mapInArrow(_alone, "node long, root long")
     was = None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
-        if mark[0] == 0 or tuple(mark) == was:
+        if tuple(mark) == was:
             break
         was = tuple(mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

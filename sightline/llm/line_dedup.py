@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Bloom, by_block, components, each_text, grouped, written
+from .cluster import Bloom, by_block, components, each_text, grouped, smallest_roots, written
 from .textkit import MIX_1, U64, as_long, mix64, sums_by_text, text_slices, word_table, words_of
 
 #: Sims that share one key before keys get longer.
@@ -119,19 +119,6 @@ def _near(key: np.ndarray, sim: np.ndarray, distance: int) -> tuple[np.ndarray,
     return np.concatenate([np.zeros(0, dtype=np.int64), *left]), np.concatenate([np.zeros(0, dtype=np.int64), *right])
 
 
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest row connected with each of n rows, by repeated minima."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        was = root.copy()
-        np.minimum.at(root, left, low)
-        np.minimum.at(root, right, low)
-        root = root[root]
-        if (root == was).all():
-            return root
-
-
 def _sim_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """A forest of the near sims of each key, from rows sorted by (at, lo, hi); a run goes on into the next batch."""
     rest = np.zeros((2, 0), dtype=np.int64)
@@ -146,7 +133,7 @@ def _sim_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.
         rest = rest[:, stop:]
         left, right = _near(key, sim.view(U64) if len(sim) else sim.astype(U64), distance)
         if len(left):
-            root = _roots(len(key), left, right)
+            root = smallest_roots(len(key), left, right)
             some = np.flatnonzero(root != np.arange(len(key)))
             pairs = np.unique(np.stack([sim[some], sim[root[some]]], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]

@@ -147,7 +147,7 @@ def test_forest_and_roots_agree():
     forest = cluster.Forest(60)
     for a, b in zip(left, right):
         forest.join(int(a), int(b))
-    assert line_dedup._roots(60, left, right).tolist() == [forest.root(k) for k in range(60)]
+    assert cluster.smallest_roots(60, left, right).tolist() == [forest.root(k) for k in range(60)]
 
 
 def test_trees_flat_traversal_learns_a_rule():
