@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.assignment import associate, associate_locked
+from ..plans.grouping import grouped_map
 
 
 def _matrix(pdf: pd.DataFrame, row: str, column: str, cost: str, missing: float) -> tuple[list, list, np.ndarray]:
@@ -39,4 +40,4 @@ def assigned(pairs: DataFrame, keys: list[str], row: str, column: str, cost: str
 
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, row, column]) + f", `{cost}` double"
-    return pairs.groupBy(*keys).applyInPandas(one, schema)
+    return grouped_map(pairs, keys, one, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import TrackError, require
 from ..functions import boxes, vectors
 from ..functions.costs import FORBIDDEN
+from ..plans.grouping import grouped_map
 from .retrieval import small
 
 INSTANT = ["group_id", "instant"]
@@ -171,7 +172,7 @@ def clusters(observations: DataFrame, homographies: DataFrame | None = None, *,
 
     kinds = dict(observations.dtypes)
     schema = f"group_id {kinds['group_id']}, instant {kinds['instant']}, camera_id string, track_id long, cluster int"
-    return near.unionByName(alone).groupBy(*INSTANT).applyInPandas(one, schema)
+    return grouped_map(near.unionByName(alone), INSTANT, one, schema)
 
 
 # state over instants

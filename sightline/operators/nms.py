@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.arrays import iou as iou_matrix
 from ..functions.boxes import Box, iou
+from ..plans.grouping import grouped_map
 
 METHODS = ["none", "classic", "linear", "gauss", "neighborhood"]
 
@@ -87,7 +88,7 @@ def suppress(df: DataFrame, keys: list[str], row: str, *, iou_threshold: float,
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             return _soft(pdf, row, iou_threshold, method, sigma, score_threshold)[[*keys, row, "score", "x1", "y1", "x2", "y2"]]
 
-        out = slim.groupBy(*keys).applyInPandas(one, schema).select(*keys, row, "score").withColumn("rank", F.row_number().over(order))
+        out = grouped_map(slim, keys, one, schema).select(*keys, row, "score").withColumn("rank", F.row_number().over(order))
     else:
         items = _sorted_items(slim, keys, row, score_threshold)
         kept = items.withColumn("kept", _classic(F.col("items"), iou_threshold))
