@@ -52,7 +52,7 @@ SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:{_WORD}|[0-9]+)(?:[ ,-]{{1,2}}(?
 SPELLED_HINT = re.compile(rf"(?<!\w){_WORD}[ ,-]{{1,2}}{_WORD}[ ,-]{{1,2}}(?:{_WORD}|[0-9])", re.I)
 SPELLED_PART = re.compile(rf"plus[ -]+|{_WORD}|[ ,-]{{2}}|,", re.I)
 TYPED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolISB]+(?:[ .-][0-9OolISB]+)*(?![A-Za-z0-9])")
-TYPED_HINT = re.compile(r"[0-9][ .-]?[OolISB]{1,2}[ .-]?[0-9]")
+TYPED_HINT = re.compile(r"[0-9][OolISB]|[OolISB][ .-]?[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -148,7 +148,7 @@ def spelled_digits(r: Rewritten) -> None:
         for run in TYPED.finditer(r.text):
             digits = sum(c.isdigit() for c in run[0])
             letters = sum(c in LETTER_DIGITS for c in run[0])
-            if letters and digits >= 7 and digits >= 2 * letters:
+            if letters and digits >= 7 and digits >= letters:
                 spans += [(run.start() + k, run.start() + k + 1, LETTER_DIGITS[c]) for k, c in enumerate(run[0]) if c in LETTER_DIGITS]
         r.replace(spans)
 

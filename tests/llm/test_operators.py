@@ -18,7 +18,7 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 def frame(spark, texts, more=""):
     """A documents table with a clashing extra column."""
-    rows = [(k, t, ["en", "de", None][k % 3], f"s{k % 2}", len(t or ""), 1) for k, t in texts]
+    rows = [(k, t, ["en", "de", None][(k or 0) % 3], f"s{(k or 0) % 2}", len(t or ""), 1) for k, t in texts]
     return spark.createDataFrame(rows, DOC_SCHEMA + ", score int")
 
 
@@ -142,7 +142,7 @@ def test_near_vectors_is_brute_force(spark):
         centre = rng.normal(size=8)
         for _ in range(rng.integers(1, 9)):
             rows.append((len(rows), [float(v) for v in np.float32(centre + 0.08 * rng.normal(size=8))], g % 3))
-    rows += [(len(rows) + k, list(rows[k][1]), rows[k][2]) for k in (0, 0, 5)]
+    rows += [(len(rows) + n, list(rows[k][1]), rows[k][2]) for n, k in enumerate((0, 0, 5))]
     odd = [(None, 0), ([], 0), ([0.0] * 8, 0), ([None] + [1.0] * 7, 1), ([float("nan")] + [1.0] * 7, 1), ([float("inf")] + [1.0] * 7, 1), (list(rows[0][1]), None), ([1.0, 2.0], 0)]
     rows += [(len(rows) + k, v, label) for k, (v, label) in enumerate(odd)]
     good = [v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v) and label is not None for _, v, label in rows]
