@@ -348,6 +348,15 @@ class CrossCamera:
         self.appearance, self.spatial, self.cut = appearance_threshold, spatial_threshold, distance_threshold
         self.gate, self.ids = Gate(min_hits=min_hits, min_height_fraction=min_height_fraction), Identities(max_age=max_age, capacity=capacity, max_tracks=max_tracks)
 
+    def state(self) -> dict:
+        """All that a later step needs, as plain values."""
+        return {"streaks": self.gate.streaks, "ids": {**vars(self.ids), "members": dict(self.ids.members)}}
+
+    def restored(self, state: dict) -> CrossCamera:
+        self.gate.streaks = state["streaks"]
+        vars(self.ids).update({**state["ids"], "members": defaultdict(dict, state["ids"]["members"])})
+        return self
+
     def ground(self, row: dict, foot_ratio: float = 1.0, aspect: float = 0.25) -> np.ndarray:
         m = self.maps.get(row["camera_id"])
         if m is None:

@@ -204,6 +204,15 @@ class Tracker:
         self.pool.clear()
         self.last_frame = None
 
+    def state(self) -> dict:
+        """All that a later step needs, as plain arrays and numbers."""
+        return {"last_frame": self.last_frame, "issued": self.issued, "pool": dict(vars(self.pool))}
+
+    def restored(self, state: dict) -> Tracker:
+        self.last_frame, self.issued = state["last_frame"], state["issued"]
+        vars(self.pool).update(state["pool"])
+        return self
+
     def step(self, frame_id: int, found: Detections, height: int = 0, width: int = 0, affine: np.ndarray | None = None) -> list[dict]:
         """The tracks to publish for a frame: confirmed ones seen in it. Frames must come in order."""
         if self.last_frame is not None and frame_id <= self.last_frame:

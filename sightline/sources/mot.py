@@ -94,7 +94,7 @@ def detections(spark: SparkSession, root: str, names: list[str], *, min_score: f
     item = F.struct("x1", "y1", "x2", "y2", "score", "class_id", "embedding")
     packed = rows.groupBy("sequence", F.col("frame_id").cast("long").alias("frame_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     info = sequences(spark, root, names)
-    every = info.select(F.col("name").alias("sequence"), "height", "width", "frame_rate", F.explode(F.sequence(F.lit(1), F.col("length"))).cast("long").alias("frame_id"))
+    every = info.select(F.col("name").alias("sequence"), "height", "width", "frame_rate", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length").cast("long"))).alias("frame_id"))
     out = every.join(packed, ["sequence", "frame_id"], "left")
     empty = F.array().cast(packed.schema["items"].dataType)
     ts = F.when(F.col("frame_rate") > 0, F.timestamp_micros((F.col("frame_id") / F.col("frame_rate") * 1_000_000).cast("long")))

@@ -2,8 +2,8 @@
 
 Rows of a key come in any order inside a micro-batch and are sorted by frame or
 instant. What comes after a later one has been handled is late: it is dropped, or
-refused if strict. The state is the pickled tracker, so batch and stream share
-their steps.
+refused if strict. The state is the tracker's arrays and numbers, so batch and
+stream share their steps.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ def track_stream(frames: DataFrame, name: str = "bytetrack", *, strict: bool = F
     columns = [f.name for f in TRACKS.fields]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else tracking.build(name, **parameters)
+        tracker = tracking.build(name, **parameters)
+        if state.exists:
+            tracker.restored(pickle.loads(state.get[0]))
         out: list[dict] = []
         for row in pd.concat(list(batches)).sort_values("frame_id").to_dict("records"):
             if tracker.last_frame is not None and row["frame_id"] <= tracker.last_frame:
@@ -40,7 +42,7 @@ def track_stream(frames: DataFrame, name: str = "bytetrack", *, strict: bool = F
             affine = row.get("affine")
             moved = None if affine is None else np.asarray(list(affine), dtype=float).reshape(2, 3)
             out += [{"camera_id": key[0], **t} for t in tracker.step(int(row["frame_id"]), tracking.Detections.of(row["items"]), int(row.get("height") or 0), int(row.get("width") or 0), moved)]
-        state.update((pickle.dumps(tracker),))
+        state.update((pickle.dumps(tracker.state()),))
         yield pd.DataFrame(out, columns=columns)
 
     return frames.groupBy("camera_id").applyInPandasWithState(step, tracking.TRACK_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -56,7 +58,10 @@ def global_tracks_stream(observations: DataFrame, *, strict: bool = False, **par
     names = [c.split()[0] for c in crosscamera.OUT_SCHEMA.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, waiting, done = pickle.loads(state.get[0]) if state.exists else (crosscamera.CrossCamera(**parameters), [], -1)
+        tracker = crosscamera.CrossCamera(**parameters)
+        held, waiting, done = pickle.loads(state.get[0]) if state.exists else (None, [], -1)
+        if held is not None:
+            tracker.restored(held)
         rows = waiting + pd.concat(list(batches)).to_dict("records")
         late = [r for r in rows if r["instant"] <= done]
         if late and strict:
@@ -67,7 +72,7 @@ def global_tracks_stream(observations: DataFrame, *, strict: bool = False, **par
         for instant in sorted({r["instant"] for r in rows if r["instant"] < last}):
             out += [{"group_id": key[0], "instant": instant, **r} for r in tracker.step([r for r in rows if r["instant"] == instant])]
             done = instant
-        state.update((pickle.dumps((tracker, [r for r in rows if r["instant"] == last], done)),))
+        state.update((pickle.dumps((tracker.state(), [r for r in rows if r["instant"] == last], done)),))
         yield pd.DataFrame(out, columns=names).astype({"global_id": "Int64", "cluster": "Int32"})
 
     return observations.groupBy("group_id").applyInPandasWithState(step, crosscamera.OUT_SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
