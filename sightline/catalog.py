@@ -307,7 +307,7 @@ def eval_hota(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracker_query(name: str) -> None:
     @query(f"track_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = tracking.track(views.frames(spark, sf_dir), name, min_hits=1)
+        out = tracking.track(views.walkers(spark, sf_dir), name)
         return rounded(out.drop("embedding"), 3)
 
 
@@ -315,6 +315,18 @@ for _name in tracking.TRACKERS:
     tracker_query(_name)
 
 
+@query("synthetic_detections")
+def synthetic_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = views.walkers(spark, sf_dir).select("camera_id", "frame_id", F.posexplode("items").alias("rank", "d"))
+    return rounded(items.select("camera_id", "frame_id", "rank", "d.x1", "d.y1", "d.x2", "d.y2", "d.score"), 3)
+
+
+@query("camera_codes", "SELECT DISTINCT 'cam' || (l_suppkey % 4) AS camera_id, l_suppkey % 4 AS code FROM lineitem")
+def camera_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras numbered in the order of their names."""
+    return retrieval.camera_codes(det(spark, sf_dir).select(F.concat(F.lit("cam"), "camera").alias("camera_id")))
+
+
 # cross-camera
 
 VIEW = """WITH e AS (SELECT 'g' || (vec_id % 7) AS group_id, floor(vec_id / 70) AS block, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),

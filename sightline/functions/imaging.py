@@ -188,3 +188,19 @@ def embedding_column(content: Column, height: Column, width: Column, *, dim: int
             yield pd.Series(out)
 
     return run(content, height, width)
+
+
+def fixed_batches(images: Iterator[np.ndarray], size: int, limit: int | None = None) -> Iterator[np.ndarray]:
+    """Batches of exactly `size` images, as calibration wants them; the last one is filled by repeating its own."""
+    require(size >= 1, f"size must be 1 or more, got {size}")
+    held: list[np.ndarray] = []
+    given = 0
+    for image in images:
+        held.append(image)
+        if len(held) == size:
+            yield np.stack(held)
+            held, given = [], given + 1
+            if limit is not None and given >= limit:
+                return
+    if held:
+        yield np.stack([held[k % len(held)] for k in range(size)])

@@ -111,6 +111,13 @@ def centroids(entries: DataFrame, *, alpha: float = 0.9, order: str = "entry_id"
     return out.crossJoin(F.broadcast(cut)).where(F.col("last_seen") >= F.col("__cut")).drop("__cut")
 
 
+def camera_codes(entries: DataFrame, most: int = 4096) -> DataFrame:
+    """(camera_id, code): cameras numbered from 0 by name; more than `most` are refused."""
+    names = entries.select("camera_id").distinct()
+    require(names.limit(most + 1).count() <= most, f"there are more than {most} cameras")
+    return names.coalesce(1).withColumn("code", (F.row_number().over(Window.orderBy("camera_id")) - 1).cast("long"))
+
+
 def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lambda_value: float = 0.3, vector: str = "vector") -> DataFrame:
     """k-reciprocal re-ranking: (query_id, entry_id, distance), lower is closer.
 

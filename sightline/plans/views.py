@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import synthetic
+
 FRAMES = 5000
 
 #: One box a line item. The order in a frame is total.
@@ -68,6 +70,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat(F.lit("cam"), "camera").alias("camera_id"), "frame_id", F.lit(400).alias("height"), F.lit(400).alias("width"), "items")
 
 
+def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cameras and frames of the boxes, with synthetic objects that move through them."""
+    seen = detections(spark, sf_dir).select(F.concat(F.lit("cam"), "camera").alias("camera_id"), "frame_id").distinct()
+    return synthetic.detections(seen.select("*", F.lit(480).alias("height"), F.lit(640).alias("width")), objects=6, jitter=2.0, speed=0.004, seed=7)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appearance vectors seen by two cameras each, in instants of a group of ten: the second view is turned a little."""
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")

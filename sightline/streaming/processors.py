@@ -88,3 +88,25 @@ def counts_stream(events: DataFrame, width: str = "1 hour", delay: str = "2 hour
     """Events by type and window, appended when the watermark has passed it."""
     out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return out.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def centroids_stream(entries: DataFrame, *, alpha: float = 0.9) -> DataFrame:
+    """The moving-average vector of each identity after each micro-batch: identity, vector, observations, camera_id.
+
+    entries has identity, entry_id, camera_id and a unit vector; a micro-batch's
+    entries are folded in the order of entry_id.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        vector, n = pickle.loads(state.get[0]) if state.exists else (None, 0)
+        camera = None
+        for row in pd.concat(list(batches)).sort_values("entry_id").to_dict("records"):
+            incoming = np.asarray(list(row["vector"]), dtype=float)
+            mean = incoming if vector is None else alpha * vector + (1 - alpha) * incoming
+            vector, n, camera = mean / max(np.linalg.norm(mean), 1e-12), n + 1, row["camera_id"]
+        state.update((pickle.dumps((vector, n)),))
+        yield pd.DataFrame({"identity": [key[0]], "vector": [vector], "observations": [n], "camera_id": [camera]})
+
+    kinds = dict(entries.dtypes)
+    schema = f"identity {kinds['identity']}, vector array<double>, observations long, camera_id {kinds['camera_id']}"
+    return entries.groupBy("identity").applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -248,6 +248,12 @@ def test_masks_come_back_to_source_pixels():
     assert mask.shape == (90, 160) and mask.min() > 0.99
 
 
+def test_fixed_batches_fill_the_last_one():
+    got = list(imaging.fixed_batches(iter(np.arange(5).reshape(5, 1)), 3))
+    assert [b.ravel().tolist() for b in got] == [[0, 1, 2], [3, 4, 3]]
+    assert len(list(imaging.fixed_batches(iter(np.arange(9).reshape(9, 1)), 2, limit=2))) == 2
+
+
 def test_ranges_and_spaces():
     assert tuning.FloatRange(1, 100, log=True).at(0.5) == pytest.approx(10)
     assert tuning.FloatRange(0, 1, step=0.25).at(0.6) == 0.5

@@ -321,6 +321,22 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(str, spark.table("globals").collect())) == sorted(map(str, want.collect()))
 
 
+def test_centroid_stream_ends_at_the_batch_fold(spark, tmp_path):
+    entries = views.gallery(spark, SMALL).where("entry_id < 100")
+    entries.where("entry_id < 50").coalesce(1).write.parquet(str(tmp_path / "g"))
+    entries.where("entry_id >= 50").coalesce(1).write.mode("append").parquet(str(tmp_path / "g"))
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "g"))
+    query = processors.centroids_stream(stream, alpha=0.8).writeStream.format("memory").queryName("centres").outputMode("update").start()
+    query.processAllAvailable()
+    query.stop()
+    last = {}
+    for r in sorted(spark.table("centres").collect(), key=lambda r: r["observations"]):
+        last[r["identity"]] = r
+    want = {r["identity"]: r for r in retrieval.centroids(entries, alpha=0.8).collect()}
+    assert set(last) == set(want)
+    assert all(np.allclose(last[k]["vector"], want[k]["vector"]) and last[k]["observations"] == want[k]["observations"] for k in want)
+
+
 def test_event_windows_close_behind_the_watermark(spark):
     events = spark.readStream.schema(spark.read.parquet(f"{SMALL}/events.parquet").schema).parquet(f"{SMALL}/events.parque[t]")
     run_stream(processors.counts_stream(events, "1 day"), "counts")
