@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import each_text, written
-from .textkit import BASE, MIX_2, U64, as_long, find_words, hash_spans, mix64, text_slices
+from .cluster import written
+from .textkit import BASE, MIX_2, U64, as_long, find_words, hash_spans, text_slices
 from .training import in_fold
 
 #: Classes, words in a class, rows of each feature table, rows of a training batch.
