@@ -155,8 +155,8 @@ def isolation_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*FRAME, "det_idx", F.round("isolation", 6).alias("isolation"), F.round(keep, 5).alias("momentum"))
 
 
-COST_SQL = f"""round(1 - ({OVER}), 6) AS iou_cost, round(1 - ({GIOU}), 6) AS giou_cost, round(1 - ({OVER}) * b.score, 6) AS fused,
-  round(CASE WHEN abs(a.x1 - b.x1) > 30 THEN 1e5 ELSE 1 - ({OVER}) END, 6) AS gated, round(least(CASE WHEN 1 - ({OVER}) <= 0.8 THEN 1 - ({OVER}) ELSE 1 END, CASE WHEN abs(a.score - b.score) <= 0.25 AND 1 - ({OVER}) <= 0.8 THEN 0.5 * abs(a.score - b.score) ELSE 1 END), 6) AS min_fused"""
+COST_SQL = f"""round(1 - ({OVER}), 9) AS iou_cost, round(1 - ({GIOU}), 9) AS giou_cost, round(1 - ({OVER}) * b.score, 9) AS fused,
+  round(CASE WHEN abs(a.x1 - b.x1) > 30 THEN 1e5 ELSE 1 - ({OVER}) END, 9) AS gated, round(least(CASE WHEN 1 - ({OVER}) <= 0.8 THEN 1 - ({OVER}) ELSE 1 END, CASE WHEN abs(a.score - b.score) <= 0.25 AND 1 - ({OVER}) <= 0.8 THEN 0.5 * abs(a.score - b.score) ELSE 1 END), 9) AS min_fused"""
 
 
 @query("association_costs", f"WITH {DET} SELECT camera, frame_id, a.det_idx AS a_det, b.det_idx AS b_det, {COST_SQL} FROM det a JOIN det b USING (camera, frame_id) WHERE a.det_idx <> b.det_idx")
@@ -168,7 +168,7 @@ def association_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
         *FRAME, F.col("a_det_idx").alias("a_det"), F.col("b_det_idx").alias("b_det"), iou.alias("iou_cost"), costs.giou_cost(a, b).alias("giou_cost"), costs.fuse_score(iou, F.col("b_score")).alias("fused"),
         costs.gate(iou, F.abs(a.x1 - b.x1), 30.0).alias("gated"), costs.min_fuse(iou, looks, motion_gate=0.8, appearance_gate=0.25).alias("min_fused"),
     )
-    return rounded(out)
+    return rounded(out, 9)
 
 
 @query("direction_costs", f"""WITH {DET}, d AS (SELECT camera, frame_id, a.det_idx AS a_det, b.det_idx AS b_det, (b.x1 + b.x2 - a.x1 - a.x2) / 2 AS dx, (b.y1 + b.y2 - a.y1 - a.y2) / 2 AS dy FROM det a JOIN det b USING (camera, frame_id) WHERE a.det_idx < b.det_idx)
