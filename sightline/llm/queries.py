@@ -72,6 +72,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
+#: Word 5-grams of every document, all pairs that share one, and the groups by reachability.
+NGRAM_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') AS ws FROM documents),
+c AS (SELECT doc_id, ws, len(ws) AS n, array_to_string(ws, ' ') AS whole FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN n >= 5 THEN list_transform(range(1, n - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN n > 0 THEN [whole] ELSE [] END) AS gram FROM c),
+z AS (SELECT doc_id, count(*) AS z FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE shared >= 0.8 * (x.z + y.z - shared) - 1e-9),
+r AS (SELECT doc_id, doc_id AS near FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.near),
+k AS (SELECT doc_id, min(near) AS class_id FROM r GROUP BY doc_id), n AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
+q AS (SELECT whole, min(doc_id) AS copy_id, count(*) AS n_copies FROM c WHERE n > 0 GROUP BY whole)
+SELECT doc_id, class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM c JOIN k USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN q USING (whole)"""
+
+#: All pairs of a label by cosine, and the groups by reachability.
+EMBEDDING_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / size) AS e FROM g WHERE size > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id, vec_id AS near FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.near),
+k AS (SELECT vec_id, min(near) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN k USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.oracle("documents", power=0.5, fraction=0.5),
+    "op7_ngram_jaccard_join": NGRAM_SQL,
+    "op10_embedding_near_dedup": EMBEDDING_SQL,
 }
