@@ -100,7 +100,9 @@ def gallery_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("identity", F.posexplode("vector").alias("pos", "value")))
 
 
-@query("gallery_centroids")
+@query("gallery_centroids", f"""WITH {REID}, m AS (SELECT identity, list(vector ORDER BY entry_id) AS vs, count(*) AS observations, max(entry_id) AS last_seen FROM gallery GROUP BY identity),
+f AS (SELECT identity, observations, last_seen, list_reduce(vs, lambda a, x: list_transform(range(1, len(x) + 1), lambda i: (0.9::DOUBLE * a[i] + 0.1::DOUBLE * x[i]) / sqrt(0.81::DOUBLE * list_dot_product(a, a) + 0.18::DOUBLE * list_dot_product(a, x) + 0.01::DOUBLE * list_dot_product(x, x)))) AS v FROM m)
+SELECT identity, observations, last_seen, generate_subscripts(v, 1) - 1 AS pos, round(unnest(v), 6) AS value FROM f""")
 def gallery_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.centroids(views.gallery(spark, sf_dir)).select("identity", "observations", "last_seen", F.posexplode("vector").alias("pos", "value")))
 
