@@ -248,7 +248,8 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     groups = components(sorted_sims.mapInArrow(near, "a long, b long"), spark).select(F.col("node").alias("sim"), "root")
     groups = groups.unionByName(sims.where("shared").select("sim", F.col("sim").alias("root")))
     groups = groups.groupBy("sim").agg(F.min("root").alias("root"))
-    candidates = written(lines.select("node", "sim").join(groups, "sim").distinct())
+    # a line's occurrences become one row before they are dealt by sim
+    candidates = written(lines.select("node", "sim").distinct().join(groups, "sim"))
 
     wanted = Bloom.of(candidates, "node")
     texts = keyed.select("text").mapInArrow(each_text(_wanted_texts, least_words, wanted), "node long, words binary")
