@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence a group."""
+"""Fuzzy line deduplication: shared character n-grams, SimHash, edit similarity, one occurrence a group."""
 
 from __future__ import annotations
 
@@ -11,10 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import Bloom, by_block, components, each_text, grouped, smallest_roots, written
-from .textkit import MIX_1, U64, as_long, mix64, sums_by_text, text_slices, word_table, words_of
+from .textkit import MIX_1, MIX_2, U64, as_long, mix64, powers, ragged, sums_by_text, text_slices, word_table, words_of
 
-#: Sims that share one key before keys get longer.
+#: Sims that share one key of pigeonhole() before keys get longer; repeated_lines() no longer uses it.
 SIMS_A_KEY = 64
+#: n-gram keys a line has, and bytes of the n-grams of lines from so many characters on.
+KEYS = 8
+GRAMS = ((0, 5), (20, 8), (64, 14))
+#: Bytes of the n-grams in a SimHash, and about how many of a long line's are counted.
+SIM_BYTES, SIM_GRAMS = 5, 192
+MOST_BYTES = 16
+#: Lines that share a key before they are dealt into blocks.
+LINES_A_KEY = 8192
 #: A line counts once for every so many bytes against the size of a block.
 BYTES_A_LINE = 1024
 
@@ -22,62 +30,142 @@ BYTES_A_LINE = 1024
 def simhash(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each run of words the bits that more than half of its hashes have.
 
-    Four bits at a time are counted in the 16-bit lanes of one integer; runs too
+    Eight bits at a time are counted in the 8-bit lanes of one integer; runs too
     long for that are counted bit by bit.
     """
     size = np.diff(begin)
     out = np.zeros(len(size), dtype=U64)
     if not len(size):
         return out
-    lanes = np.array([sum((v >> k & 1) << 16 * k for k in range(4)) for v in range(16)], dtype=U64)
-    for part in range(16):
-        votes = np.add.reduceat(lanes[((words >> U64(4 * part)) & U64(15)).astype(np.int64)], begin[:-1])
-        for k in range(4):
-            more = 2 * ((votes >> U64(16 * k)) & U64(0xFFFF)).astype(np.int64) > size
-            out |= more.astype(U64) << U64(4 * part + k)
-    for run in np.flatnonzero(size > 0xFFFF):
+    lanes = np.array([sum((v >> k & 1) << 8 * k for k in range(8)) for v in range(256)], dtype=U64)
+    octets = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    for part in range(8):
+        votes = np.add.reduceat(lanes[octets[:, part]], begin[:-1]).view(np.uint8).reshape(-1, 8)
+        more = np.packbits(2 * votes.astype(np.int64) > size[:, None], axis=1, bitorder="little")[:, 0]
+        out |= more.astype(U64) << U64(8 * part)
+    for run in np.flatnonzero(size > 0xFF):
         own = words[begin[run] : begin[run + 1]]
         out[run] = sum(int(2 * int(((own >> U64(k)) & U64(1)).sum()) > size[run]) << k for k in range(64))
     return out
 
 
-def _lines(raw: np.ndarray, offsets: np.ndarray, least: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
-    """Lines of `least` words or more: folded bytes, first and last byte, text, number in it, hash and SimHash."""
+def _prefix(folded: np.ndarray) -> np.ndarray:
+    """Sums from which the hashes of n-grams of any size are differences; zeros follow the last byte."""
+    power, _ = powers(len(folded) + MOST_BYTES)
+    out = np.zeros(len(folded) + MOST_BYTES + 1, dtype=U64)
+    np.cumsum((folded.astype(U64) + U64(1)) * power[: len(folded)], out=out[1 : len(folded) + 1])
+    out[len(folded) + 1 :] = out[len(folded)]
+    return out
+
+
+def _grams(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each span's n-grams of `size` bytes, span after span, and where each span's begin; a shorter span has one."""
+    made = np.maximum(b - a - size + 1, 1)
+    begins = np.concatenate([[0], np.cumsum(made)])
+    value = (prefix[size:] - prefix[:-size]) * powers(len(prefix) - size)[1]
+    value = value[np.repeat(a - begins[:-1], made) + np.arange(begins[-1])]
+    value ^= value >> U64(32)
+    value *= U64(MIX_1)
+    return value ^ (value >> U64(29)), begins
+
+
+def _lowest(hashes: np.ndarray, begins: np.ndarray, about: int) -> np.ndarray:
+    """Which hashes are among about the `about` lowest of their span; like spans choose alike, and each has one."""
+    size = np.diff(begins)
+    share = np.minimum(about / size, 1.0) * float(1 << 32)
+    most = np.maximum(share.astype(U64) << U64(32), np.minimum.reduceat(hashes, begins[:-1])) if len(size) else share.astype(U64)
+    return np.flatnonzero((hashes <= np.repeat(most, size)) | np.repeat(about >= size, size))
+
+
+def _sims(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two SimHashes of each span's n-grams."""
+    hashes, begins = _grams(prefix, a, b, SIM_BYTES)
+    kept = _lowest(hashes, begins, SIM_GRAMS)
+    begins = np.searchsorted(kept, begins)
+    return simhash(mix64(hashes[kept] ^ U64(MIX_1)), begins), simhash(mix64(hashes[kept] ^ U64(MIX_2)), begins)
+
+
+def _gram_keys(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, least: float) -> pa.Array:
+    """For each span the KEYS lowest hashes of its n-grams.
+
+    A span that may be like one of a lower length class has keys of that class too.
+    """
+    edges = np.array([edge for edge, _ in GRAMS])
+    own = np.searchsorted(edges, length, side="right") - 1
+    low = np.searchsorted(edges, np.ceil(least * length - 1e-9), side="right") - 1
+    owners, keys = [], []
+    for k, (_, size) in enumerate(GRAMS):
+        some = np.flatnonzero((low <= k) & (k <= own))
+        hashes, begins = _grams(prefix, a[some], b[some], size)
+        kept = _lowest(hashes, begins, 4 * KEYS)
+        owner = (np.searchsorted(begins, kept, side="right") - 1) if len(some) else kept
+        order = np.lexsort((hashes[kept], owner))
+        key, owner = hashes[kept][order], owner[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        first = np.arange(len(key)) - np.searchsorted(owner, owner) < KEYS
+        owners.append(some[owner[first]])
+        keys.append(mix64(key[first] + U64(k)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(a)))])
+    return ragged(np.concatenate(keys)[order].view(np.int64), begins, pa.int64())
+
+
+def _lines(raw: np.ndarray, offsets: np.ndarray, least: int, chars: int = 1 << 62, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """Lines of `least` words or `chars` characters: folded bytes, first and last byte, characters, text, number in it, hash and two SimHashes.
+
+    One zero byte parts the words of the folded bytes.
+    """
     folded, starts, ends, words, first = words_of(raw, offsets, word_table())
     breaks = np.cumsum(raw == 10)
     line = breaks[starts] if len(starts) else np.zeros(0, dtype=np.int64)
     new = np.ones(len(line), dtype=bool)
     new[1:] = line[1:] != line[:-1]
     begin = np.append(np.flatnonzero(new), len(line))
-    place = (np.arange(len(line)) - np.repeat(begin[:-1], np.diff(begin))).astype(U64)
-    content = mix64(sums_by_text(mix64(words ^ (place * U64(MIX_1) + U64(MIX_1))), begin) + np.diff(begin).astype(U64))
-    long = np.flatnonzero(np.diff(begin) >= least)
+    count = np.diff(begin)
+    place = (np.arange(len(line)) - np.repeat(begin[:-1], count)).astype(U64)
+    content = mix64(sums_by_text(mix64(words ^ (place * U64(MIX_1) + U64(MIX_1))), begin) + count.astype(U64))
+    kept = folded != 0
+    kept[1:] |= folded[:-1] != 0
+    compact, at = folded[kept], np.concatenate([[0], np.cumsum(kept)])
+    a, b = at[starts[begin[:-1]]], at[ends[begin[1:] - 1]] if len(line) else begin[1:]
+    heads = np.concatenate([[0], np.cumsum((compact & 0xC0) != 0x80)])
+    length = heads[b] - heads[a]
+    long = np.flatnonzero((count >= least) | (length >= chars))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     owner = doc[begin[long]] if len(long) else np.zeros(0, dtype=np.int64)
     number = line[begin[long]] - np.concatenate([[0], breaks[offsets[1:-1] - 1], [0]])[owner] if len(long) else np.zeros(0, dtype=np.int64)
-    sims = simhash(words, begin)[long] if hashed else np.zeros(len(long), dtype=U64)
-    return folded, starts[begin[long]] if len(long) else long, ends[begin[long + 1] - 1] if len(long) else long, owner, number, content[long], sims
+    a, b = a[long], b[long]
+    more, sims = _sims(_prefix(compact), a, b) if hashed else np.zeros((2, len(long)), dtype=U64)
+    return compact, a, b, length[long], owner, number, content[long], more, sims
 
 
-def _occurrences(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+def _occurrences(batch: pa.RecordBatch, least: int, chars: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for at, n, raw, offsets in text_slices(batch.column("text")):
-        _, _, _, owner, number, content, sims = _lines(raw, offsets, least)
+        folded, a, b, length, owner, number, content, more, sims = _lines(raw, offsets, least, chars)
         take = pa.array(owner + at)
+        _, once = np.unique(content, return_index=True)
+        once.sort()
+        place = np.full(len(content), -1)
+        place[once] = np.arange(len(once))
+        keys = _gram_keys(_prefix(folded), a[once], b[once], length[once], similarity).take(pa.array(place, mask=place < 0))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(number.astype(np.int32)), as_long(content), as_long(sims)],
-            names=["doc_id", "row_key", "line", "node", "sim"],
+            [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(number.astype(np.int32)), as_long(content), as_long(sims), as_long(more), pa.array(length.astype(np.int32)), keys],
+            names=["doc_id", "row_key", "line", "node", "sim", "more", "length", "keys"],
         )
 
 
-def _wanted_texts(batch: pa.RecordBatch, least: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
+def _wanted_texts(batch: pa.RecordBatch, least: int, chars: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
     """The words of the lines that may be wanted, with single blanks between."""
     for _, _, raw, offsets in text_slices(batch.column("text")):
-        folded, a, b, _, _, content, _ = _lines(raw, offsets, least, hashed=False)
+        folded, a, b, _, _, _, content, _, _ = _lines(raw, offsets, least, chars, hashed=False)
         picked = np.flatnonzero(wanted.has(content))
         _, once = np.unique(content[picked], return_index=True)
         picked = picked[once]
         if len(picked):
-            texts = [b" ".join(w for w in folded[a[k] : b[k]].tobytes().split(b"\0") if w) for k in picked]
+            texts = [folded[a[k] : b[k]].tobytes().replace(b"\0", b" ") for k in picked]
             yield pa.RecordBatch.from_arrays([as_long(content[picked]), pa.array(texts, type=pa.binary())], names=["node", "words"])
 
 
@@ -104,38 +192,44 @@ def _keys(sim: str, blocks: int, matching: int) -> Column:
     return F.explode(F.array(*keys))
 
 
-def _near(key: np.ndarray, sim: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers of equal key, rows sorted by key, whose sims differ in at most distance bits."""
+def most_bits(similarity: float, distance: int) -> int:
+    """Bits of 128 in which SimHashes differ where edits come in pairs, and `distance` more for each of the two."""
+    shared = max(0.0, 1 - SIM_BYTES * (1 - similarity) / 2)
+    return min(128, int(128 * np.arccos(shared) / np.pi) + 2 * distance)
+
+
+def _near(key: np.ndarray, sim: np.ndarray, more: np.ndarray, length: np.ndarray, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers of equal key whose lengths and sims allow the similarity, rows sorted by key and length."""
     left, right = [], []
     at = np.arange(len(key))
     lag = 1
     while len(at):
         at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-        hit = at[np.bitwise_count(sim[at] ^ sim[at + lag]) <= distance]
+        at = at[(key[at] == key[at + lag]) & (length[at] >= least * length[at + lag] - 1e-9)]
+        hit = at[np.bitwise_count(sim[at] ^ sim[at + lag]) + np.bitwise_count(more[at] ^ more[at + lag]) <= bits]
         left.append(hit)
         right.append(hit + lag)
         lag += 1
     return np.concatenate([np.zeros(0, dtype=np.int64), *left]), np.concatenate([np.zeros(0, dtype=np.int64), *right])
 
 
-def _sim_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the near sims of each key, from rows sorted by (at, lo, hi); a run goes on into the next batch."""
-    rest = np.zeros((2, 0), dtype=np.int64)
+def _key_links(batches: Iterator[pa.RecordBatch], bits: int, least: float) -> Iterator[pa.RecordBatch]:
+    """A forest of the near lines of each key, from rows sorted by (at, lo, hi, length); a run goes on into the next batch."""
+    rest = np.zeros((5, 0), dtype=np.int64)
     for batch in _then_none(batches):
         if batch is not None:
             at = batch.column("at").to_numpy() ^ (batch.column("lo").to_numpy().astype(np.int64) << 32) ^ batch.column("hi").to_numpy()
-            rest = np.concatenate([rest, np.stack([at, batch.column("sim").to_numpy()])], axis=1)
+            rest = np.concatenate([rest, np.stack([at, *(batch.column(c).to_numpy().astype(np.int64) for c in ("node", "sim", "more", "length"))])], axis=1)
             stop = int(np.flatnonzero(rest[0] == rest[0, -1])[0]) if rest.shape[1] else 0
         else:
             stop = rest.shape[1]
-        key, sim = rest[0, :stop], rest[1, :stop]
+        key, node, sim, more, length = np.ascontiguousarray(rest[:, :stop])
         rest = rest[:, stop:]
-        left, right = _near(key, sim.view(U64) if len(sim) else sim.astype(U64), distance)
+        left, right = _near(key, sim.view(U64), more.view(U64), length, bits, least)
         if len(left):
             root = smallest_roots(len(key), left, right)
             some = np.flatnonzero(root != np.arange(len(key)))
-            pairs = np.unique(np.stack([sim[some], sim[root[some]]], axis=1), axis=0)
+            pairs = np.unique(np.stack([node[some], node[root[some]]], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
@@ -180,6 +274,10 @@ def edits_within(a: str, b: str, most: int) -> bool:
             return False
         rise = rise << 1 | 1
         up, down = (fall << 1 | ~(steps | rise)) & full, rise & steps & full
+        # the distance never falls along the diagonal that ends in the last cell
+        i = j + 1 - (len(b) - len(a))
+        if j % 32 == 31 and i > 0 and j + 1 + (up & (1 << i) - 1).bit_count() - (down & (1 << i) - 1).bit_count() > most:
+            return False
     return distance <= most
 
 
@@ -188,24 +286,41 @@ def similar(a: str, b: str, least: float) -> bool:
     return edits_within(a, b, int((1 - least) * max(len(a), len(b)) + 1e-9))
 
 
-def _verify(group: pa.Table, distance: int, least: float) -> Iterator[pa.RecordBatch]:
+def _bags(texts: list[str]) -> np.ndarray:
+    """Counts of each text's pairs of successive characters, in 256 bins; an edit moves the counts by 4 at most."""
+    out = np.zeros((len(texts), 256), dtype=np.uint16)
+    for k, text in enumerate(texts):
+        c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        pairs = (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+        out[k] = np.minimum(np.bincount(pairs, minlength=256), 0xFFFF)
+    return out
+
+
+def _verify(group: pa.Table, bits: int, least: float) -> Iterator[pa.RecordBatch]:
     """A forest of the similar lines of a pair of blocks; what is connected already is not compared."""
     if group.num_rows < 2:
         return
     group = group.combine_chunks()
     node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
-    sim = group.column("sim").to_numpy().view(U64)
+    sim, more = group.column("sim").to_numpy().view(U64), group.column("more").to_numpy().view(U64)
+    length = group.column("length").to_numpy()
     low, high = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-    words = group.column("words")
-    text = lambda k: words[k].as_py().decode("utf-8", "replace")
+    texts = [x.decode("utf-8", "replace") for x in group.column("words").to_pylist()]
+    bags = _bags(texts)
     left = np.flatnonzero(part == low)
     right = left if low == high else np.flatnonzero(part == high)
     label = np.arange(len(node))
     for i in left:
-        near = right[(np.bitwise_count(sim[right] ^ sim[i]) <= distance) & (label[right] != label[i])]
+        fits = np.minimum(length[right], length[i]) >= least * np.maximum(length[right], length[i]) - 1e-9
+        near = right[fits & (np.bitwise_count(sim[right] ^ sim[i]) + np.bitwise_count(more[right] ^ more[i]) <= bits) & (label[right] != label[i])]
+        if len(near):
+            moved = np.abs(bags[near].astype(np.int32) - bags[i].astype(np.int32)).sum(axis=1)
+            near = near[moved <= 4 * ((1 - least) * np.maximum(length[near], length[i]) + 1e-9)]
+            # the likeliest first: what they connect is not compared again
+            near = near[np.argsort(np.bitwise_count(sim[near] ^ sim[i]), kind="stable")]
         while len(near):
             j, near = near[0], near[1:]
-            if similar(text(int(i)), text(int(j)), least):
+            if similar(texts[i], texts[j], least):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label[label == old] = new
                 near = near[label[near] != new]
@@ -219,49 +334,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768, least_chars: int = 1 << 30) -> DataFrame:
     """The lines to drop: (doc_id, row_key, line, kept_doc, kept_line).
 
-    Lines are what newlines part. Lines of at least `least_words` words are
-    compared by their words, lower-cased, without punctuation; shorter ones are
-    never dropped. Two lines link if their 64-bit SimHashes over words differ in at
-    most `distance` bits and their edit similarity is `similarity` or more; of each
-    connected group the occurrence with the smallest (doc_id, row_key, line) stays.
-    row_key is xxhash64 of the text; rows that repeat a doc_id and its text are one
-    document. A null text has no lines, a null doc_id sorts first, other columns
-    are not read, and an empty table gives no rows.
+    Lines are what newlines part. Lines of at least `least_words` words or
+    `least_chars` characters are compared by
+    their words, lower-cased, without punctuation; shorter ones are never dropped.
+    Two lines link if their edit similarity is `similarity` or more. It is tested
+    where they share one of the KEYS lowest hashes of their character n-grams (a
+    pair that shares a part J of its n-grams is missed by (1 - J) ** KEYS), and
+    their SimHashes over n-grams differ in at most `distance` bits more than such
+    edits make on average; of each connected group the occurrence with the smallest
+    (doc_id, row_key, line) stays. row_key is xxhash64 of the text; rows that
+    repeat a doc_id and its text are one document. A null text has no lines, a
+    null doc_id sorts first, other columns are not read, and an empty table gives
+    no rows.
     """
     spark = docs.sparkSession
+    bits = most_bits(similarity, distance)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(each_text(_occurrences, least_words), "doc_id long, row_key long, line int, node long, sim long"))
+    lines = written(keyed.mapInArrow(each_text(_occurrences, least_words, least_chars, similarity), "doc_id long, row_key long, line int, node long, sim long, more long, length int, keys array<long>"))
 
-    sims = lines.groupBy("sim").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    sims = written(sims.select("sim", (F.col("low") != F.col("high")).alias("shared")))
-    blocks, matching = pigeonhole(distance, sims.count())
-    tables = sims.select("sim", _keys("sim", blocks, matching).alias("at"))
-    dealt = by_block(tables, "at", F.col("sim"), F.lit(1), 16 * SIMS_A_KEY * 8).select("at", "lo", "hi", "sim")
-    sorted_sims = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi")
+    # a key that one line alone has goes
+    tables = lines.where("keys IS NOT NULL").select("node", "sim", "more", "length", F.explode("keys").alias("at")).repartition("at")
+    dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, least=2).select("at", "lo", "hi", "node", "sim", "more", "length")
+    met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", "length")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sim_links(batches, distance)
+        yield from _key_links(batches, bits, similarity)
 
-    groups = components(sorted_sims.mapInArrow(near, "a long, b long"), spark).select(F.col("node").alias("sim"), "root")
-    groups = groups.unionByName(sims.where("shared").select("sim", F.col("sim").alias("root")))
-    groups = groups.groupBy("sim").agg(F.min("root").alias("root"))
-    # a line's occurrences become one row before they are dealt by sim
-    candidates = written(lines.select("node", "sim").distinct().join(groups, "sim"))
+    groups = components(met.mapInArrow(near, "a long, b long"), spark)
+    # a line's occurrences become one row before they are dealt by node
+    candidates = written(lines.select("node", "sim", "more", "length").distinct().join(groups, "node"))
 
     wanted = Bloom.of(candidates, "node")
-    texts = keyed.select("text").mapInArrow(each_text(_wanted_texts, least_words, wanted), "node long, words binary")
+    texts = keyed.select("text").mapInArrow(each_text(_wanted_texts, least_words, least_chars, wanted), "node long, words binary")
     texts = texts.join(candidates, "node").dropDuplicates(["node"])
     # a group of near lines stays whole up to `block` lines of BYTES_A_LINE, which one task can hold
     met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
 
     def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from _verify(group, distance, similarity)
+        yield from _verify(group, bits, similarity)
 
     linked = components(grouped(met, ["root", "lo", "hi"], verify, "a long, b long"), spark)
-    placed = lines.drop("sim").join(linked, "node", "left").select("doc_id", "row_key", "line", F.coalesce("root", "node").alias("group"))
+    placed = lines.select("doc_id", "row_key", "line", "node").join(linked, "node", "left").select("doc_id", "row_key", "line", F.coalesce("root", "node").alias("group"))
     here = F.struct("doc_id", "row_key", "line")
     firsts = placed.groupBy("group").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
     rest = placed.join(firsts, "group").where(here != F.col("first"))

@@ -107,6 +107,23 @@ def test_line_dedup_is_brute_force(spark):
         assert (left[k]["text"], left[k]["n_chars"]) == (keep, len(keep)) if keep.strip() else k not in left
 
 
+def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
+    rng = random.Random(11)
+    lines = []
+    for n in (3, 8, 12, 20, 20, 40, 100):
+        for _ in range(6):
+            words = prose(rng, n).split()
+            lines.append(" ".join(words))
+            other = list(words)
+            other[rng.randrange(n)] = "".join(rng.choice("ijkl") for _ in range(3))
+            lines.append(" ".join(other))
+    texts = list(enumerate(lines))
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if line_dedup.similar(lines[a], lines[b], 0.9)]
+    assert len(links) >= 25
+    want = {k: root for k, root in enumerate(groups_of(len(lines), links)) if k != root}
+    assert {r["doc_id"]: r["kept_doc"] for r in line_dedup.repeated_lines(frame(spark, texts)).collect()} == want
+
+
 def test_decontamination_finds_edited_passages(spark):
     rng = random.Random(4)
     items = [(k, prose(rng, rng.randint(15, 60)).capitalize() + ".") for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
