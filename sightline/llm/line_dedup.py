@@ -334,11 +334,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
-def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768, least_chars: int = 1 << 30) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768, least_chars: int = 9) -> DataFrame:
     """The lines to drop: (doc_id, row_key, line, kept_doc, kept_line).
 
     Lines are what newlines part. Lines of at least `least_words` words or
-    `least_chars` characters are compared by
+    `least_chars` characters (five words of one letter have nine) are compared by
     their words, lower-cased, without punctuation; shorter ones are never dropped.
     Two lines link if their edit similarity is `similarity` or more. It is tested
     where they share one of the KEYS lowest hashes of their character n-grams (a

@@ -124,6 +124,13 @@ def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
     assert {r["doc_id"]: r["kept_doc"] for r in line_dedup.repeated_lines(frame(spark, texts)).collect()} == want
 
 
+def test_line_dedup_drops_copies_of_short_lines_and_of_lines_without_blanks(spark):
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
+    texts = [(1, f"All rights reserved.\n{chinese}\nthe end"), (2, f"the end\nall rights reserved\n{chinese}"), (3, chinese[:8])]
+    got = {(r["doc_id"], r["line"]): r["kept_doc"] for r in line_dedup.repeated_lines(frame(spark, texts)).collect()}
+    assert got == {(2, 1): 1, (2, 2): 1}
+
+
 def test_decontamination_finds_edited_passages(spark):
     rng = random.Random(4)
     items = [(k, prose(rng, rng.randint(15, 60)).capitalize() + ".") for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
