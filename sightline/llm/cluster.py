@@ -71,14 +71,17 @@ def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int,
     return dealt.withColumns({"lo": F.least("part", "__j"), "hi": F.greatest("part", "__j")}).drop("__n", "__j")
 
 
-def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str, *fixed) -> DataFrame:
     """fn over the rows of each key, group after group in one pass over sorted partitions.
 
-    Only one group is held at a time; by_block bounds its size.
+    fn takes a group and yields batches. With `fixed`, fn(*fixed) is called once a
+    task and gives (take, end): take gets each group and end is called last, so
+    small groups can be gathered. by_block bounds the size of a group.
     """
     out = df.repartition(*keys).sortWithinPartitions(*keys)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take, end = fn(*fixed) if fixed else (fn, lambda: ())
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -92,12 +95,13 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa
             for a, b in zip(cuts[:-1], cuts[1:]):
                 now = tuple(c[a] for c in codes)
                 if held and now != last:
-                    yield from fn(pa.Table.from_batches(held))
+                    yield from take(pa.Table.from_batches(held))
                     held = []
                 last = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from fn(pa.Table.from_batches(held))
+            yield from take(pa.Table.from_batches(held))
+        yield from end()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[pa.RecordBatch] = []

@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import Bloom, by_block, components, each_text, grouped, smallest_roots, written
-from .textkit import MIX_1, MIX_2, U64, as_long, mix64, powers, ragged, sums_by_text, text_slices, word_table, words_of
+from .edits import edits_within, many_within
+from .textkit import BASE, MIX_1, MIX_2, U64, as_long, fold, mix64, ragged, sums_by_text, text_slices, word_table
 
-#: Sims that share one key of pigeonhole() before keys get longer; repeated_lines() no longer uses it.
-SIMS_A_KEY = 64
 #: n-gram keys a line has, and bytes of the n-grams of lines from so many characters on.
 KEYS = 8
 GRAMS = ((0, 5), (20, 8), (64, 14))
 #: Bytes of the n-grams in a SimHash, and about how many of a long line's are counted.
-SIM_BYTES, SIM_GRAMS = 5, 192
-MOST_BYTES = 16
+SIM_BYTES, SIM_GRAMS = 5, 96
 #: Lines that share a key before they are dealt into blocks.
 LINES_A_KEY = 8192
 #: A line counts once for every so many bytes against the size of a block.
 BYTES_A_LINE = 1024
+#: Bytes of text hashed at a time, so that their numbers stay in the processor's cache.
+SLICE = 1 << 19
+#: Lines and their bytes that are verified together.
+LINES_AT_ONCE, BYTES_AT_ONCE = 1 << 15, 32 << 20
+#: Pairs in a round of verification.
+PAIRS_AT_ONCE = 1 << 16
+LAST = ~U64(0)
+#: For each byte its bits in the lanes of one integer.
+LANES = np.array([sum((v >> k & 1) << 8 * k for k in range(8)) for v in range(256)], dtype=U64)
 
 
 def simhash(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -37,10 +43,9 @@ def simhash(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
     out = np.zeros(len(size), dtype=U64)
     if not len(size):
         return out
-    lanes = np.array([sum((v >> k & 1) << 8 * k for k in range(8)) for v in range(256)], dtype=U64)
     octets = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
     for part in range(8):
-        votes = np.add.reduceat(lanes[octets[:, part]], begin[:-1]).view(np.uint8).reshape(-1, 8)
+        votes = np.add.reduceat(LANES[octets[:, part]], begin[:-1]).view(np.uint8).reshape(-1, 8)
         more = np.packbits(2 * votes.astype(np.int64) > size[:, None], axis=1, bitorder="little")[:, 0]
         out |= more.astype(U64) << U64(8 * part)
     for run in np.flatnonzero(size > 0xFF):
@@ -49,147 +54,215 @@ def simhash(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefix(folded: np.ndarray) -> np.ndarray:
-    """Sums from which the hashes of n-grams of any size are differences; zeros follow the last byte."""
-    power, _ = powers(len(folded) + MOST_BYTES)
-    out = np.zeros(len(folded) + MOST_BYTES + 1, dtype=U64)
-    np.cumsum((folded.astype(U64) + U64(1)) * power[: len(folded)], out=out[1 : len(folded) + 1])
-    out[len(folded) + 1 :] = out[len(folded)]
-    return out
-
-
-def _grams(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each span's n-grams of `size` bytes, span after span, and where each span's begin; a shorter span has one."""
-    made = np.maximum(b - a - size + 1, 1)
-    begins = np.concatenate([[0], np.cumsum(made)])
-    value = (prefix[size:] - prefix[:-size]) * powers(len(prefix) - size)[1]
-    value = value[np.repeat(a - begins[:-1], made) + np.arange(begins[-1])]
-    value ^= value >> U64(32)
-    value *= U64(MIX_1)
-    return value ^ (value >> U64(29)), begins
-
-
-def _lowest(hashes: np.ndarray, begins: np.ndarray, about: int) -> np.ndarray:
-    """Which hashes are among about the `about` lowest of their span; like spans choose alike, and each has one."""
-    size = np.diff(begins)
-    share = np.minimum(about / size, 1.0) * float(1 << 32)
-    most = np.maximum(share.astype(U64) << U64(32), np.minimum.reduceat(hashes, begins[:-1])) if len(size) else share.astype(U64)
-    return np.flatnonzero((hashes <= np.repeat(most, size)) | np.repeat(about >= size, size))
-
-
-def _sims(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two SimHashes of each span's n-grams."""
-    hashes, begins = _grams(prefix, a, b, SIM_BYTES)
-    kept = _lowest(hashes, begins, SIM_GRAMS)
-    begins = np.searchsorted(kept, begins)
-    return simhash(mix64(hashes[kept] ^ U64(MIX_1)), begins), simhash(mix64(hashes[kept] ^ U64(MIX_2)), begins)
+class Lines:
+    """The lines of a slice of texts, as words with one zero byte after each.
 
+    packed holds them end to end; line k is packed[begin[k] : begin[k] + size[k]],
+    with one more zero byte behind it. length is in characters, owner the text,
+    number the line's number in it, and content a hash of its bytes.
+    """
 
-def _gram_keys(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, least: float) -> pa.Array:
-    """For each span the KEYS lowest hashes of its n-grams.
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least: int, chars: int) -> None:
+        folded = fold(raw, word_table())
+        kept = folded != 0
+        kept[1:] |= kept[:-1].copy()
+        breaks = np.flatnonzero(raw == 10)
+        packed = folded[kept]
+        ends = np.cumsum(np.add.reduceat(kept.view(np.uint8), np.concatenate([[0], breaks[:-1] + 1]), dtype=np.int64))
+        begin = np.concatenate([[0], ends[:-1]])
+        some = np.flatnonzero(ends > begin)
+        begin, size = begin[some], ends[some] - begin[some] - 1
+        length = size.copy()
+        if len(packed) and packed.max() >= 0x80:
+            length -= np.add.reduceat(((packed & 0xC0) == 0x80).view(np.uint8), begin, dtype=np.int64)
+        wanted = length >= chars
+        if least < (chars + 1) // 2 and len(packed):  # else fewer characters cannot hold so many words
+            wanted |= np.add.reduceat((packed == 0).view(np.uint8), begin, dtype=np.int64) >= least
+        if not wanted.all():
+            packed = packed[np.repeat(wanted, size + 1)]
+            some, size, length = some[wanted], size[wanted], length[wanted]
+            begin = np.cumsum(size + 1) - size - 1
+        after = np.searchsorted(breaks, offsets[1:] - 1) + 1
+        self.owner = np.searchsorted(after, some, side="right")
+        self.number = some - np.concatenate([[0], after[:-1]])[self.owner]
+        self.packed, self.begin, self.size, self.length = packed, begin, size, length
+        self.eights = _eights(packed)
+        self.content = self._content()
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def _content(self) -> np.ndarray:
+        """Of eight bytes after eight bytes of each line; what follows the line is masked."""
+        pieces = (self.size + 7) >> 3
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        place = np.arange(first[-1]) - np.repeat(first[:-1], pieces)
+        value = self.eights[np.repeat(self.begin, pieces) + 8 * place]
+        left = self.size - 8 * (pieces - 1)
+        value[first[1:] - 1] &= LAST >> (U64(64) - U64(8) * left.astype(U64))
+        place = place.astype(U64)
+        return mix64(sums_by_text(mix64(value ^ (place * U64(MIX_1) + U64(MIX_1))), first) + self.size.astype(U64))
+
+    def only(self, some: np.ndarray) -> Lines:
+        """Some of the lines, in order."""
+        out = object.__new__(Lines)
+        pick = np.zeros(len(self), dtype=bool)
+        pick[some] = True
+        out.packed = self.packed if pick.all() else self.packed[np.repeat(pick, self.size + 1)]
+        out.size, out.length, out.owner, out.number, out.content = (x[some] for x in (self.size, self.length, self.owner, self.number, self.content))
+        out.begin = np.cumsum(out.size + 1) - out.size - 1
+        out.eights = _eights(out.packed)
+        return out
 
-    A span that may be like one of a lower length class has keys of that class too.
-    """
-    edges = np.array([edge for edge, _ in GRAMS])
-    own = np.searchsorted(edges, length, side="right") - 1
-    low = np.searchsorted(edges, np.ceil(least * length - 1e-9), side="right") - 1
-    owners, keys = [], []
-    for k, (_, size) in enumerate(GRAMS):
-        some = np.flatnonzero((low <= k) & (k <= own))
-        hashes, begins = _grams(prefix, a[some], b[some], size)
-        kept = _lowest(hashes, begins, 4 * KEYS)
-        owner = (np.searchsorted(begins, kept, side="right") - 1) if len(some) else kept
-        order = np.lexsort((hashes[kept], owner))
-        key, owner = hashes[kept][order], owner[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[new], owner[new]
-        first = np.arange(len(key)) - np.searchsorted(owner, owner) < KEYS
-        owners.append(some[owner[first]])
-        keys.append(mix64(key[first] + U64(k)))
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(a)))])
-    return ragged(np.concatenate(keys)[order].view(np.int64), begins, pa.int64())
-
-
-def _lines(raw: np.ndarray, offsets: np.ndarray, least: int, chars: int = 1 << 62, hashed: bool = True) -> tuple[np.ndarray, ...]:
-    """Lines of `least` words or `chars` characters: folded bytes, first and last byte, characters, text, number in it, hash and two SimHashes.
-
-    One zero byte parts the words of the folded bytes.
-    """
-    folded, starts, ends, words, first = words_of(raw, offsets, word_table())
-    breaks = np.cumsum(raw == 10)
-    line = breaks[starts] if len(starts) else np.zeros(0, dtype=np.int64)
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = line[1:] != line[:-1]
-    begin = np.append(np.flatnonzero(new), len(line))
-    count = np.diff(begin)
-    place = (np.arange(len(line)) - np.repeat(begin[:-1], count)).astype(U64)
-    content = mix64(sums_by_text(mix64(words ^ (place * U64(MIX_1) + U64(MIX_1))), begin) + count.astype(U64))
-    kept = folded != 0
-    kept[1:] |= folded[:-1] != 0
-    compact, at = folded[kept], np.concatenate([[0], np.cumsum(kept)])
-    a, b = at[starts[begin[:-1]]], at[ends[begin[1:] - 1]] if len(line) else begin[1:]
-    heads = np.concatenate([[0], np.cumsum((compact & 0xC0) != 0x80)])
-    length = heads[b] - heads[a]
-    long = np.flatnonzero((count >= least) | (length >= chars))
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    owner = doc[begin[long]] if len(long) else np.zeros(0, dtype=np.int64)
-    number = line[begin[long]] - np.concatenate([[0], breaks[offsets[1:-1] - 1], [0]])[owner] if len(long) else np.zeros(0, dtype=np.int64)
-    a, b = a[long], b[long]
-    more, sims = _sims(_prefix(compact), a, b) if hashed else np.zeros((2, len(long)), dtype=U64)
-    return compact, a, b, length[long], owner, number, content[long], more, sims
-
-
-def _occurrences(batch: pa.RecordBatch, least: int, chars: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    for at, n, raw, offsets in text_slices(batch.column("text")):
-        folded, a, b, length, owner, number, content, more, sims = _lines(raw, offsets, least, chars)
-        take = pa.array(owner + at)
-        _, once = np.unique(content, return_index=True)
-        once.sort()
-        place = np.full(len(content), -1)
-        place[once] = np.arange(len(once))
-        keys = _gram_keys(_prefix(folded), a[once], b[once], length[once], similarity).take(pa.array(place, mask=place < 0))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(number.astype(np.int32)), as_long(content), as_long(sims), as_long(more), pa.array(length.astype(np.int32)), keys],
-            names=["doc_id", "row_key", "line", "node", "sim", "more", "length", "keys"],
-        )
-
-
-def _wanted_texts(batch: pa.RecordBatch, least: int, chars: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
-    """The words of the lines that may be wanted, with single blanks between."""
-    for _, _, raw, offsets in text_slices(batch.column("text")):
-        folded, a, b, _, _, _, content, _, _ = _lines(raw, offsets, least, chars, hashed=False)
-        picked = np.flatnonzero(wanted.has(content))
-        _, once = np.unique(content[picked], return_index=True)
-        picked = picked[once]
-        if len(picked):
-            texts = [folded[a[k] : b[k]].tobytes().replace(b"\0", b" ") for k in picked]
-            yield pa.RecordBatch.from_arrays([as_long(content[picked]), pa.array(texts, type=pa.binary())], names=["node", "words"])
-
-
-def pigeonhole(distance: int, sims: int) -> tuple[int, int]:
-    """(blocks, matching): of `blocks` parts of 64 bits, `matching` agree in any pair within distance.
-
-    The keys are as long as needed for about SIMS_A_KEY random sims a key.
-    """
-    for matching in range(1, 8):
-        blocks = distance + matching
-        if sims <= SIMS_A_KEY << (64 * matching // blocks):
-            return blocks, matching
-    return distance + 8, 8
+    def text(self, k: int) -> bytes:
+        return self.packed[self.begin[k] : self.begin[k] + self.size[k]].tobytes().replace(b"\0", b" ")
 
+    def grams(self, size: int) -> np.ndarray:
+        """A hash of the `size` bytes, 16 at most, at each place of a line; LAST where the line ends before.
 
-def _keys(sim: str, blocks: int, matching: int) -> Column:
-    """One key for each choice of `matching` blocks: the choice's number over the chosen bits."""
-    edges = [64 * b // blocks for b in range(blocks + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), matching)):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), F.col(sim).bitwiseAND(F.lit(signed))))
-    return F.explode(F.array(*keys))
+        A shorter line has one, of its content, at its first place.
+        """
+        n = len(self.packed)
+        if size < 8:
+            value = (self.eights[:n] & U64((1 << 8 * size) - 1)) * U64(BASE)
+        else:
+            value = self.eights[:n] * U64(BASE)
+            if size > 8:
+                value ^= value >> U64(31)
+                value += self.eights[size - 8 : size - 8 + n]
+                value *= U64(MIX_2)
+        value ^= value >> U64(29)
+        value *= U64(MIX_1)
+        value ^= value >> U64(32)
+        end = self.begin + self.size
+        for back in range(size):
+            value[np.maximum(end - back, self.begin)] = LAST
+        short = self.size < size
+        value[self.begin[short]] = self.content[short]
+        return value
+
+    def lowest(self, hashes: np.ndarray, about: int) -> tuple[np.ndarray, np.ndarray]:
+        """Among the hashes of each line about the `about` lowest, one at least: (hashes, where each line's begin).
+
+        Like lines choose alike.
+        """
+        if not len(self):
+            return np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64)
+        share = np.minimum(about / np.maximum(self.size, 1), 1.0) * float((1 << 32) - 1)
+        most = np.maximum(share.astype(U64) << U64(32), np.minimum.reduceat(hashes, self.begin))
+        most[self.size <= about] = LAST - U64(1)
+        picked = hashes <= np.repeat(most, self.size + 1)
+        count = np.add.reduceat(picked.view(np.uint8), self.begin, dtype=np.int64)
+        return hashes[picked], np.concatenate([[0], np.cumsum(count)])
+
+    def sims(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two SimHashes of each line's n-grams."""
+        hashes, begin = self.lowest(self.grams(SIM_BYTES), SIM_GRAMS)
+        return simhash(mix64(hashes ^ U64(MIX_1)), begin), simhash(mix64(hashes ^ U64(MIX_2)), begin)
+
+    def keys(self, least: float) -> pa.Array:
+        """For each line the KEYS lowest hashes of its n-grams.
+
+        A line that may be like one of a lower length class has keys of that class too.
+        """
+        edges = np.array([edge for edge, _ in GRAMS])
+        own = np.searchsorted(edges, self.length, side="right") - 1
+        low = np.searchsorted(edges, np.ceil(least * self.length - 1e-9), side="right") - 1
+        owners, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
+        for k, (_, size) in enumerate(GRAMS):
+            some = np.flatnonzero((low <= k) & (k <= own))
+            if not len(some):
+                continue
+            part = self.only(some)
+            hashes, begin = part.lowest(part.grams(size), 2 * KEYS)
+            owner = np.repeat(np.arange(len(some)), np.diff(begin))
+            # owner above the hash's first bits; what those bits cannot tell apart is not told apart in order
+            order = np.argsort((owner.astype(U64) << U64(40)) | (hashes >> U64(24)), kind="stable")
+            key, owner = hashes[order], owner[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[new], owner[new]
+            first = np.arange(len(key)) - np.searchsorted(owner, owner) < KEYS
+            owners.append(some[owner[first]])
+            keys.append(mix64(key[first] + U64(k)))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(self)))])
+        return ragged(np.concatenate(keys)[order].view(np.int64), begins, pa.int64())
+
+
+def _eights(packed: np.ndarray) -> np.ndarray:
+    """Eight successive bytes at each place as one integer; zeros follow the end, for as many places as grams() looks ahead."""
+    padded = np.concatenate([packed, np.zeros(16, dtype=np.uint8)])
+    return np.ascontiguousarray(np.ndarray((len(packed) + 9,), "<u8", padded, strides=(1,)))
+
+
+class Recent:
+    """Which hashes a task has met lately: a table of fixed size, which forgets and never invents."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.slots = np.zeros(1 << bits, dtype=U64)
+        self.shift = U64(64 - bits)
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows whose hash is the first of its kind here and not in the table, which then holds it."""
+        _, once = np.unique(hashes, return_index=True)
+        slot = (hashes[once] >> self.shift).astype(np.int64)
+        once = once[self.slots[slot] != hashes[once]]
+        self.slots[(hashes[once] >> self.shift).astype(np.int64)] = hashes[once]
+        return np.sort(once)
+
+
+def _occurrences(least: int, chars: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every line's place and content; SimHashes, length and keys where the task has not given them lately."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for batch in batches:
+            for at, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
+                lines = Lines(raw, offsets, least, chars)
+                take = pa.array(lines.owner + at)
+                once = recent.fresh(lines.content)
+                own = lines.only(once)
+                more, sims = own.sims()
+                place = np.zeros(len(lines), dtype=np.int64)
+                place[once] = np.arange(len(once))
+                absent = np.ones(len(lines), dtype=bool)
+                absent[once] = False
+                where = pa.array(place, mask=absent)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(take),
+                        batch.column("row_key").take(take),
+                        pa.array(lines.number.astype(np.int32)),
+                        as_long(lines.content),
+                        *(x.take(where) for x in (as_long(sims), as_long(more), pa.array(own.length.astype(np.int32)), own.keys(similarity))),
+                    ],
+                    names=["doc_id", "row_key", "line", "node", "sim", "more", "length", "keys"],
+                )
+
+    return run
+
+
+def _wanted_texts(least: int, chars: int, similarity: float, wanted: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of the lines that may be wanted, with single blanks between, and what else verification needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for batch in batches:
+            for _, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
+                lines = Lines(raw, offsets, least, chars)
+                picked = np.flatnonzero(wanted.has(lines.content))
+                picked = picked[recent.fresh(lines.content[picked])]
+                if len(picked):
+                    own = lines.only(picked)
+                    more, sims = own.sims()
+                    yield pa.RecordBatch.from_arrays(
+                        [as_long(own.content), as_long(sims), as_long(more), pa.array(own.length.astype(np.int32)), own.keys(similarity), pa.array([own.text(k) for k in range(len(own))], type=pa.binary())],
+                        names=["node", "sim", "more", "length", "keys", "words"],
+                    )
+
+    return run
 
 
 def most_bits(similarity: float, distance: int) -> int:
@@ -242,91 +315,126 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether at most `most` insertions, deletions and substitutions turn a into b."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    n = min(len(a), len(b))
-    k = 0
-    while k < n and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
-    n, k = min(len(a), len(b)), 0
-    while k < n and a[-1 - k] == b[-1 - k]:
-        k += 1
-    a, b = (a[:-k], b[:-k]) if k else (a, b)
-    if not a or not b:
-        return max(len(a), len(b)) <= most
-    if len(a) > len(b):
-        a, b = b, a
-    # columns of the distance matrix as bit vectors of vertical steps (Myers 1999)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    for j, c in enumerate(b):
-        equal = where.get(c, 0)
-        steps = (((equal & up) + up) ^ up) | equal | down
-        rise, fall = down | ~(steps | up) & full, up & steps
-        distance += 1 if rise & top else -1 if fall & top else 0
-        if distance - (len(b) - j - 1) > most:
-            return False
-        rise = rise << 1 | 1
-        up, down = (fall << 1 | ~(steps | rise)) & full, rise & steps & full
-        # the distance never falls along the diagonal that ends in the last cell
-        i = j + 1 - (len(b) - len(a))
-        if j % 32 == 31 and i > 0 and j + 1 + (up & (1 << i) - 1).bit_count() - (down & (1 << i) - 1).bit_count() > most:
-            return False
-    return distance <= most
-
-
 def similar(a: str, b: str, least: float) -> bool:
     """Whether 1 - edits / longer length is `least` or more."""
     return edits_within(a, b, int((1 - least) * max(len(a), len(b)) + 1e-9))
 
 
-def _bags(texts: list[str]) -> np.ndarray:
-    """Counts of each text's pairs of successive characters, in 256 bins; an edit moves the counts by 4 at most."""
+def _bags(texts: list[bytes]) -> np.ndarray:
+    """Counts of each text's pairs of successive bytes, in 256 bins."""
     out = np.zeros((len(texts), 256), dtype=np.uint16)
     for k, text in enumerate(texts):
-        c = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-        pairs = (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+        c = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+        pairs = ((c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
         out[k] = np.minimum(np.bincount(pairs, minlength=256), 0xFFFF)
     return out
 
 
-def _verify(group: pa.Table, bits: int, least: float) -> Iterator[pa.RecordBatch]:
-    """A forest of the similar lines of a pair of blocks; what is connected already is not compared."""
-    if group.num_rows < 2:
-        return
-    group = group.combine_chunks()
-    node, part = group.column("node").to_numpy(), group.column("part").to_numpy()
-    sim, more = group.column("sim").to_numpy().view(U64), group.column("more").to_numpy().view(U64)
-    length = group.column("length").to_numpy()
-    low, high = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-    texts = [x.decode("utf-8", "replace") for x in group.column("words").to_pylist()]
-    bags = _bags(texts)
-    left = np.flatnonzero(part == low)
-    right = left if low == high else np.flatnonzero(part == high)
-    label = np.arange(len(node))
-    for i in left:
-        fits = np.minimum(length[right], length[i]) >= least * np.maximum(length[right], length[i]) - 1e-9
-        near = right[fits & (np.bitwise_count(sim[right] ^ sim[i]) + np.bitwise_count(more[right] ^ more[i]) <= bits) & (label[right] != label[i])]
-        if len(near):
-            moved = np.abs(bags[near].astype(np.int32) - bags[i].astype(np.int32)).sum(axis=1)
-            near = near[moved <= 4 * ((1 - least) * np.maximum(length[near], length[i]) + 1e-9)]
-            # the likeliest first: what they connect is not compared again
-            near = near[np.argsort(np.bitwise_count(sim[near] ^ sim[i]), kind="stable")]
-        while len(near):
-            j, near = near[0], near[1:]
-            if similar(texts[i], texts[j], least):
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label[label == old] = new
-                near = near[label[near] != new]
-    some = np.flatnonzero(label != np.arange(len(node)))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
+class Block:
+    """Groups of lines, sorted by group and length, in which similar lines are sought."""
+
+    def __init__(self, group: np.ndarray, tables: list[pa.Table], bits: int, least: float) -> None:
+        table = pa.concat_tables(tables).combine_chunks()
+        length = table.column("length").to_numpy()
+        order = np.lexsort((length, group))
+        column = lambda c: table.column(c).to_numpy()[order]
+        self.group, self.length = group[order], length[order].astype(np.int64)
+        self.node, self.part, self.halves = column("node"), column("part"), column("lo") != column("hi")
+        self.sim, self.more = column("sim").view(U64), column("more").view(U64)
+        words = table.column("words").combine_chunks().take(pa.array(order))
+        raw = words.to_pylist()
+        self.wide = np.array([len(x) != n for x, n in zip(raw, self.length.tolist())])
+        self.bags = _bags(raw)
+        self.texts = [x.decode("utf-8", "replace") for x in raw]
+        keys = table.column("keys").combine_chunks().take(pa.array(order))
+        self.first, flat = keys.offsets.to_numpy().astype(np.int64), keys.values.to_numpy()
+        self.keys = flat
+        self.bits, self.least = bits, least
+        self.label = np.arange(len(order))
+
+    def _share_key(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i[k] and j[k] have a key in common."""
+        size = np.diff(self.first)
+        out = np.zeros(len(i), dtype=bool)
+        for a in range(int(size[i].max()) if len(i) else 0):
+            some = np.flatnonzero(~out & (a < size[i]))
+            key = self.keys[self.first[i[some]] + a]
+            for b in range(int(size[j[some]].max()) if len(some) else 0):
+                other = b < size[j[some]]
+                out[some[other]] |= key[other] == self.keys[self.first[j[some[other]]] + b]
+        return out
+
+    def _most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return ((1 - self.least) * np.maximum(self.length[i], self.length[j]) + 1e-9).astype(np.int64)
+
+    def _test(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join the similar ones of the pairs; the likeliest first, and what they connect is not compared."""
+        i, j = i[fresh := self.label[i] != self.label[j]], j[fresh]
+        some = self._share_key(i, j)
+        i, j = i[some], j[some]
+        if not len(i):
+            return
+        most = self._most(i, j)
+        moved = np.zeros(len(i), dtype=np.int64)
+        for a in range(0, len(i), 8192):
+            part = slice(a, a + 8192)
+            moved[part] = np.abs(self.bags[i[part]].astype(np.int32) - self.bags[j[part]].astype(np.int32)).sum(axis=1)
+        # an edit changes one character, of up to four bytes, and so up to five pairs of bytes on either side
+        some = moved <= np.where(self.wide[i] | self.wide[j], 10, 4) * most
+        i, j, most = i[some], j[some], most[some]
+        far = np.bitwise_count(self.sim[i] ^ self.sim[j]).astype(np.int64) + np.bitwise_count(self.more[i] ^ self.more[j])
+        # first the likeliest partner of each line, then all others that this has not connected
+        order = np.lexsort((far, i))
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = i[order][1:] != i[order][:-1]
+        for turn in (order[head], order[~head]):
+            turn = turn[self.label[i[turn]] != self.label[j[turn]]]
+            if len(turn):
+                found = turn[many_within([(self.texts[a], self.texts[b]) for a, b in zip(i[turn], j[turn])], most[turn])]
+                if len(found):
+                    self.label = smallest_roots(len(self.label), self.label[i[found]], self.label[j[found]])[self.label]
+
+    def solve(self) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of the similar lines as pairs of nodes."""
+        at, lag, upto = np.arange(len(self.node)), 1, 1
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(at):
+            at = at[at + lag < len(self.node)]
+            at = at[(self.group[at] == self.group[at + lag]) & (self.length[at] >= self.least * self.length[at + lag] - 1e-9)]
+            hit = at[(self.label[at] != self.label[at + lag]) & (~self.halves[at] | (self.part[at] != self.part[at + lag]))]
+            hit = hit[np.bitwise_count(self.sim[hit] ^ self.sim[hit + lag]) + np.bitwise_count(self.more[hit] ^ self.more[hit + lag]) <= self.bits]
+            held.append((hit, hit + lag))
+            if lag >= upto or not len(at) or sum(len(x) for x, _ in held) > PAIRS_AT_ONCE:
+                self._test(*(np.concatenate(x) for x in zip(*held)))
+                held, upto = [], 2 * lag
+            lag += 1
+        some = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.node[some], self.node[self.label[some]]
+
+
+def _verified(bits: int, least: float) -> tuple[Callable[[pa.Table], Iterator[pa.RecordBatch]], Callable[[], Iterator[pa.RecordBatch]]]:
+    """(take a group, end): groups are gathered up to a bound and verified together."""
+    held: list[pa.Table] = []
+    size = [0, 0]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            block = Block(np.repeat(np.arange(len(held)), [t.num_rows for t in held]), held, bits, least)
+            held.clear()
+            size[:] = 0, 0
+            a, b = block.solve()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def take(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        if group.num_rows > 1:
+            held.append(group)
+            size[0] += group.num_rows
+            size[1] += group.nbytes
+            if size[0] >= LINES_AT_ONCE or size[1] >= BYTES_AT_ONCE:
+                yield from flush()
+
+    return take, flush
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -353,34 +461,33 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     spark = docs.sparkSession
     bits = most_bits(similarity, distance)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(each_text(_occurrences, least_words, least_chars, similarity), "doc_id long, row_key long, line int, node long, sim long, more long, length int, keys array<long>"))
+    lines = written(keyed.mapInArrow(_occurrences(least_words, least_chars, similarity), "doc_id long, row_key long, line int, node long, sim long, more long, length int, keys array<long>"))
 
-    # a key that one line alone has goes
-    tables = lines.where("keys IS NOT NULL").select("node", "sim", "more", "length", F.explode("keys").alias("at")).repartition("at")
+    # a line is one row however often it occurs; a key that one line alone has goes
+    whole = lines.where("keys IS NOT NULL").select("node", "sim", "more", "length", "keys").distinct()
+    tables = whole.select("node", "sim", "more", "length", F.explode("keys").alias("at")).repartition("at")
     dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, least=2).select("at", "lo", "hi", "node", "sim", "more", "length")
     met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", "length")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _key_links(batches, bits, similarity)
 
-    groups = components(met.mapInArrow(near, "a long, b long"), spark)
-    # a line's occurrences become one row before they are dealt by node
-    candidates = written(lines.select("node", "sim", "more", "length").distinct().join(groups, "node"))
+    groups = written(components(met.mapInArrow(near, "a long, b long"), spark))
 
-    wanted = Bloom.of(candidates, "node")
-    texts = keyed.select("text").mapInArrow(each_text(_wanted_texts, least_words, least_chars, wanted), "node long, words binary")
-    texts = texts.join(candidates, "node").dropDuplicates(["node"])
+    wanted = Bloom.of(groups, "node")
+    texts = keyed.select("text").mapInArrow(_wanted_texts(least_words, least_chars, similarity, wanted), "node long, sim long, more long, length int, keys array<long>, words binary")
+    texts = texts.distinct().join(groups, "node")
     # a group of near lines stays whole up to `block` lines of BYTES_A_LINE, which one task can hold
     met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
+    linked = written(components(grouped(met, ["root", "lo", "hi"], _verified, "a long, b long", bits, similarity), spark))
 
-    def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from _verify(group, bits, similarity)
-
-    linked = components(grouped(met, ["root", "lo", "hi"], verify, "a long, b long"), spark)
-    placed = lines.select("doc_id", "row_key", "line", "node").join(linked, "node", "left").select("doc_id", "row_key", "line", F.coalesce("root", "node").alias("group"))
     here = F.struct("doc_id", "row_key", "line")
-    firsts = placed.groupBy("group").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
-    rest = placed.join(firsts, "group").where(here != F.col("first"))
+    heads = lines.groupBy("node").agg(F.min(here).alias("first"), F.max(here).alias("last")).join(linked, "node", "left")
+    alone = heads.where("root IS NULL AND first <> last").select("node", "first")
+    joined = heads.where("root IS NOT NULL")
+    firsts = joined.groupBy("root").agg(F.min("first").alias("first"))
+    kept = alone.unionByName(joined.select("node", "root").join(firsts, "root").select("node", "first"))
+    rest = lines.select("doc_id", "row_key", "line", "node").join(kept, "node").where(here != F.col("first"))
     return rest.select("doc_id", "row_key", "line", F.col("first.doc_id").alias("kept_doc"), F.col("first.line").alias("kept_line"))
 
 

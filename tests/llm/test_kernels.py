@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from sightline.llm import cluster, decontaminate, language_model, line_dedup, mixing, ngram_join, pii, quality, textkit
+from sightline.llm import cluster, decontaminate, edits, language_model, line_dedup, mixing, ngram_join, pii, quality, textkit
 
 WORDS = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
@@ -91,7 +91,7 @@ def test_edits_within_is_the_edit_distance():
     for _ in range(800):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 11))) for _ in "ab")
         k = rng.randint(0, 6)
-        assert line_dedup.edits_within(a, b, k) == (edit_distance(a, b) <= k), (a, b, k)
+        assert edits.edits_within(a, b, k) == (edit_distance(a, b) <= k), (a, b, k)
 
 
 def best_inside(pattern, text):
@@ -129,16 +129,32 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - 0.8**rows) ** bands >= recall and bands * rows <= 160
 
 
-def test_pigeonhole_keys_are_complete():
-    """Any two sims within the distance agree in `matching` of `blocks`."""
-    rng = random.Random(6)
-    for sims in (10, 10**7, 10**10, 10**12):
-        blocks, matching = line_dedup.pigeonhole(3, sims)
-        edges = [64 * b // blocks for b in range(blocks + 1)]
-        for _ in range(200):
-            flips = rng.sample(range(64), 3)
-            untouched = sum(not any(edges[b] <= f < edges[b + 1] for f in flips) for b in range(blocks))
-            assert untouched >= matching
+def test_many_edit_distances_at_once():
+    rng = random.Random(5)
+    for n in (3, 10, 40, 90, 300):
+        for letters in ("ab", "abcdefgh", "\u0430\u0431\u0432\u0433\U0001d400x"):
+            pairs, most = [], []
+            for _ in range(40):
+                a = [rng.choice(letters) for _ in range(max(1, n + rng.randint(-3, 3)))]
+                b = list(a)
+                for _ in range(rng.randint(0, max(1, n // 5))):
+                    at = rng.randrange(len(b) + 1)
+                    b[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+                pairs.append(("".join(a), "".join(b)))
+                most.append(rng.randint(0, max(1, n // 6)))
+            want = [edit_distance(a, b) <= k for (a, b), k in zip(pairs, most)]
+            assert edits.many_within(pairs, np.array(most)).tolist() == want
+            assert [edits.edits_within(a, b, k) for (a, b), k in zip(pairs, most)] == want
+
+
+def test_lines_are_words_with_places():
+    texts = ["The  cat,\n\nthe CAT!\nx", None, "", "the cat\n \u00c9lan", "\u4eca\u5929\u5929"]
+    raw, offsets = one_slice(texts)
+    lines = line_dedup.Lines(raw, offsets, 5, 3)
+    assert [lines.text(k).decode() for k in range(len(lines))] == ["the cat", "the cat", "the cat", "\u00e9lan", "\u4eca\u5929\u5929"]
+    assert lines.owner.tolist() == [0, 0, 3, 3, 4] and lines.number.tolist() == [0, 2, 0, 1, 0] and lines.length.tolist() == [7, 7, 7, 4, 3]
+    assert len(set(lines.content[:3].tolist())) == 1 and len(set(lines.content.tolist())) == 3
+    assert not len(line_dedup.Lines(*one_slice(["", None]), 5, 9))
 
 
 def test_forest_and_roots_agree():
