@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import each_text
+from .cluster import each_text, written
 from .textkit import BASE, MIX_2, U64, fold, qgrams8, text_slices, word_table
 
 #: Bits of the table that tells which q-grams can occur at all.
@@ -46,7 +47,10 @@ def grams(text: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Items:
-    """Benchmark passages with their edit budgets, and an index of their q-grams."""
+    """Benchmark passages with their edit budgets, and an index of their q-grams.
+
+    hashes takes 8 bytes and begins, item and place 4 each for a byte of text, at most.
+    """
 
     ids: list
     texts: list[np.ndarray]
@@ -79,13 +83,14 @@ def index(rows: list[tuple[object, str]], q: int, edits: float) -> Items:
             needed.append(t)
     found = [grams(t, q) for t in texts]
     flat = np.concatenate([np.zeros(0, dtype=U64), *found])
-    owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    place = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(len(f)) for f in found]])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(f) for f in found])
+    place = np.concatenate([np.zeros(0, dtype=np.int32), *[np.arange(len(f), dtype=np.int32) for f in found]])
     order = np.argsort(flat, kind="stable")
     hashes, begins = np.unique(flat[order], return_index=True)
+    begins = begins.astype(np.int32)
     table = np.zeros(1 << FILTER_BITS, dtype=bool)
     table[(hashes >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Items(ids, texts, np.array(budgets, dtype=np.int64), np.array(needed, dtype=np.int64), q, hashes, np.append(begins, len(flat)), owner[order], place[order], table)
+    return Items(ids, texts, np.array(budgets, dtype=np.int64), np.array(needed, dtype=np.int64), q, hashes, np.append(begins, np.int32(len(flat))), owner[order], place[order], table)
 
 
 def aligned(pattern: np.ndarray, region: np.ndarray, most: int, shift: int) -> tuple[int, int, int] | None:
@@ -157,20 +162,78 @@ def _search(text: np.ndarray, items: Items, offsets: np.ndarray) -> Iterator[tup
     fresh[1:] |= spots[1:] != spots[:-1]
     begin = np.flatnonzero(new)
     hits = np.add.reduceat(fresh.astype(np.int64), begin) if len(begin) else np.zeros(0, dtype=np.int64)
-    done: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for b in begin[hits >= items.needed[keys[1, begin]]]:
         d, i, line = (int(v) for v in keys[:, b])
         k, m = int(items.budgets[i]), len(items.texts[i])
-        first = line * (k + 1) - len(text) + offsets[d] - k
-        low = max(int(offsets[d]), int(first))
-        high = min(int(offsets[d + 1]), int(first) + 2 * (k + 1) + m + 3 * k)
-        found = done.setdefault((d, i), [])
-        if any(s < high - k and low + k < e for s, e in found):
-            continue
-        got = aligned(items.texts[i], text[low:high], k, max(0, high - low - m + k))
-        if got:
-            found.append((low + got[1], low + got[2]))
-            yield d, i, got[0], low + got[1], low + got[2]
+        first = line * (k + 1) - len(text) + int(offsets[d]) - k
+        low, high = max(int(offsets[d]), first), min(int(offsets[d + 1]), first + 2 * (k + 1) + m + 3 * k)
+        if high - low >= m - k:
+            regions.setdefault((d, i), []).append((low, high))
+    for (d, i), own in regions.items():
+        for edits, a, b in occurrences(text, items.texts[i], int(items.budgets[i]), own):
+            yield d, i, edits, a, b
+
+
+class Taken:
+    """Spans that do not overlap, and what they leave free."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, int]] = []
+
+    def add(self, edits: int, a: int, b: int) -> bool:
+        """Keep a span unless it overlaps one that is kept."""
+        at = bisect_left(self.starts, b)
+        if at and self.spans[at - 1][2] > a:
+            return False
+        self.starts.insert(at, a)
+        self.spans.insert(at, (edits, a, b))
+        return True
+
+    def free(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The parts of a span between the kept ones."""
+        at = max(0, bisect_left(self.starts, a) - 1)
+        while a < b:
+            while at < len(self.spans) and self.spans[at][2] <= a:
+                at += 1
+            stop = min(b, self.starts[at]) if at < len(self.spans) else b
+            if stop > a:
+                yield a, stop
+            a = self.spans[at][2] if at < len(self.spans) else b
+
+
+def occurrences(text: np.ndarray, pattern: np.ndarray, most: int, regions: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the pattern in regions of text, by start; no two overlap.
+
+    Exact ones come first, from left to right. Then, again and again, the best of
+    each free part of a region, those of fewest edits and smallest start first,
+    until no free part holds one.
+    """
+    taken, m = Taken(), len(pattern)
+    whole, reach = pattern.tobytes(), 0
+    for low, high in sorted(regions):
+        low = max(low, reach)
+        raw = text[low:high].tobytes()
+        at = raw.find(whole)
+        while at >= 0:
+            taken.add(0, low + at, low + at + m)
+            at = raw.find(whole, at + m)
+        # an occurrence may begin before this region ends and end in the next
+        reach = max(low, high - m + 1, taken.spans[-1][2] if taken.spans else 0)
+    tried: dict[tuple[int, int], tuple[int, int, int] | None] = {}
+    new = most > 0
+    while new:
+        proposed = set()
+        for region in regions:
+            for a, b in taken.free(*region):
+                if b - a >= m - most:
+                    if (a, b) not in tried:
+                        tried[a, b] = aligned(pattern, text[a:b], most, max(0, b - a - m + most))
+                    if got := tried[a, b]:
+                        proposed.add((got[0], a + got[1], a + got[2]))
+        new = [x for x in sorted(proposed) if taken.add(*x)]
+    return taken.spans
 
 
 def _passages(batch: pa.RecordBatch, items: Items) -> Iterator[pa.RecordBatch]:
@@ -201,40 +264,58 @@ def _clean(batch: pa.RecordBatch, items: Items) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(kept))
 
 
-def blocks(benchmark: DataFrame, q: int, edits: float, most_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks of about most_bytes of text, each indexed on the driver."""
+#: Bytes of an index for each byte of benchmark text, at most, and of its table of what can occur.
+INDEX_BYTES, TABLE_BYTES = 21, 1 << FILTER_BITS
+
+
+def blocks(benchmark: DataFrame, q: int, edits: float, most_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in blocks whose index takes about most_bytes, one held at a time, and whether it is the only one."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / most_bytes))
+    parts = max(1, math.ceil(size * INDEX_BYTES / most_bytes))
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else rows
         found = index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], q, edits)
         if found.ids:
-            yield found
+            yield found, parts == 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 12, edits: float = 0.07, most_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 12, edits: float = 0.07, most_bytes: int = 64 << 20) -> DataFrame:
     """Where benchmark passages stand in documents: (doc_id, row_key, item_id, edits, start, end).
 
     Texts are compared as lower-case letters and digits with single blanks, by
     bytes. A passage of m bytes is found with up to min(edits * m, (m - q) / q)
     edits, the number for which the q-gram lemma still asks for a common q-gram;
-    passages under q bytes are not searched. start and end are code points of the
-    text. The benchmark is read in blocks of most_bytes, each sent to every task;
-    the documents are scanned once a block and never shuffled. A null text is
-    empty, a null or empty passage is skipped, and other columns are not read.
+    passages under q bytes are not searched. Every occurrence is a row: those of
+    one passage in one text never overlap, exact ones are taken first, then those
+    of fewest edits, and of equal ones the leftmost; different passages may
+    overlap. start and end are code points of the text.
+
+    The benchmark is read in blocks whose index takes about most_bytes (about 21
+    bytes a byte of text, and 4 MB), one block at a time on the driver and in the
+    tasks; the documents are scanned once a block and never shuffled. With several
+    blocks each block's rows are written before the next is read. A null text is
+    empty, a null or empty passage is skipped, rows that repeat give their rows as
+    often, an empty table on either side gives no rows, and other columns are not
+    read, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("row_key"), text.alias("text"))
     schema = "doc_id long, row_key long, item_id long, edits int, start int, end int"
     out = keyed.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, q, edits, most_bytes):
-        out = out.unionByName(keyed.mapInArrow(each_text(_passages, items), schema))
+    for items, alone in blocks(benchmark, q, edits, most_bytes):
+        found = keyed.mapInArrow(each_text(_passages, items), schema)
+        out = out.unionByName(found if alone else written(found))
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 12, edits: float = 0.07, most_bytes: int = 8 << 20) -> DataFrame:
-    """docs without those that hold a benchmark passage; the other rows are unchanged."""
-    for items in blocks(benchmark, q, edits, most_bytes):
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 12, edits: float = 0.07, most_bytes: int = 64 << 20) -> DataFrame:
+    """docs without those that hold a benchmark passage; the other rows are unchanged.
+
+    Texts that are null or empty stay; rows that repeat stay or go together; an
+    empty table on either side changes nothing.
+    """
+    for items, alone in blocks(benchmark, q, edits, most_bytes):
         docs = docs.mapInArrow(each_text(_clean, items), docs.schema)
+        docs = docs if alone else written(docs)
     return docs
