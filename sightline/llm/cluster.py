@@ -55,17 +55,18 @@ def each_text(fn: Callable, *fixed) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int, least: int = 0) -> DataFrame:
+def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int, unlike: str | None = None) -> DataFrame:
     """Deal the rows of each key into pairs of blocks of about limit in weight.
 
     Adds lo, hi and part. Rows of one (key, lo, hi) meet; where lo = hi all of
     them are of that block, else part tells the block. A key below the limit has
     the one pair (0, 0); a heavier one has n blocks and each of its rows n copies.
-    Rows of keys lighter than `least` go.
+    With `unlike`, rows of keys that have one value of that column alone go.
     """
-    heavy = df.groupBy(key).agg(F.sum(weight).alias("__w")).where(F.col("__w") >= least if least else F.col("__w") > limit)
+    totals = df.groupBy(key).agg(F.sum(weight).alias("__w"), *([F.min(unlike).alias("__a"), F.max(unlike).alias("__b")] if unlike else []))
+    heavy = totals.where("__a <> __b" if unlike else F.col("__w") > limit)
     heavy = heavy.select(key, F.ceil(F.col("__w") / limit).cast("int").alias("__n"))
-    dealt = df.join(heavy, key, "inner" if least else "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    dealt = df.join(heavy, key, "inner" if unlike else "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     dealt = dealt.withColumn("part", F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(unit), F.col("__n")).cast("int")))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return dealt.withColumns({"lo": F.least("part", "__j"), "hi": F.greatest("part", "__j")}).drop("__n", "__j")

@@ -160,8 +160,8 @@ class Lines:
         hashes, begin = self.lowest(self.grams(SIM_BYTES), SIM_GRAMS)
         return simhash(mix64(hashes ^ U64(MIX_1)), begin), simhash(mix64(hashes ^ U64(MIX_2)), begin)
 
-    def keys(self, least: float) -> pa.Array:
-        """For each line the KEYS lowest hashes of its n-grams.
+    def keys(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each line the KEYS lowest hashes of its n-grams: (keys, where each line's begin).
 
         A line that may be like one of a lower length class has keys of that class too.
         """
@@ -188,7 +188,7 @@ class Lines:
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
         begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(self)))])
-        return ragged(np.concatenate(keys)[order].view(np.int64), begins, pa.int64())
+        return np.concatenate(keys)[order], begins
 
 
 def _eights(packed: np.ndarray) -> np.ndarray:
@@ -213,73 +213,81 @@ class Recent:
         return np.sort(once)
 
 
-def _occurrences(least: int, chars: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every line's place and content; SimHashes, length and keys where the task has not given them lately."""
+#: Bits of a mark's last part that tell the length, by steps of a hundredth.
+LENGTH_BITS, LENGTH_STEP = 12, 1.01
+
+
+def _length_code(length: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log(length) / np.log(LENGTH_STEP), (1 << LENGTH_BITS) - 1).astype(U64)
+
+
+def _keyed_lines(least: int, chars: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(at, node, sim, mark) for each key of each line that the task has not given lately; mark is the other sim with the length's code in its last bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = Recent()
         for batch in batches:
-            for at, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
+            for _, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
                 lines = Lines(raw, offsets, least, chars)
-                take = pa.array(lines.owner + at)
-                once = recent.fresh(lines.content)
-                own = lines.only(once)
+                own = lines.only(recent.fresh(lines.content))
                 more, sims = own.sims()
-                place = np.zeros(len(lines), dtype=np.int64)
-                place[once] = np.arange(len(once))
-                absent = np.ones(len(lines), dtype=bool)
-                absent[once] = False
-                where = pa.array(place, mask=absent)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(take),
-                        batch.column("row_key").take(take),
-                        pa.array(lines.number.astype(np.int32)),
-                        as_long(lines.content),
-                        *(x.take(where) for x in (as_long(sims), as_long(more), pa.array(own.length.astype(np.int32)), own.keys(similarity))),
-                    ],
-                    names=["doc_id", "row_key", "line", "node", "sim", "more", "length", "keys"],
-                )
+                mark = (more >> U64(LENGTH_BITS) << U64(LENGTH_BITS)) | _length_code(own.length)
+                keys, begins = own.keys(similarity)
+                times = np.diff(begins)
+                yield pa.RecordBatch.from_arrays([as_long(keys), *(as_long(np.repeat(x, times)) for x in (own.content, sims, mark))], names=["at", "node", "sim", "mark"])
 
     return run
 
 
-def _wanted_texts(least: int, chars: int, similarity: float, wanted: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The words of the lines that may be wanted, with single blanks between, and what else verification needs."""
+def _placed_lines(least: int, chars: int, similarity: float, wanted: Bloom) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every line's place and content; the words, with single blanks between, and what else verification needs where the line may be wanted and the task has not given it lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = Recent()
         for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
+            for at, _, raw, offsets in text_slices(batch.column("text"), SLICE) if batch.num_rows else ():
                 lines = Lines(raw, offsets, least, chars)
                 picked = np.flatnonzero(wanted.has(lines.content))
                 picked = picked[recent.fresh(lines.content[picked])]
-                if len(picked):
-                    own = lines.only(picked)
-                    more, sims = own.sims()
-                    yield pa.RecordBatch.from_arrays(
-                        [as_long(own.content), as_long(sims), as_long(more), pa.array(own.length.astype(np.int32)), own.keys(similarity), pa.array([own.text(k) for k in range(len(own))], type=pa.binary())],
-                        names=["node", "sim", "more", "length", "keys", "words"],
-                    )
+                own = lines.only(picked)
+                more, sims = own.sims()
+                keys, begins = own.keys(similarity)
+                take = pa.array(lines.owner + at)
+                place = np.zeros(len(lines), dtype=np.int64)
+                place[picked] = np.arange(len(picked))
+                absent = np.ones(len(lines), dtype=bool)
+                absent[picked] = False
+                where = pa.array(place, mask=absent)
+                held = [as_long(sims), as_long(more), pa.array(own.length.astype(np.int32)), ragged(keys.view(np.int64), begins, pa.int64()), pa.array([own.text(k) for k in range(len(own))], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(lines.number.astype(np.int32)), as_long(lines.content), *(x.take(where) for x in held)],
+                    names=["doc_id", "row_key", "line", "node", "sim", "more", "length", "keys", "words"],
+                )
 
     return run
 
 
+PLACED = "doc_id long, row_key long, line int, node long, sim long, more long, length int, keys array<long>, words binary"
+
+
 def most_bits(similarity: float, distance: int) -> int:
     """Bits of 128 in which SimHashes differ where edits come in pairs, and `distance` more for each of the two."""
     shared = max(0.0, 1 - SIM_BYTES * (1 - similarity) / 2)
     return min(128, int(128 * np.arccos(shared) / np.pi) + 2 * distance)
 
 
-def _near(key: np.ndarray, sim: np.ndarray, more: np.ndarray, length: np.ndarray, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _near(key: np.ndarray, sim: np.ndarray, mark: np.ndarray, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of row numbers of equal key whose lengths and sims allow the similarity, rows sorted by key and length."""
     left, right = [], []
+    code = (mark & U64((1 << LENGTH_BITS) - 1)).astype(np.int64)
+    most = int(np.ceil(-np.log(least) / np.log(LENGTH_STEP))) + 1
+    mark = mark >> U64(LENGTH_BITS)
     at = np.arange(len(key))
     lag = 1
     while len(at):
         at = at[at + lag < len(key)]
-        at = at[(key[at] == key[at + lag]) & (length[at] >= least * length[at + lag] - 1e-9)]
-        hit = at[np.bitwise_count(sim[at] ^ sim[at + lag]) + np.bitwise_count(more[at] ^ more[at + lag]) <= bits]
+        at = at[(key[at] == key[at + lag]) & (code[at + lag] - code[at] <= most)]
+        hit = at[np.bitwise_count(sim[at] ^ sim[at + lag]) + np.bitwise_count(mark[at] ^ mark[at + lag]) <= bits]
         left.append(hit)
         right.append(hit + lag)
         lag += 1
@@ -288,17 +296,19 @@ def _near(key: np.ndarray, sim: np.ndarray, more: np.ndarray, length: np.ndarray
 
 def _key_links(batches: Iterator[pa.RecordBatch], bits: int, least: float) -> Iterator[pa.RecordBatch]:
     """A forest of the near lines of each key, from rows sorted by (at, lo, hi, length); a run goes on into the next batch."""
-    rest = np.zeros((5, 0), dtype=np.int64)
+    rest = np.zeros((4, 0), dtype=np.int64)
     for batch in _then_none(batches):
         if batch is not None:
             at = batch.column("at").to_numpy() ^ (batch.column("lo").to_numpy().astype(np.int64) << 32) ^ batch.column("hi").to_numpy()
-            rest = np.concatenate([rest, np.stack([at, *(batch.column(c).to_numpy().astype(np.int64) for c in ("node", "sim", "more", "length"))])], axis=1)
+            rest = np.concatenate([rest, np.stack([at, *(batch.column(c).to_numpy() for c in ("node", "sim", "mark"))])], axis=1)
             stop = int(np.flatnonzero(rest[0] == rest[0, -1])[0]) if rest.shape[1] else 0
         else:
             stop = rest.shape[1]
-        key, node, sim, more, length = np.ascontiguousarray(rest[:, :stop])
+        key, node, sim, mark = np.ascontiguousarray(rest[:, :stop])
         rest = rest[:, stop:]
-        left, right = _near(key, sim.view(U64), more.view(U64), length, bits, least)
+        left, right = _near(key, sim.view(U64), mark.view(U64), bits, least)
+        unlike = node[left] != node[right]
+        left, right = left[unlike], right[unlike]
         if len(left):
             root = smallest_roots(len(key), left, right)
             some = np.flatnonzero(root != np.arange(len(key)))
@@ -461,13 +471,11 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     spark = docs.sparkSession
     bits = most_bits(similarity, distance)
     keyed = _keyed(docs)
-    lines = written(keyed.mapInArrow(_occurrences(least_words, least_chars, similarity), "doc_id long, row_key long, line int, node long, sim long, more long, length int, keys array<long>"))
-
-    # a line is one row however often it occurs; a key that one line alone has goes
-    whole = lines.where("keys IS NOT NULL").select("node", "sim", "more", "length", "keys").distinct()
-    tables = whole.select("node", "sim", "more", "length", F.explode("keys").alias("at")).repartition("at")
-    dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, least=2).select("at", "lo", "hi", "node", "sim", "more", "length")
-    met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", "length")
+    # a key that one line alone has goes
+    tables = keyed.select("text").mapInArrow(_keyed_lines(least_words, least_chars, similarity), "at long, node long, sim long, mark long").repartition("at")
+    dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, unlike="node").select("at", "lo", "hi", "node", "sim", "mark")
+    length = F.col("mark").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+    met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", length)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _key_links(batches, bits, similarity)
@@ -475,15 +483,15 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     groups = written(components(met.mapInArrow(near, "a long, b long"), spark))
 
     wanted = Bloom.of(groups, "node")
-    texts = keyed.select("text").mapInArrow(_wanted_texts(least_words, least_chars, similarity, wanted), "node long, sim long, more long, length int, keys array<long>, words binary")
-    texts = texts.distinct().join(groups, "node")
+    lines = written(keyed.mapInArrow(_placed_lines(least_words, least_chars, similarity, wanted), PLACED))
+    texts = lines.where("words IS NOT NULL").select("node", "sim", "more", "length", "keys", "words").distinct().join(groups, "node")
     # a group of near lines stays whole up to `block` lines of BYTES_A_LINE, which one task can hold
     met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
     linked = written(components(grouped(met, ["root", "lo", "hi"], _verified, "a long, b long", bits, similarity), spark))
 
     here = F.struct("doc_id", "row_key", "line")
-    heads = lines.groupBy("node").agg(F.min(here).alias("first"), F.max(here).alias("last")).join(linked, "node", "left")
-    alone = heads.where("root IS NULL AND first <> last").select("node", "first")
+    heads = lines.groupBy("node").agg(F.min(here).alias("first"), F.count("*").alias("n")).join(linked, "node", "left")
+    alone = heads.where("root IS NULL AND n > 1").select("node", "first")
     joined = heads.where("root IS NOT NULL")
     firsts = joined.groupBy("root").agg(F.min("first").alias("first"))
     kept = alone.unionByName(joined.select("node", "root").join(firsts, "root").select("node", "first"))
