@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Forest, by_block, components, each_text, grouped, written
+from .cluster import by_block, components, each_text, grouped, smallest_roots, written
 
 #: What rounding may add to a distance; pairs are compared again in double precision.
 SLACK = 1e-6
+#: Rows and columns of one product.
+TILE = (512, 4096)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -74,43 +76,51 @@ def _compare(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     x = _vectors(table.column("embedding").combine_chunks())
     left = np.flatnonzero(part == low)
     right = left if low == high else np.flatnonzero(part == high)
-    if not len(left) or not len(right):
-        return
-    linked = x[left] @ x[right].T >= threshold
-    smaller = node[left][:, None] < node[right][None, :]
-    counts = np.where(smaller, home[left][:, None], home[right][None, :])
-    linked &= counts & (node[left][:, None] != node[right][None, :])
-    if low == high:
-        linked &= smaller
-    if not linked.any():
-        return
     met = np.zeros(len(node), dtype=np.int64)
-    np.add.at(met, left, linked @ copies[right])
-    np.add.at(met, right, linked.T @ copies[left])
-    forest = Forest(len(node))
-    for i in np.flatnonzero(linked.any(axis=1)):
-        for j in np.flatnonzero(linked[i]):
-            forest.join(int(left[i]), int(right[j]))
+    label = np.arange(len(node))
+    for i in range(0, len(left), TILE[0]):
+        for j in range(i // TILE[1] * TILE[1] if low == high else 0, len(right), TILE[1]):
+            rows, columns = left[i : i + TILE[0]], right[j : j + TILE[1]]
+            linked = x[rows] @ x[columns].T >= threshold
+            if not linked.any():
+                continue
+            smaller = node[rows][:, None] < node[columns][None, :]
+            linked &= np.where(smaller, home[rows][:, None], home[columns][None, :]) & (node[rows][:, None] != node[columns][None, :])
+            if low == high:
+                linked &= rows[:, None] < columns[None, :]
+            met[rows] += linked @ copies[columns]
+            met[columns] += linked.T @ copies[rows]
+            a, b = np.nonzero(linked & (label[rows][:, None] != label[columns][None, :]))
+            if len(a):
+                label = smallest_roots(len(label), label[rows[a]], label[columns[b]])[label]
     some = np.flatnonzero(met)
-    up = np.array([node[forest.root(int(k))] for k in some])
-    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(up), pa.array(met[some])], names=["node", "up", "met"])
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(met[some])], names=["node", "up", "met"])
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, target: int = 2000, most_cells: int = 4096, sample: int = 64, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, target: int = 2000, most_cells: int = 4096, sample: int = 64, block: int = 16 << 20, most_bytes: int = 64 << 20) -> DataFrame:
     """Link vectors of equal label whose cosine is threshold or more.
 
     Equal vectors are one class. Each label with more than `target` classes is
     cut into cells by spherical k-means, fitted on about `sample` vectors a cell
-    and at most `most_cells` cells in all, so what is broadcast is bounded; vectors
-    near a border are also compared in the cells beyond it, which loses no link.
-    Cells are compared in blocks of about `block` vectors.
+    and at most `most_cells` cells in all; the sample and the centroids, which are
+    broadcast, take at most `most_bytes` each, with fewer cells for long vectors.
+    Vectors near a border are also compared in the cells beyond it, which loses no
+    link. A cell is compared whole up to `block` bytes of double precision, beyond
+    that in pairs of blocks, and its products are taken tile by tile.
 
     Returns vec_id, n_links, component_id (smallest linked vec_id) and kept, one
-    row per row. A vector that is null, empty, zero or has a null or non-finite
-    component, and one without label, links with nothing; vectors of different
-    lengths do not link; repeated rows count as separate vectors.
+    row per row. Components are floats or doubles, compared as doubles; other
+    numbers are cast to double. A vector that is null, empty, zero or has a null or
+    non-finite component, and one without label, links with nothing; vectors of
+    different lengths do not link; repeated rows count as separate vectors; a pair
+    at the threshold links; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    vectors = vectors.select("vec_id", "label", F.col("embedding").cast(kind).alias("embedding"))
     e = F.col("embedding")
     size = F.aggregate(e, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double"))
     sound = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
@@ -123,8 +133,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, target: int = 2
     classes = written(classes.withColumn("grp", F.xxhash64("label", F.size("embedding"))))
 
     # groups above target: fewer than classes / target of them; their cells share most_cells
-    total = classes.count()
+    total, longest = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    most_cells = max(1, min(most_cells, most_bytes // (8 * (longest or 1))))
     cell_size = max(target, math.ceil(2 * total / most_cells))
+    sample = min(sample, max(1, most_bytes // (8 * (longest or 1) * most_cells)))
     large = {r["grp"]: r["n"] for r in classes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > cell_size).collect()}
     centroids: dict[int, np.ndarray] = {}
     if large:
@@ -138,10 +150,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, target: int = 2
                 x = _vectors(own.column("embedding").combine_chunks())
                 centroids[int(g)] = spherical_kmeans(x, min(len(x), math.ceil(n / cell_size)))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    schema = "grp long, cell int, home boolean, node long, copies long, embedding array<float>"
+    schema = f"grp long, cell int, home boolean, node long, copies long, embedding {kind}"
     placed = classes.select("grp", "node", "copies", "embedding").mapInArrow(each_text(_cells, centroids, reach), schema)
     placed = placed.withColumn("at", F.xxhash64("grp", "cell"))
-    dealt = by_block(placed, "at", F.col("node"), F.lit(1), block)
+    dealt = by_block(placed, "at", F.col("node"), 8 * F.size("embedding"), block)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _compare(table, threshold)
