@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,26 +67,55 @@ def _sampled(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang").slice(at, n), batch.column("rank").slice(at, n), pa.array([row.tobytes() for row in x], type=pa.binary())], names=["lang", "rank", "counts"])
 
 
-def fit(docs: DataFrame, *, bits: int = 12, each: int = 400, most: int = 4000, clusters: int = 4, rounds: int = 8, reject: float = 0.01) -> Centroids:
-    """Cluster at most `each` training documents of every language, at most `most` in all.
+def _frequencies(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """In how many texts of a task each n-gram stands; slot -1 counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(1 << bits, dtype=np.int64), 0
+        for batch in batches:
+            for _, n, raw, offsets in text_slices(batch.column("text"), most_rows=ROWS_AT_ONCE) if batch.num_rows else ():
+                held += (term_counts(raw, offsets, bits) > 0).sum(axis=0)
+                total += n
+        if total:
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], total))], names=["slot", "n"])
+
+    return run
+
 
-    The documents are chosen by a hash of doc_id. Each language's vectors are
-    grouped into `clusters` by spherical k-means; a centroid's floor is the cosine
-    that the share `reject` of its own sample falls below.
+def weights(texts: DataFrame, bits: int) -> np.ndarray:
+    """Inverse document frequencies over all texts, summed on the executors; 2 ** bits + 1 rows come to the driver."""
+    got = texts.select("text").mapInArrow(_frequencies(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros((1 << bits) + 1)
+    held[got["slot"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.float64)
+    return (np.log((1 + held[-1]) / (1 + held[:-1])) + 1).astype(np.float32)
+
+
+def fit(docs: DataFrame, *, bits: int = 12, each: int = 400, most: int = 4000, clusters: int = 4, rounds: int = 8, reject: float = 0.01) -> Centroids:
+    """Cluster about `each` training documents of every language, about `most` in all.
+
+    The n-grams' weights come from all training documents. The sample takes those
+    of lowest hash of doc_id and text, one of each language at least, by a rate for
+    each language; rows that repeat both count once, and of more than 2 * most rows
+    the lowest by hash and language are taken. Beyond `most` languages the
+    commonest are learned. Each language's vectors are grouped into `clusters` by
+    spherical k-means; a centroid's floor is the cosine that the share `reject` of
+    its own sample falls below.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", 5)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
-    if not counts:
-        return Centroids(np.zeros((0, 1 << bits)), [], np.zeros(0), np.ones(1 << bits))
-    share = max(1, min(each, most // len(counts)))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, share / n)])
-    rows = known.where(spread < rate[F.col("lang")]).select("lang", F.xxhash64("doc_id", F.lit(23)).alias("rank"), "text").limit(2 * most)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", 5)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(23)).alias("rank"))
+    spread = F.pmod("rank", F.lit(1 << 30)) / float(1 << 30)
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(spread).alias("low")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    nothing = Centroids(np.zeros((0, 1 << bits)), [], np.zeros(0), np.ones(1 << bits))
+    if not found:
+        return nothing
+    share = max(1, min(each, most // len(found)))
+    rate = F.create_map(*[F.lit(v) for r in found for v in (r["lang"], max(share / r["n"], r["low"]))])
+    rows = known.where(spread <= rate[F.col("lang")]).dropDuplicates(["lang", "rank"]).orderBy("rank", "lang").limit(2 * most)
     got = rows.mapInArrow(each_text(_sampled, bits), "lang string, rank long, counts binary").toPandas().sort_values(["rank", "counts"])
     if not len(got):
-        return Centroids(np.zeros((0, 1 << bits)), [], np.zeros(0), np.ones(1 << bits))
+        return nothing
     raw = np.stack([np.frombuffer(x, dtype=np.uint16) for x in got["counts"]]).astype(np.float32)
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = weights(known, bits)
     x = _unit(np.log1p(raw) * idf)
     vectors, names, floors = [], [], []
     for lang in sorted(set(got["lang"])):
@@ -134,7 +163,10 @@ def predicted(docs: DataFrame, **parameters) -> DataFrame:
 
     score is the cosine with the nearest centroid; rejected tells that it lies
     below that centroid's floor. lang_pred is `und`, with score 0, for a text that
-    is null or has no letter, and for every text if nothing could be learned.
+    is null or has no letter, and for every text if nothing could be learned. Of
+    equally near centroids the first wins, languages in alphabetical order. One row
+    comes out per row in, so rows that repeat get equal rows, and an empty table
+    gives none; other columns are not read, whatever their names.
     """
     model = fit(docs, **parameters)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
