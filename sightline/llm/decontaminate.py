@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import each_text, written
-from .textkit import BASE, MIX_2, U64, fold, qgrams8, text_slices, word_table
+from .textkit import BASE, MIX_2, U64, fold, points_before, qgrams8, text_slices, word_table
 
 #: Bits of the table that tells which q-grams can occur at all.
 FILTER_BITS = 22
@@ -240,12 +240,11 @@ def _passages(batch: pa.RecordBatch, items: Items) -> Iterator[pa.RecordBatch]:
     for at, _, raw, offsets in text_slices(batch.column("text")):
         clean, source = normalise(raw)
         edges = np.searchsorted(source, offsets)
+        points = points_before(raw)
         rows = []
         for d, i, edits, a, b in _search(clean, items, edges):
-            lo = int(offsets[d])
-            low, high = int(source[a]), int(source[b - 1]) + 1
-            start = len(raw[lo:low].tobytes().decode("utf-8", "replace"))
-            rows.append((at + d, items.ids[i], edits, start, start + len(raw[low:high].tobytes().decode("utf-8", "replace"))))
+            lo = points[offsets[d]]
+            rows.append((at + d, items.ids[i], edits, points[source[a]] - lo, points[source[b - 1] + 1] - lo))
         if rows:
             take = pa.array([r[0] for r in rows])
             yield pa.RecordBatch.from_arrays(

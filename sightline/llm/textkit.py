@@ -80,6 +80,11 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES, most_rows: int = 1 <
         first = last
 
 
+def points_before(raw: np.ndarray) -> np.ndarray:
+    """Code points that begin before each byte, and in all."""
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+
+
 def fold(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The table's byte for each byte, with the two-byte Latin-1 capitals lower-cased; every byte keeps its place."""
     out = table[raw]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import each_text, written
-from .textkit import U64, hash_spans, mix64, ragged, sums_by_text, text_slices, word_table, words_of
+from .textkit import U64, hash_spans, mix64, points_before, ragged, sums_by_text, text_slices, word_table, words_of
 from .training import in_fold, labelled, sigmoid, within
 
 #: Bytes that end a sentence.
@@ -159,12 +159,12 @@ def _score(batch: pa.RecordBatch, model: ToxicModel, cut: float) -> Iterator[pa.
         score, logit, owner, mark, sentences, before = _noisy_or(raw, offsets, model)
         spans: list[list[dict]] = [[] for _ in range(n)]
         stops = np.flatnonzero(np.diff(before, prepend=0) > 0)
+        points = points_before(raw)
         for k in np.flatnonzero(logit >= np.log(cut / (1 - cut))):
             lo, hi = int(offsets[owner[k]]), int(offsets[owner[k] + 1]) - 1
             a = max(lo, int(stops[mark[k] - 1]) + 1) if mark[k] > 0 else lo
             b = min(hi, int(stops[mark[k]]) + 1) if mark[k] < len(stops) else hi
-            start = len(raw[lo:a].tobytes().decode("utf-8", "replace"))
-            spans[owner[k]].append({"start": start, "end": start + len(raw[a:b].tobytes().decode("utf-8", "replace")), "score": float(sigmoid(logit[k]))})
+            spans[owner[k]].append({"start": int(points[a] - points[lo]), "end": int(points[b] - points[lo]), "score": float(sigmoid(logit[k]))})
         offending = pa.array(spans, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
         yield pa.RecordBatch.from_arrays(
             [batch.column("__sl_doc").slice(at, n), batch.column("__sl_key").slice(at, n), pa.array(score), pa.array(sentences), offending],
@@ -186,7 +186,14 @@ def score(docs: DataFrame, model: ToxicModel, *, cut: float = 0.5) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """Fit on the training rows and score every text: doc_id, held_out, score, predicted and more."""
+    """Fit on the training rows and score every text: doc_id, held_out, score, predicted and more.
+
+    n_sentences, n_offending and offending, the spans and scores of the sentences
+    that reach 0.5, tell where the score comes from. A null or empty text has no
+    sentence; one row comes out per row in, so rows that repeat get equal rows;
+    without labels of both kinds every score is that of a text without sentences;
+    an empty table gives no rows.
+    """
     out = score(docs, fit(docs, labels, **parameters))
     return out.select("doc_id", in_fold("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("long").alias("n_offending"), "offending")
 
@@ -199,6 +206,11 @@ def _clean(batch: pa.RecordBatch, model: ToxicModel, cut: float) -> Iterator[pa.
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, cut: float = 0.5, **parameters) -> DataFrame:
-    """docs without those that score `cut` or more; rows and columns of the others are unchanged."""
+    """docs without those that score `cut` or more; rows and columns of the others are unchanged.
+
+    A null or empty text scores the chance of a label without cause, and stays if
+    that is under `cut`; a score of `cut` itself goes; rows that repeat go or stay
+    together. Columns of docs may have any name.
+    """
     model = fit(docs, labels, **parameters)
     return docs.mapInArrow(each_text(_clean, model, cut), docs.schema)

@@ -13,15 +13,20 @@ def in_fold(doc_id: str, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(rank, text, label) of at most `most` training documents, chosen by a hash of doc_id.
+    """(doc_id, label, rank, text) of at most `most` training documents, chosen by a hash of doc_id.
 
-    A document counts as labelled 1 if any of its label rows says so. At most
-    `most` rows are broadcast, so the texts are joined where they lie.
+    A document counts as labelled 1 if any of its label rows says so; a label row
+    without doc_id or label says nothing. Rows that repeat a doc_id count as one
+    document, with the text of smallest hash; a null text is empty. At most `most`
+    label rows are broadcast, so the texts are joined where they lie. Without
+    labels, or without documents, there are no rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold("doc_id", 5))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.withColumn("rank", F.xxhash64("doc_id", F.lit(17))).orderBy("rank", "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def within(df: DataFrame, size: str, most: int) -> DataFrame:
