@@ -125,32 +125,47 @@ def draw(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mixed(docs: DataFrame, *, power: float = 0.5, fraction: float = 0.5, rounds: int = ROUNDS, most_cells: int = MOST_CELLS) -> DataFrame:
+OWN = ["topic", "n_tokens", "weight", "chance", "drawn"]
+
+
+def mixed(docs: DataFrame, *, power: float = 0.5, fraction: float = 0.5, rounds: int = ROUNDS, most_cells: int = MOST_CELLS, topics: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with topic, n_tokens, weight, chance and drawn.
 
     The targets are the margins of source, language and topic with their tokens
     raised to `power`, scaled to all tokens; weights that meet them are raked in
     `rounds` rounds over the table of cells, and scaled so that the expected tokens
-    drawn are `fraction` of all, no chance above 1. A document is drawn if the hash
-    of its doc_id lies below its cell's chance, so a draw can be repeated, and rows
-    that repeat a doc_id in a cell share their lot. A null source or language
-    counts as `unknown`; a document without tokens has chance 0; an empty table
-    gives none. Columns of docs that have the names of the new ones are replaced.
+    drawn are `fraction` of all, no chance above 1. `topics` is an expression over
+    docs that gives a document's topic, such as a column that a topic model has
+    filled; without it the kind of text, topic(), stands in. A document is drawn if
+    the hash of its doc_id lies below its cell's chance, so a draw can be repeated,
+    and rows that repeat a doc_id in a cell share their lot. A null source,
+    language or topic counts as `unknown`; a null or empty text has no tokens and
+    chance 0; an empty table gives no rows. Columns of docs that have the names of
+    the new ones are replaced, after `topics` has read them; names that begin with
+    __sl_ are taken. `keep` names the columns of docs to return, all of them
+    without it; if the text is not among them, texts are read once only.
     """
-    base = docs.drop("topic", "n_tokens", "weight", "chance", "drawn").withColumn("n_tokens", n_tokens())
-    base = base.withColumn("topic", topic())
-    base = base.withColumns({f"__sl_{m}": F.coalesce(F.col(m), F.lit(UNKNOWN)) for m in MARGINS})
-    cells = base.groupBy(*[F.col(f"__sl_{m}").alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"))
+    given = topics if topics is not None else F.lit(None)
+    base = docs.withColumns({"__sl_given": given.cast("string"), "__sl_n": n_tokens()})
+    base = base.withColumn("__sl_topic", F.coalesce("__sl_given", F.lit(UNKNOWN)) if topics is not None else topic(tokens="__sl_n"))
+    base = base.withColumns({f"__sl_{m}": F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)) for m in MARGINS[:2]}).drop("__sl_given", *OWN)
+    if keep is not None:
+        base = base.select(*keep, "__sl_n", *[f"__sl_{m}" for m in MARGINS])
+        base = base if "text" in keep else written(base)
+    cells = base.groupBy(*[F.col(f"__sl_{m}").alias(m) for m in MARGINS]).agg(F.sum("__sl_n").alias("tokens"))
     fitted = fit(cells, power=power, fraction=fraction, rounds=rounds, most_cells=most_cells)
     fitted = fitted.select(*[F.col(m).alias(f"__sl_{m}") for m in MARGINS], "weight", "chance")
-    out = base.join(fitted, [f"__sl_{m}" for m in MARGINS], "left").drop(*[f"__sl_{m}" for m in MARGINS])
+    out = base.join(fitted, [f"__sl_{m}" for m in MARGINS], "left").withColumnsRenamed({"__sl_topic": "topic", "__sl_n": "n_tokens"}).drop("__sl_source", "__sl_lang")
     return out.withColumn("drawn", draw() < F.col("chance"))
 
 
 def sampled(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that mixed draws, with docs' own columns."""
-    kept = mixed(docs.withColumns({f"__sl_own_{c}": F.col(c) for c in ("topic", "n_tokens", "weight", "chance", "drawn") if c in docs.columns}), **parameters)
-    return kept.where("drawn").select(*[F.col(f"__sl_own_{c}").alias(c) if f"__sl_own_{c}" in kept.columns else F.col(c) for c in docs.columns])
+    """The rows of docs that mixed draws, with docs' own columns.
+
+    Documents without tokens are never drawn; for all else see mixed.
+    """
+    kept = mixed(docs.withColumns({f"__sl_own_{c}": F.col(c) for c in OWN if c in docs.columns}), **parameters)
+    return kept.where("drawn").select(*[F.col(f"__sl_own_{c}").alias(c) if c in OWN else F.col(c) for c in docs.columns])
 
 
 def oracle(table: str, *, power: float, fraction: float, rounds: int = ROUNDS) -> str:

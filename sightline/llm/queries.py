@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its weight, calibrated probability and whether it is drawn."""
-    drawn = mixing.mixed(table(spark, sf_dir, "documents"), power=0.5, fraction=0.5)
+    drawn = mixing.mixed(table(spark, sf_dir, "documents"), power=0.5, fraction=0.5, keep=["doc_id", "source", "lang"])
     return drawn.selectExpr("doc_id", "source", "lang", "topic", "n_tokens", "round(weight, 6) AS weight", "round(chance, 6) AS chance", "drawn")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+    """One row per document: its score and the sentences that it comes from."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
