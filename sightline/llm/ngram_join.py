@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Bloom, Forest, by_block, components, each_text, grouped, written
+from .cluster import Bloom, Forest, Recent, by_block, components, each_text, grouped, written
 from .textkit import BASE, MIX_1, MIX_2, U64, as_long, mix64, ragged, shingles_of, sums_by_text, text_slices, word_table, words_of
 
 
@@ -60,19 +60,27 @@ def _contents(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return made[0], made[1]
 
 
-def _sketch(batch: pa.RecordBatch, size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    table = word_table()
-    for at, n, raw, offsets in text_slices(batch.column("text")):
-        _, _, _, words, first = words_of(raw, offsets, table)
-        shingles, begins = shingles_of(words, first, size)
-        h1, h2 = _contents(words, first)
-        keys = _band_keys(shingles, begins, bands, rows)
-        some = np.diff(first) > 0
-        lists = ragged(keys[some].view(np.int64).ravel(), np.concatenate([[0], np.cumsum(some * bands)]), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").slice(at, n), batch.column("row_key").slice(at, n), as_long(h1), as_long(h2), pa.array(np.diff(first)), lists],
-            names=["doc_id", "row_key", "h1", "h2", "n_words", "bands"],
-        )
+def _sketch(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's hashes, and its band keys where the task has not given them lately for a text of the same words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, recent = word_table(), Recent()
+        for batch in batches:
+            for at, n, raw, offsets in text_slices(batch.column("text")) if batch.num_rows else ():
+                _, _, _, words, first = words_of(raw, offsets, table)
+                shingles, begins = shingles_of(words, first, size)
+                h1, h2 = _contents(words, first)
+                keys = _band_keys(shingles, begins, bands, rows)
+                some = np.zeros(n, dtype=bool)
+                some[recent.fresh(h1)] = True
+                some &= np.diff(first) > 0
+                lists = ragged(keys[some].view(np.int64).ravel(), np.concatenate([[0], np.cumsum(some * bands)]), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, n), batch.column("row_key").slice(at, n), as_long(h1), as_long(h2), pa.array(np.diff(first)), lists],
+                    names=["doc_id", "row_key", "h1", "h2", "n_words", "bands"],
+                )
+
+    return run
 
 
 def _sets(batch: pa.RecordBatch, size: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
@@ -173,14 +181,15 @@ def ngram_groups(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, reca
     documents linked directly, copies included), class_id (smallest doc_id of the
     connected group) and n_words. A null text counts as empty; rows that repeat a
     doc_id and its text are one document; a null doc_id is a document of its own
-    text; other columns are not read; an empty table gives an empty result.
+    text; other columns are not read, whatever their names; an empty table gives an
+    empty result. The smallest doc_id is the representative, so there are no ties.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall, most_hashes)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     schema = "doc_id long, row_key long, h1 long, h2 long, n_words long, bands array<long>"
-    sketched = written(keyed.mapInArrow(each_text(_sketch, size, bands, rows), schema))
+    sketched = written(keyed.mapInArrow(_sketch(size, bands, rows), schema))
     owners = sketched.select("doc_id", "row_key", "h1", "h2", "n_words").dropDuplicates(["doc_id", "row_key"])
     classes = owners.where("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"))
     classes = written(classes)
@@ -210,7 +219,8 @@ def ngram_groups(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, reca
     placed = placed.withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     placed = placed.join(named, "root").select(F.col("node").alias("h1"), "h2", "copy_id", "n_copies", "class_id", F.coalesce("rows_linked", F.lit(0)).alias("rows_linked"))
-    out = owners.join(placed, ["h1", "h2"], "left")
+    # texts without words are all alike, and stay out of the join
+    out = owners.where("n_words > 0").join(placed, ["h1", "h2"], "left").unionByName(owners.where("n_words = 0"), allowMissingColumns=True)
     return out.select(
         "doc_id",
         "row_key",
@@ -225,7 +235,9 @@ def ngram_groups(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, reca
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """docs without all but one document of each group of ngram_groups.
 
-    The smallest doc_id of a group stays, once. Documents without words all stay.
+    The smallest doc_id of a group stays, once. Documents without words, null and
+    empty texts among them, all stay, rows that repeat doc_id and text once. Names
+    that begin with __sl_ are taken.
     """
     found = ngram_groups(docs, **parameters)
     first = found.withColumn("keep", (F.col("doc_id") == F.col("class_id")) | F.col("class_id").isNull() | (F.col("n_words") == 0))
