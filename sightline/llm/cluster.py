@@ -13,37 +13,53 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set."""
+    """The checkpoint folder of the session; one of our own only where none is set and all runs on this machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
             held = context._jsc.sc().getCheckpointDir()
         found = held.get()
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sightline-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and any executor can read it.
 
-    The files go when the session's file system handle closes.
+    The files go with forget(), or when the session's file system handle closes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sightline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    system, place = _path(spark, path)
+    system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all that written() has left in this session; results that still read it must have been written elsewhere."""
+    system, place = _path(spark, _own_folder(spark))
+    system.delete(place, True)
+
+
 def each_text(fn: Callable, *fixed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow over batches: fn(batch, *fixed) yields batches."""
 
@@ -63,10 +79,15 @@ def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int,
     the one pair (0, 0); a heavier one has n blocks and each of its rows n copies.
     With `unlike`, rows of keys that have one value of that column alone go.
     """
-    totals = df.groupBy(key).agg(F.sum(weight).alias("__w"), *([F.min(unlike).alias("__a"), F.max(unlike).alias("__b")] if unlike else []))
-    heavy = totals.where("__a <> __b" if unlike else F.col("__w") > limit)
-    heavy = heavy.select(key, F.ceil(F.col("__w") / limit).cast("int").alias("__n"))
-    dealt = df.join(heavy, key, "inner" if unlike else "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    if unlike:
+        # one window, so that the rows are made, dealt and sorted once
+        own = Window.partitionBy(key)
+        dealt = df.withColumns({"__w": F.sum(weight).over(own), "__a": F.min(unlike).over(own), "__b": F.max(unlike).over(own)}).where("__a <> __b")
+        dealt = dealt.withColumn("__n", F.ceil(F.col("__w") / limit).cast("int")).drop("__w", "__a", "__b")
+    else:
+        heavy = df.groupBy(key).agg(F.sum(weight).alias("__w")).where(F.col("__w") > limit)
+        heavy = heavy.select(key, F.ceil(F.col("__w") / limit).cast("int").alias("__n"))
+        dealt = df.join(heavy, key, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     dealt = dealt.withColumn("part", F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(unit), F.col("__n")).cast("int")))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return dealt.withColumns({"lo": F.least("part", "__j"), "hi": F.greatest("part", "__j")}).drop("__n", "__j")
@@ -192,15 +213,37 @@ def components(links: DataFrame, spark: SparkSession, most_alone: int = MOST_ALO
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+class Recent:
+    """Which hashes a task has met lately: a table of fixed size, which forgets and never invents."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.slots = np.zeros(1 << bits, dtype=np.uint64)
+        self.shift = np.uint64(64 - bits)
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows whose hash is the first of its kind here and not in the table, which then holds it."""
+        _, once = np.unique(hashes, return_index=True)
+        slot = (hashes[once] >> self.shift).astype(np.int64)
+        once = once[self.slots[slot] != hashes[once]]
+        self.slots[(hashes[once] >> self.shift).astype(np.int64)] = hashes[once]
+        return np.sort(once)
+
+
 class Bloom:
-    """A set of well-mixed longs as a bit table of fixed size: no member is missed, few others pass."""
+    """A set of well-mixed longs as a bit table: no member is missed, few others pass."""
 
     def __init__(self, words: np.ndarray, bits: int) -> None:
         self.words, self.bits = words, bits
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = 23) -> Bloom:
-        """Or the bits of all rows together on the executors; at most 2**(bits - 6) words come back."""
+    def of(cls, df: DataFrame, column: str, least_bits: int = 23, most_bits: int = 28) -> Bloom:
+        """Or the bits of all rows together on the executors; at most 2**(bits - 6) words come back.
+
+        The table has about 16 bits a row, from 2**least_bits up to 2**most_bits (32
+        MB); with far more rows than that it lets most pass, which costs time and
+        changes no result.
+        """
+        bits = min(most_bits, max(least_bits, (16 * df.count()).bit_length()))
         mask = (1 << bits) - 1
         at = [F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 64 - bits)]
         rows = df.select(F.explode(F.array(*at)).alias("p"))

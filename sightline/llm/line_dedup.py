@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Bloom, by_block, components, each_text, grouped, smallest_roots, written
+from .cluster import Bloom, Recent, by_block, components, grouped, smallest_roots, written
 from .edits import edits_within, many_within
 from .textkit import BASE, MIX_1, MIX_2, U64, as_long, fold, mix64, ragged, sums_by_text, text_slices, word_table
 
@@ -17,7 +17,7 @@ from .textkit import BASE, MIX_1, MIX_2, U64, as_long, fold, mix64, ragged, sums
 KEYS = 8
 GRAMS = ((0, 5), (20, 8), (64, 14))
 #: Bytes of the n-grams in a SimHash, and about how many of a long line's are counted.
-SIM_BYTES, SIM_GRAMS = 5, 96
+SIM_BYTES, SIM_GRAMS = 5, 64
 #: Lines that share a key before they are dealt into blocks.
 LINES_A_KEY = 8192
 #: A line counts once for every so many bytes against the size of a block.
@@ -197,22 +197,6 @@ def _eights(packed: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.ndarray((len(packed) + 9,), "<u8", padded, strides=(1,)))
 
 
-class Recent:
-    """Which hashes a task has met lately: a table of fixed size, which forgets and never invents."""
-
-    def __init__(self, bits: int = 16) -> None:
-        self.slots = np.zeros(1 << bits, dtype=U64)
-        self.shift = U64(64 - bits)
-
-    def fresh(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows whose hash is the first of its kind here and not in the table, which then holds it."""
-        _, once = np.unique(hashes, return_index=True)
-        slot = (hashes[once] >> self.shift).astype(np.int64)
-        once = once[self.slots[slot] != hashes[once]]
-        self.slots[(hashes[once] >> self.shift).astype(np.int64)] = hashes[once]
-        return np.sort(once)
-
-
 #: Bits of a mark's last part that tell the length, by steps of a hundredth.
 LENGTH_BITS, LENGTH_STEP = 12, 1.01
 
@@ -472,7 +456,7 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     bits = most_bits(similarity, distance)
     keyed = _keyed(docs)
     # a key that one line alone has goes
-    tables = keyed.select("text").mapInArrow(_keyed_lines(least_words, least_chars, similarity), "at long, node long, sim long, mark long").repartition("at")
+    tables = keyed.select("text").mapInArrow(_keyed_lines(least_words, least_chars, similarity), "at long, node long, sim long, mark long")
     dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, unlike="node").select("at", "lo", "hi", "node", "sim", "mark")
     length = F.col("mark").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
     met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", length)

@@ -170,8 +170,10 @@ def test_near_vectors_is_brute_force(spark):
     unit = {k: np.float64(v) / np.linalg.norm(np.float64(v)) for k, v, _ in rows if good[k]}
     links = [(a, b) for a, b in itertools.combinations(sorted(unit), 2) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
     want = groups_of(len(rows), links)
-    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, node string")
-    for parameters in ({}, {"target": 15, "block": 10}):
+    frames = {kind: spark.createDataFrame([(*r, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, node string") for kind in ("float", "double")}
+    vectors = frames["float"]
+    for kind, parameters in (("float", {}), ("double", {}), ("float", {"target": 15, "block": 640}), ("double", {"target": 15, "block": 640}), ("double", {"target": 15, "most_bytes": 640})):
+        vectors = frames[kind]
         got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(vectors, **parameters).collect()}
         assert [got[k]["n_links"] for k in range(len(rows))] == [sum(k in link for link in links) for k in range(len(rows))]
         assert [got[k]["component_id"] for k in range(len(rows))] == want
