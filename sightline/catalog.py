@@ -253,7 +253,7 @@ def nms_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nms_soft")
 def nms_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nms.suppress(det(spark, sf_dir), FRAME, "det_idx", iou_threshold=0.4, method="gauss", score_threshold=0.2)
+    return rounded(nms.suppress(det(spark, sf_dir), FRAME, "det_idx", iou_threshold=0.4, method="gauss", score_threshold=0.2))
 
 
 @query("nms_topk", f"WITH {DET} SELECT camera, frame_id, det_idx, score, row_number() OVER (PARTITION BY camera, frame_id ORDER BY score DESC, det_idx) AS rank FROM det WHERE score >= 0.6 QUALIFY rank <= 3")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import TrackError, require
 from ..functions import boxes, vectors
 from ..functions.costs import FORBIDDEN
-from ..plans.grouping import grouped_map
+from ..plans.grouping import folded, grouped_map
 from .retrieval import small
 
 INSTANT = ["group_id", "instant"]
@@ -183,7 +183,8 @@ Key = tuple[str, int]
 class Gate:
     """Lets a track through after min_hits instants in a row in which it is tall enough.
 
-    A streak waits while its camera is absent, up to max_absent instants.
+    A streak waits while its camera is absent, up to max_absent instants, and ends
+    when the camera reports without the track.
     """
 
     def __init__(self, *, min_hits: int = 3, min_height_fraction: float = 1 / 9, max_absent: int = 32) -> None:
@@ -385,12 +386,21 @@ class CrossCamera:
         np.fill_diagonal(out, 0)
         return out
 
-    def step(self, rows: list[dict]) -> list[dict]:
-        """Rows with global_id (null while gated), cluster and hits."""
+    def step(self, rows: list[dict], cameras: set[str] | None = None) -> list[dict]:
+        """Rows with global_id (null while gated), cluster and hits.
+
+        cameras are all that reported at this instant, those that saw nothing too;
+        without them, those of the rows. A row without a track stands for a camera
+        that saw nothing.
+        """
+        cameras = {r["camera_id"] for r in rows} | (cameras or set())
+        rows = [r for r in rows if not pd.isna(r["track_id"])]
+        for r in rows:
+            r["track_id"] = int(r["track_id"])
         rows = sorted(rows, key=lambda r: (r["camera_id"], r["track_id"]))
         keys = [(r["camera_id"], r["track_id"]) for r in rows]
         require(len(set(keys)) == len(keys), "a track occurs twice at one instant")
-        through = self.gate.admit(rows, {r["camera_id"] for r in rows})
+        through = self.gate.admit(rows, cameras)
         labels = average_linkage(self.matrix(through), self.cut).tolist() if len(through) > 1 else [0] * len(through)
         ids = self.ids.assign(through, labels)
         cluster = {(r["camera_id"], r["track_id"]): label for r, label in zip(through, labels)}
@@ -400,10 +410,24 @@ class CrossCamera:
 OUT_SCHEMA = "group_id string, instant long, camera_id string, track_id long, global_id long, cluster int, hits int"
 
 
-def global_tracks(observations: DataFrame, homographies: DataFrame | None = None, **parameters) -> DataFrame:
+def empty_views(roster: DataFrame, observations: DataFrame) -> DataFrame:
+    """A row without a track for each (group_id, instant, camera_id) of a roster, in the columns of observations.
+
+    It tells that the camera reported, which matters where it saw nothing.
+    """
+    kinds = dict(observations.dtypes)
+    given = roster.select(*INSTANT, "camera_id").distinct()
+    return given.select(*[F.col(c) if c in (*INSTANT, "camera_id") else F.lit(None).cast(kinds[c]).alias(c) for c in observations.columns])
+
+
+def global_tracks(observations: DataFrame, homographies: DataFrame | None = None, roster: DataFrame | None = None, **parameters) -> DataFrame:
     """One row per observation with its global id; each camera group's instants are folded in order in one task.
 
-    The homographies travel with the tasks: one row a camera, at most 20 000.
+    The task holds one instant at a time. roster lists the cameras that reported,
+    (group_id, instant, camera_id), so that one that saw nothing ends its tracks'
+    streaks; without it, or an observation of it without track, a camera counts as
+    absent where it has no rows. The homographies travel with the tasks: one row a
+    camera, at most 20 000.
     """
     CrossCamera(**parameters)
     maps: dict[str, dict] = {}
@@ -412,12 +436,10 @@ def global_tracks(observations: DataFrame, homographies: DataFrame | None = None
         require(len(rows) <= 20_000, "at most 20000 cameras can be mapped at once")
         maps = {r["camera_id"]: r.asDict() for r in rows}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = CrossCamera(homographies=maps, **parameters)
-        out = []
-        for instant, rows in pdf.groupby("instant", sort=True):
-            out += [{"group_id": pdf["group_id"].iloc[0], "instant": instant, **r} for r in tracker.step(rows.to_dict("records"))]
-        made = pd.DataFrame(out)
-        return made.astype({"global_id": "Int64", "cluster": "Int32"})
-
-    return observations.groupBy("group_id").applyInPandas(one, OUT_SCHEMA)
+    def step(tracker: CrossCamera, rows: pd.DataFrame) -> list[dict]:
+        instant = rows["instant"].iloc[0]
+        return [{"instant": instant, **r} for r in tracker.step(rows.to_dict("records"))]
+
+    seen = observations if roster is None else observations.unionByName(empty_views(roster, observations))
+    out = folded(seen, "group_id", "instant", lambda: CrossCamera(homographies=maps, **parameters), step, OUT_SCHEMA.replace("global_id long, cluster int", "global_id double, cluster double"))
+    return out.withColumns({"global_id": F.col("global_id").cast("long"), "cluster": F.col("cluster").cast("int")})

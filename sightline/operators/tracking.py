@@ -19,6 +19,7 @@ from ..errors import TrackError, require
 from ..functions import arrays, kalman
 from ..functions.assignment import Solved, associate, associate_locked, associate_subset, cascade
 from ..functions.costs import FORBIDDEN
+from ..plans.grouping import folded
 from ..schema import TRACKS
 
 TENTATIVE, CONFIRMED, LOST, REMOVED = range(4)
@@ -452,11 +453,10 @@ def accepted_parameters(name: str) -> set[str]:
 TRACK_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRACKS.fields)
 
 
-def fold(name: str, parameters: dict, frames: pd.DataFrame) -> list[dict]:
-    """A fresh tracker over one camera's frames in order."""
-    tracker = build(name, **parameters)
+def stepped(tracker: Tracker, frames: pd.DataFrame) -> list[dict]:
+    """A tracker's next frames; a frame that occurs twice is refused."""
     out: list[dict] = []
-    for row in frames.sort_values("frame_id").to_dict("records"):
+    for row in frames.to_dict("records"):
         affine = row.get("affine")
         moved = None if affine is None else np.asarray(list(affine), dtype=float).reshape(2, 3)
         out += tracker.step(int(row["frame_id"]), Detections.of(row["items"]), int(row.get("height") or 0), int(row.get("width") or 0), moved)
@@ -468,18 +468,12 @@ def track(frames: DataFrame, name: str = "bytetrack", **parameters) -> DataFrame
 
     frames has one row a frame: camera_id, frame_id, height, width, items and, if
     there is one, affine (six numbers, rows first). Empty frames must be rows, as
-    tracks age on them. A camera's frames are folded in order in one task; cameras
-    run side by side. Track ids count from 1 in each camera.
+    tracks age on them. A camera's frames are folded in order in one task, which
+    holds one frame at a time; cameras run side by side. Track ids count from 1 in each camera.
     """
     build(name, **parameters)
     columns = [c for c in ("camera_id", "frame_id", "height", "width", "items", "affine") if c in frames.columns]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = pd.DataFrame(fold(name, parameters, pdf), columns=[f.name for f in TRACKS.fields if f.name != "camera_id"])
-        made.insert(0, "camera_id", pdf["camera_id"].iloc[0])
-        return made
-
-    return frames.select(*columns).groupBy("camera_id").applyInPandas(one, TRACK_SCHEMA)
+    return folded(frames.select(*columns), "camera_id", "frame_id", lambda: build(name, **parameters), stepped, TRACK_SCHEMA)
 
 
 def with_motion(frames: DataFrame, motions: DataFrame, *, strict: bool = False) -> DataFrame:

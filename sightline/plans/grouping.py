@@ -1,4 +1,4 @@
-"""Grouped maps over sorted partitions: cheaper than one call per group where groups are many and small."""
+"""Grouped maps and folds over sorted partitions: cheaper than one call per group, and one group is held at a time."""
 
 from __future__ import annotations
 
@@ -9,25 +9,81 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key in turn, from batches sorted by key; nulls of a key are one group."""
+    held: list[pd.DataFrame] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch[k] for k in keys]
+        change = np.zeros(len(batch), dtype=bool)
+        for c in columns:
+            v, none = c.to_numpy(), c.isna().to_numpy()
+            change[1:] |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
+        cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = tuple(None if pd.isna(c.iloc[a]) else c.iloc[a] for c in columns)
+            if held and now != last:
+                yield _joined(held)
+                held = []
+            last = now
+            held.append(batch.iloc[a:b])
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return (parts[0] if len(parts) == 1 else pd.concat(parts)).reset_index(drop=True)
+
+
+#: Rows gathered before they are handed back.
+ROWS_AT_ONCE = 4096
+
+
+def _together(made: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    size = 0
+    for part in made:
+        if len(part):
+            held.append(part)
+            size += len(part)
+        if size >= ROWS_AT_ONCE:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
 def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """fn over the rows of each key in turn; rows are dealt by key and sorted, and one group is held at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for batch in batches:
-            batch = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            change = np.zeros(len(batch), dtype=bool)
-            for k in keys:
-                v = batch[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change)]
-            made = [fn(batch.iloc[a:b].reset_index(drop=True)) for a, b in zip(cuts[:-1], cuts[1:])]
-            rest = batch.iloc[cuts[-1] :].reset_index(drop=True)
-            if made:
-                yield pd.concat(made, ignore_index=True)
-        if rest is not None and len(rest):
-            yield fn(rest)
+        yield from _together(fn(rows) for rows in runs(batches, keys))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def folded(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
+    """A fold of each key's rows in order, one value of `order` at a time.
+
+    start() makes a key's state; step(state, rows) takes the rows of one value of
+    `order` and returns rows without the key, which is put before them. A key is
+    one task; it holds its state and the rows of one step, however long the key is.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = None, None
+        for rows in runs(batches, [key, order]):
+            now = None if pd.isna(rows[key].iloc[0]) else rows[key].iloc[0]
+            if state is None or now != last:
+                state, last = start(), now
+            made = step(state, rows)
+            if made:
+                yield pd.DataFrame([{key: now, **r} for r in made], columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _together(each(batches))
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)

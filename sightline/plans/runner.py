@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import require
 from ..operators import evaluation, tracking
+from . import grouping
 
 COLUMNS = ["HOTA", "DetA", "AssA", "MOTA", "MOTP", "IDF1", "FP", "FN", "IDSW"]
 COUNTS = {"FP", "FN", "IDSW", "TP", "MT", "PT", "ML", "Frag"}
@@ -21,19 +22,22 @@ def objects(tracks: DataFrame) -> DataFrame:
 
 
 def run(frames: DataFrame, tracker: str, **parameters) -> DataFrame:
-    """Published tracks with the seconds that each camera's frames took, in the column seconds."""
+    """Published tracks with the seconds that the camera's frames took so far, in the column seconds."""
     tracking.build(tracker, **parameters)
     columns = [c for c in ("camera_id", "frame_id", "height", "width", "items", "affine") if c in frames.columns]
-    names = ["frame_id", "track_id", "x1", "y1", "x2", "y2"]
+    schema = "camera_id string, frame_id long, track_id long, x1 float, y1 float, x2 float, y2 float, seconds double"
+    names = [part.split()[0] for part in schema.split(", ")][1:-1]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start() -> list:
+        return [tracking.build(tracker, **parameters), 0.0]
+
+    def step(state: list, rows: pd.DataFrame) -> list[dict]:
         began = time.perf_counter()
-        made = pd.DataFrame(tracking.fold(tracker, parameters, pdf), columns=[*names, "seconds"])
-        made["seconds"] = time.perf_counter() - began
-        made.insert(0, "camera_id", pdf["camera_id"].iloc[0])
-        return made
+        made = tracking.stepped(state[0], rows)
+        state[1] += time.perf_counter() - began
+        return [{**{n: r[n] for n in names}, "seconds": state[1]} for r in made]
 
-    return frames.select(*columns).groupBy("camera_id").applyInPandas(one, "camera_id string, frame_id long, track_id long, x1 float, y1 float, x2 float, y2 float, seconds double")
+    return grouping.folded(frames.select(*columns), "camera_id", "frame_id", start, step, schema)
 
 
 def evaluate(case: dict[str, DataFrame], tracker: str, *, threshold: float = 0.5, **parameters) -> DataFrame:
