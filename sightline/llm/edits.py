@@ -6,7 +6,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Pairs that are worth one run over bands, pairs in a run, and 64-bit words of the widest band.
-FEW, MANY, MOST_WORDS = 10, 2048, 12
+FEW, MANY, MOST_WORDS = 40, 2048, 16
 #: Steps after which pairs that are beyond their bound are put aside.
 STRIDE = 32
 
@@ -39,28 +39,30 @@ def _at_once(a: str, b: str, most: int) -> bool | None:
 
 
 def _by_columns(a: str, b: str, most: int) -> bool:
-    """Columns of the distance matrix as bit vectors of vertical steps (Myers 1999)."""
+    """One pair: the band of _by_bands in one integer of as many bits as it has diagonals."""
     if len(a) > len(b):
         a, b = b, a
+    apart = len(b) - len(a)
+    beyond = (most - apart) // 2
+    width = apart + 2 * beyond + 1
+    full = (1 << width) - 1
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
+    up, down, score = full >> width - 1 - beyond << width - 1 - beyond, 0, apart
     for j, c in enumerate(b):
-        equal = where.get(c, 0)
-        steps = (((equal & up) + up) ^ up) | equal | down
-        rise, fall = down | ~(steps | up) & full, up & steps
-        distance += 1 if rise & top else -1 if fall & top else 0
-        if distance - (len(b) - j - 1) > most:
-            return False
-        rise = rise << 1 | 1
-        up, down = (fall << 1 | ~(steps | rise)) & full, rise & steps & full
-        # the distance never falls along the diagonal that ends in the last cell
-        i = j + 1 - (len(b) - len(a))
-        if j % STRIDE == STRIDE - 1 and i > 0 and j + 1 + (up & (1 << i) - 1).bit_count() - (down & (1 << i) - 1).bit_count() > most:
-            return False
-    return distance <= most
+        at = where.get(c, 0)
+        shift = j + beyond - width + 1
+        equal = (at >> shift if shift >= 0 else at << -shift) & full
+        zero = ((((equal & up) + up) ^ up) | equal | down) & full
+        if j >= apart and not zero >> beyond & 1:
+            score += 1
+            if score > most:
+                return False
+        rise = down | full ^ (zero | up)
+        moved = zero >> 1
+        up, down = zero & up | full ^ (moved | rise), moved & rise
+    return True
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -178,20 +180,21 @@ def many_within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
         return out
     at, bound = np.array(left), most[left]
     shorter = np.array([len(a) for a, _ in trimmed])
-    words = bound // 64 + 1
+    # runs of twice the length and the width at most: there are few, and each has many pairs
+    words = np.ceil(np.log2(bound // 64 + 1)).astype(np.int64)
     order = np.lexsort((shorter, words))
     start = 0
     while start < len(order):
         head = order[start]
-        alike = (words[order[start:]] == words[head]) & (shorter[order[start:]] <= 1.25 * shorter[head] + 32)
+        alike = (words[order[start:]] == words[head]) & (shorter[order[start:]] <= 2 * shorter[head])
         stop = start + min(MANY, int(np.argmin(alike)) if not alike.all() else len(alike))
         own = order[start:stop]
         start = stop
-        wide = words[own] <= MOST_WORDS
-        if wide.sum() >= FEW:
-            some = own[wide]
+        narrow = bound[own] // 64 < MOST_WORDS
+        if narrow.sum() >= FEW:
+            some = own[narrow]
             out[at[some]] = _by_bands([trimmed[k] for k in some], bound[some].astype(np.int64))
-            own = own[~wide]
+            own = own[~narrow]
         for k in own:
             out[at[k]] = _by_columns(*trimmed[k], int(bound[k]))
     return out

@@ -473,13 +473,13 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
     linked = written(components(grouped(met, ["root", "lo", "hi"], _verified, "a long, b long", bits, similarity), spark))
 
+    # most lines are alone; only the others are sorted
+    counts = lines.groupBy("node").agg(F.count("*").alias("n")).join(linked, "node", "left")
+    met = counts.where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("group"))
+    placed = written(lines.select("doc_id", "row_key", "line", "node").join(met, "node").drop("node"))
     here = F.struct("doc_id", "row_key", "line")
-    heads = lines.groupBy("node").agg(F.min(here).alias("first"), F.count("*").alias("n")).join(linked, "node", "left")
-    alone = heads.where("root IS NULL AND n > 1").select("node", "first")
-    joined = heads.where("root IS NOT NULL")
-    firsts = joined.groupBy("root").agg(F.min("first").alias("first"))
-    kept = alone.unionByName(joined.select("node", "root").join(firsts, "root").select("node", "first"))
-    rest = lines.select("doc_id", "row_key", "line", "node").join(kept, "node").where(here != F.col("first"))
+    firsts = placed.groupBy("group").agg(F.min(here).alias("first"))
+    rest = placed.join(firsts, "group").where(here != F.col("first"))
     return rest.select("doc_id", "row_key", "line", F.col("first.doc_id").alias("kept_doc"), F.col("first.line").alias("kept_line"))
 
 
