@@ -3,11 +3,13 @@
 P(word | history) = P(class | history) * P(word | class, history). The classes
 are bins of the most frequent words by frequency, a class for "the last word
 again", and a class for all other words, whose words follow their corpus counts.
+The bins after the first ones hold groups of words, and P(word | class, history)
+is P(group | class, history) * P(word | group, history) there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -19,10 +21,12 @@ from .cluster import written
 from .textkit import BASE, MIX_2, U64, as_long, find_words, hash_spans, text_slices
 from .training import in_fold
 
-#: Classes, words in a class, rows of each feature table, rows of a training batch.
-CLASSES, WORDS = 32, 32
+#: Classes, words (or groups of as many words) in a class, classes of words, rows of a training batch.
+CLASSES, WORDS, PLAIN = 32, 32, 16
 COPY, TAIL = CLASSES - 2, CLASSES - 1
-ROWS = 1 << 13
+DEEP = COPY - PLAIN
+#: Words that the model can tell apart by context.
+MOST_WORDS = PLAIN * WORDS + DEEP * WORDS * WORDS
 BATCH = 1 << 14
 #: Hashes that stand for the end and the start of a text; no word's bytes give these by rule, only by chance.
 END, START = 0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D
@@ -100,16 +104,22 @@ class Counts:
 
 @dataclass(frozen=True)
 class Model:
-    """vocabulary[k] is word k % WORDS of class k // WORDS; classes, words, by_class and by_word are weights."""
+    """Weights of the classes, of the words or groups in them, and of the words in groups; the tables are by feature."""
 
     vocabulary: np.ndarray
     classes: np.ndarray
     words: np.ndarray
+    leaves: np.ndarray
     by_class: np.ndarray
     by_word: np.ndarray
+    by_leaf: np.ndarray
     again: np.ndarray
     tail_total: float
 
+    @property
+    def bits(self) -> int:
+        return len(self.by_class).bit_length() - 1
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of a partition, merged in memory up to a bound."""
@@ -145,29 +155,50 @@ def count(texts: DataFrame, most_known: int = 1 << 18) -> tuple[Counts, DataFram
     return Counts(int(row["total"] or 0), int(row["distinct"]), int(row["ends"] or 0), least, known["token"].to_numpy(dtype=np.int64).view(U64), known["n"].to_numpy(dtype=np.int64)), table
 
 
-def start(counts: Counts) -> Model:
-    """The unigram model: biases are the logarithms of the counts, all other weights 0."""
-    size = (CLASSES - 2) * WORDS
+def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, slot in it and leaf of words of the vocabulary by number; a leaf is -1 in the first classes, all are -1 for number -1."""
+    deep = at - PLAIN * WORDS
+    plain = deep < 0
+    kind = np.where(plain, at // WORDS, PLAIN + deep // WORDS**2)
+    slot = np.where(plain, at % WORDS, deep // WORDS % WORDS)
+    leaf = np.where(plain, -1, deep % WORDS)
+    return tuple(np.where(at < 0, -1, v) for v in (kind, slot, leaf))
+
+
+def start(counts: Counts, *, least: int = 8, least_bits: int = 13, most_bits: int = 15) -> Model:
+    """The unigram model: biases are the logarithms of the counts, all other weights 0.
+
+    The vocabulary holds the words of `least` occurrences or more, MOST_WORDS at
+    most; a feature table has a row for about 16 distinct words of the corpus, at
+    least 2**least_bits and at most 2**most_bits.
+    """
+    size = int(min(MOST_WORDS, (counts.numbers >= least).sum()))
     top, number = counts.hashes[:size], counts.numbers[:size].astype(np.float64)
-    words = np.full((CLASSES, WORDS), OUT, dtype=np.float32)
-    words.ravel()[: len(top)] = np.log(number)
-    mass = np.zeros(CLASSES)
-    np.add.at(mass, np.arange(len(top)) // WORDS, number)
+    kind, slot, leaf = placed(np.arange(size))
+    mass = np.zeros((CLASSES, WORDS))
+    np.add.at(mass, (kind, slot), number)
+    inner = np.zeros((DEEP * WORDS, WORDS))
+    deep = leaf >= 0
+    inner[(kind[deep] - PLAIN) * WORDS + slot[deep], leaf[deep]] = number[deep]
+    log = lambda v: np.where(v > 0, np.log(np.maximum(v, 1e-300)), OUT).astype(np.float32)
     rest = counts.total - number.sum()
-    mass[COPY] = PRIOR + 0.001 * rest
-    mass[TAIL] = PRIOR + rest
-    classes = np.where(mass > 0, np.log(np.maximum(mass, 1e-300)), OUT).astype(np.float32)
-    classes[classes > OUT] -= np.float32(np.log(mass.sum()))
+    total = mass.sum(axis=1)
+    total[COPY] = PRIOR + 0.001 * rest
+    total[TAIL] = PRIOR + rest
+    classes = log(total)
+    classes[classes > OUT] -= np.float32(np.log(total.sum()))
     tail_total = rest + PRIOR * (counts.distinct - len(top) + 1)
-    return Model(top, classes, words, np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, WORDS), np.float32), np.zeros(2, np.float32), float(tail_total))
+    rows = 1 << int(np.clip(int(counts.distinct // 16).bit_length(), least_bits, most_bits))
+    tables = [np.zeros((rows, n), np.float32) for n in (CLASSES, WORDS, WORDS)]
+    return Model(top, classes, log(mass), log(inner), *tables, np.zeros(4, np.float32), float(tail_total))
 
 
-def _row(kind: int, *parts: np.ndarray) -> np.ndarray:
+def _row(bits: int, kind: int, *parts: np.ndarray) -> np.ndarray:
     value = np.full(len(parts[0]), kind * BASE & (1 << 64) - 1, dtype=U64)
     for p in parts:
         value = (value ^ p) * U64(BASE)
         value = value ^ (value >> U64(31))
-    return ((value * U64(MIX_2)) >> U64(64 - 13)).astype(np.int64)
+    return ((value * U64(MIX_2)) >> U64(64 - bits)).astype(np.uint16)
 
 
 @dataclass(frozen=True)
@@ -176,15 +207,20 @@ class Steps:
 
     target: np.ndarray
     slot: np.ndarray
+    leaf: np.ndarray
     features: list[np.ndarray]
     word_features: list[np.ndarray]
+    leaf_features: list[np.ndarray]
     may_copy: np.ndarray
     same: np.ndarray
-    last_class: np.ndarray
-    last_slot: np.ndarray
+    last: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @property
+    def group(self) -> np.ndarray:
+        return (self.target - PLAIN) * WORDS + self.slot
 
 
-def steps(tokens: np.ndarray, begins: np.ndarray, lookup: Lookup) -> Steps:
+def steps(tokens: np.ndarray, begins: np.ndarray, lookup: Lookup, bits: int) -> Steps:
     """Classes, words in them, and hashed features: last word, the one before it (a skip), both, and whether they are equal."""
     one = np.roll(tokens, 1)
     one[begins[:-1]] = START
@@ -198,11 +234,14 @@ def steps(tokens: np.ndarray, begins: np.ndarray, lookup: Lookup) -> Steps:
     may_copy = (last < 0) & ~fresh
     same = (one == two) & ~fresh
     copied = may_copy & (tokens == one)
-    target = np.where(copied, COPY, np.where(at >= 0, at // WORDS, TAIL))
-    last_class = np.where(last >= 0, last // WORDS, -1)
-    kind = target.astype(U64)
-    features = [_row(1, one), _row(2, two), _row(3, one, two), _row(4, (same * 64 + last_class + 1).astype(U64))]
-    return Steps(target, np.where(at >= 0, at % WORDS, 0), features, [_row(5, one, kind), _row(6, two, kind)], may_copy, same, last_class, np.where(last >= 0, last % WORDS, 0))
+    kind, slot, leaf = placed(at)
+    target = np.where(copied, COPY, np.where(at >= 0, kind, TAIL))
+    slot, leaf = np.maximum(slot, 0), np.where(copied, -1, leaf)
+    before = placed(last)
+    features = [_row(bits, 1, one), _row(bits, 2, two), _row(bits, 3, one, two), _row(bits, 4, (same * 64 + before[0] + 1).astype(U64))]
+    within = target.astype(U64)
+    inside = within * U64(WORDS) + slot.astype(U64)
+    return Steps(target, slot, leaf, features, [_row(bits, 5, one, within), _row(bits, 6, two, within)], [_row(bits, 7, one, inside), _row(bits, 8, two, inside)], may_copy, same, before)
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -222,123 +261,168 @@ def _class_chances(model: Model, s: Steps, part: slice) -> np.ndarray:
 
 
 def _word_chances(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
-    """Chances of the words of the target class, at positions whose class has words."""
+    """Chances of the words or groups of the target class, at positions whose class has some."""
     z = model.words[s.target[at]]
     for f in s.word_features:
         z += model.by_word[f[at]]
-    own = np.flatnonzero(s.last_class[at] == s.target[at])
-    z[own, s.last_slot[at[own]]] += model.again[s.same[at[own]].astype(np.int64)]
+    own = _again(s, at, 0)
+    z[own, s.last[1][at[own]]] += model.again[s.same[at[own]].astype(np.int64)]
     return _soft(z)
 
 
-def _spread(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
+def _leaf_chances(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
+    """Chances of the words of the target group, at positions whose word is in one."""
+    z = model.leaves[s.group[at]]
+    for f in s.leaf_features:
+        z += model.by_leaf[f[at]]
+    own = _again(s, at, 1)
+    z[own, s.last[2][at[own]]] += model.again[2 + s.same[at[own]].astype(np.int64)]
+    return _soft(z)
+
+
+def _again(s: Steps, at: np.ndarray, level: int) -> np.ndarray:
+    """Which positions have the last word in their class, or in their group."""
+    own = s.last[0][at] == s.target[at]
+    if level:
+        own &= (s.last[1][at] == s.slot[at]) & (s.last[2][at] >= 0)
+    return np.flatnonzero(own)
+
+
+def _spread(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
     """An AdaGrad step on the rows that occur."""
-    order = np.argsort(rows, kind="stable")
-    found, begin = np.unique(rows[order], return_index=True)
-    push = np.add.reduceat(slope[order], begin, axis=0)
-    squares[found] += push**2
-    table[found] += rate * push / np.sqrt(squares[found] + 1e-3)
+    number = np.bincount(rows, minlength=len(table))
+    found = np.flatnonzero(number)
+    seen += number
+    rank = np.empty(len(table), dtype=np.int64)
+    rank[found] = np.arange(len(found))
+    width = slope.shape[1]
+    at = (rank[rows] * width)[:, None] + np.arange(width)
+    push = np.bincount(at.ravel(), weights=slope.ravel(), minlength=len(found) * width).reshape(-1, width).astype(np.float32)
+    grown = squares[found]
+    grown += push**2
+    squares[found] = grown
+    push *= np.float32(rate)
+    push /= np.sqrt(grown + np.float32(1e-3))
+    table[found] += push
+
+
+TABLES = ("by_class", "by_word", "by_leaf")
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model, rate: float) -> Iterator[pa.RecordBatch]:
     """Gradient steps over a partition from the shared weights; what each touched row moved."""
     lookup = Lookup(model.vocabulary)
-    own = replace(model, by_class=model.by_class.copy(), by_word=model.by_word.copy(), again=model.again.copy())
-    squares = [np.zeros_like(own.by_class), np.zeros_like(own.by_word)]
-    seen = np.zeros((2, ROWS), dtype=np.int64)
-    again = np.zeros((2, 2))
+    own = replace(model, **{t: getattr(model, t).copy() for t in (*TABLES, "again")})
+    tables = [getattr(own, t) for t in TABLES]
+    squares = [np.zeros_like(t) for t in tables]
+    rows = len(own.by_class)
+    seen = np.zeros((3, rows), dtype=np.int64)
+    again = np.zeros(4)
     for batch in batches:
         for _, _, raw, offsets in text_slices(batch.column("text")) if batch.num_rows else ():
-            s = steps(*tokens_of(raw, offsets), lookup)
+            s = steps(*tokens_of(raw, offsets), lookup, own.bits)
             for a in range(0, len(s.target), BATCH):
                 part = slice(a, min(a + BATCH, len(s.target)))
                 slope = -_class_chances(own, s, part)
                 slope[np.arange(len(slope)), s.target[part]] += 1
                 for f in s.features:
-                    _spread(own.by_class, squares[0], f[part], slope, rate)
-                    seen[0] += np.bincount(f[part], minlength=ROWS)
-                at = a + np.flatnonzero(s.target[part] < COPY)
-                if len(at):
-                    slope = -_word_chances(own, s, at)
-                    slope[np.arange(len(at)), s.slot[at]] += 1
-                    mine = np.flatnonzero(s.last_class[at] == s.target[at])
-                    kind = s.same[at[mine]].astype(np.int64)
-                    push = np.bincount(kind, weights=slope[mine, s.last_slot[at[mine]]], minlength=2)
-                    again[1] += push**2
-                    own.again[:] += (rate * push / np.sqrt(again[1] + 1e-3)).astype(np.float32)
-                    for f in s.word_features:
-                        _spread(own.by_word, squares[1], f[at], slope, rate)
-                        seen[1] += np.bincount(f[at], minlength=ROWS)
-    moved = [own.by_class - model.by_class, own.by_word - model.by_word]
+                    _spread(tables[0], squares[0], seen[0], f[part], slope, rate)
+                inside = a + np.flatnonzero(s.target[part] < COPY)
+                for level, at, chances, goal, features in ((0, inside, _word_chances, s.slot, s.word_features), (1, inside[s.leaf[inside] >= 0], _leaf_chances, s.leaf, s.leaf_features)):
+                    if len(at):
+                        slope = -chances(own, s, at)
+                        slope[np.arange(len(at)), goal[at]] += 1
+                        mine = _again(s, at, level)
+                        push = np.bincount(s.same[at[mine]].astype(np.int64), weights=slope[mine, s.last[1 + level][at[mine]]], minlength=2)
+                        both = slice(2 * level, 2 * level + 2)
+                        again[both] += push**2
+                        own.again[both] += (rate * push / np.sqrt(again[both] + 1e-3)).astype(np.float32)
+                        for f in features:
+                            _spread(tables[1 + level], squares[1 + level], seen[1 + level], f[at], slope, rate)
     ids, values, weights = [], [], []
-    for k in (0, 1):
-        rows = np.flatnonzero(seen[k])
-        ids.append(rows + k * ROWS)
-        values += [r.tobytes() for r in moved[k][rows].astype(np.float16)]
-        weights.append(seen[k][rows])
-    ids.append(np.array([2 * ROWS]))
-    values.append(np.pad(own.again - model.again, (0, CLASSES - 2)).astype(np.float16).tobytes())
+    for k, t in enumerate(TABLES):
+        some = np.flatnonzero(seen[k])
+        ids.append(some + k * rows)
+        values += [r.tobytes() for r in (tables[k][some] - getattr(model, t)[some]).astype(np.float16)]
+        weights.append(seen[k][some])
+    ids.append(np.array([3 * rows]))
+    values.append(np.pad(own.again - model.again, (0, CLASSES - 4)).astype(np.float16).tobytes())
     weights.append(np.array([1]))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(weights)), pa.array(values, type=pa.binary())], names=["row", "weight", "moved"])
 
 
-def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mean(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Mean move of each row over the partitions that saw it, weighed by the square root of how often."""
-    total, weight = np.zeros((2 * ROWS + 1, CLASSES)), np.zeros(2 * ROWS + 1)
-    for batch in batches:
-        if batch.num_rows:
-            rows = batch.column("row").to_numpy()
-            w = np.sqrt(batch.column("weight").to_numpy().astype(np.float64))
-            moved = np.frombuffer(b"".join(batch.column("moved").to_pylist()), dtype=np.float16).reshape(len(rows), CLASSES)
-            np.add.at(total, rows, moved.astype(np.float64) * w[:, None])
-            np.add.at(weight, rows, w)
-    some = np.flatnonzero(weight)
-    if len(some):
-        mean = (total[some] / weight[some][:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([m.tobytes() for m in mean], type=pa.binary())], names=["row", "moved"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros((3 * rows + 1, CLASSES), dtype=np.float32), np.zeros(3 * rows + 1)
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column("row").to_numpy()
+                w = np.sqrt(batch.column("weight").to_numpy().astype(np.float64))
+                moved = np.frombuffer(b"".join(batch.column("moved").to_pylist()), dtype=np.float16).reshape(len(at), CLASSES)
+                np.add.at(total, at, moved.astype(np.float32) * w[:, None].astype(np.float32))
+                np.add.at(weight, at, w)
+        some = np.flatnonzero(weight)
+        if len(some):
+            mean = total[some] / weight[some][:, None].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([m.astype(np.float16).tobytes() for m in mean], type=pa.binary())], names=["row", "moved"])
+
+    return run
 
-def fit(texts: DataFrame, counts: Counts, *, rounds: int = 2, rate: float = 0.1) -> Model:
-    """Train on all texts: each round is a share of the documents, and each partition a run of gradient steps.
+
+def fit(texts: DataFrame, counts: Counts, *, rounds: int = 2, passes: int = 1, rate: float = 0.1, **sizes) -> Model:
+    """Train on all texts, `passes` times: each of a pass's `rounds` is a share of the documents, and each partition a run of gradient steps.
 
     After a round the partitions' moves are averaged row by row on the executors;
-    2 * ROWS + 1 rows come to the driver, whatever the corpus.
+    three tables of rows and one more come to the driver. sizes go to start().
     """
-    model = start(counts)
-    for r in range(rounds):
+    model = start(counts, **sizes)
+    rows = len(model.by_class)
+    for r in [*range(rounds)] * passes:
         own = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(rounds)) == r).select("text")
 
         def train(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             yield from _train(batches, model, rate)
 
         moves = own.mapInArrow(train, "row long, weight long, moved binary")
-        got = moves.repartition("row").mapInArrow(_mean, "row long, moved binary").toPandas()
-        step = np.zeros((2 * ROWS + 1, CLASSES), dtype=np.float32)
+        got = moves.repartition("row").mapInArrow(_mean(rows), "row long, moved binary").toPandas()
+        step = np.zeros((3 * rows + 1, CLASSES), dtype=np.float32)
         if len(got):
-            step[got["row"].to_numpy()] = np.frombuffer(b"".join(bytes(m) for m in got["moved"]), dtype=np.float32).reshape(len(got), CLASSES)
-        model = replace(model, by_class=model.by_class + step[:ROWS], by_word=model.by_word + step[ROWS : 2 * ROWS], again=model.again + step[-1, :2])
+            step[got["row"].to_numpy()] = np.frombuffer(b"".join(bytes(m) for m in got["moved"]), dtype=np.float16).reshape(len(got), CLASSES)
+        moved = {t: getattr(model, t) + step[k * rows : (k + 1) * rows] for k, t in enumerate(TABLES)}
+        model = replace(model, **moved, again=model.again + step[-1, :4])
     return model
 
 
+def gains(tokens: np.ndarray, begins: np.ndarray, model: Model, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """log10 P(class) * P(word | class) at each token, but for the words of the tail their class alone; and where those are."""
+    s = steps(tokens, begins, lookup, model.bits)
+    out = np.zeros(len(tokens))
+    log = lambda p: np.log10(np.maximum(p, 1e-30))
+    for a in range(0, len(tokens), BATCH):
+        part = slice(a, min(a + BATCH, len(tokens)))
+        target = s.target[part]
+        out[part] = log(_class_chances(model, s, part)[np.arange(len(target)), target])
+        inside = a + np.flatnonzero(target < COPY)
+        if len(inside):
+            out[inside] += log(_word_chances(model, s, inside)[np.arange(len(inside)), s.slot[inside]])
+        deep = inside[s.leaf[inside] >= 0]
+        if len(deep):
+            out[deep] += log(_leaf_chances(model, s, deep)[np.arange(len(deep)), s.leaf[deep]])
+    return out, s.target == TAIL
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model, counts: Counts) -> Iterator[pa.RecordBatch]:
     """One row for each document, and one for each of its distinct words whose count is not at hand."""
     lookup, known = Lookup(model.vocabulary), Lookup(counts.hashes)
     for batch in batches:
         for at, n, raw, offsets in text_slices(batch.column("text")) if batch.num_rows else ():
             tokens, begins = tokens_of(raw, offsets)
-            s = steps(tokens, begins, lookup)
-            gain = np.zeros(len(tokens))
-            for a in range(0, len(tokens), BATCH):
-                part = slice(a, min(a + BATCH, len(tokens)))
-                target = s.target[part]
-                gain[part] = np.log10(np.maximum(_class_chances(model, s, part)[np.arange(len(target)), target], 1e-30))
-                own = a + np.flatnonzero(target < COPY)
-                if len(own):
-                    gain[own] += np.log10(np.maximum(_word_chances(model, s, own)[np.arange(len(own)), s.slot[own]], 1e-30))
+            gain, tail = gains(tokens, begins, model, lookup)
             found = known.find(tokens)
             number = np.where(found >= 0, counts.numbers[found] if len(counts.numbers) else 0, 0)
             plain = np.where(found >= 0, np.log10(number + PRIOR), 0.0)
-            tail = s.target == TAIL
             gain += np.where(tail & (found >= 0), plain, 0.0) - tail * np.log10(max(model.tail_total, PRIOR))
             sums = [np.add.reduceat(v, begins[:-1]) for v in (gain, plain, (found >= 0).astype(np.int64))]
             doc = np.repeat(np.arange(n), np.diff(begins))
@@ -367,7 +451,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, counts: Counts) -> I
             )
 
 
-def scored(docs: DataFrame, *, rounds: int = 2, most_known: int = 1 << 18) -> DataFrame:
+def scored(docs: DataFrame, *, rounds: int = 2, passes: int = 1, most_known: int = 1 << 18, **sizes) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Words are maximal runs of characters other than space and the controls 9 to
@@ -376,14 +460,22 @@ def scored(docs: DataFrame, *, rounds: int = 2, most_known: int = 1 << 18) -> Da
     unigram log10 probability over their counts, score the model's. Counts of the
     frequent words, most_known at most, travel with the tasks; the other words of
     each document are joined with the table of all counts. Words are told apart by
-    64-bit hashes. A null text is empty; rows that repeat a doc_id and its text get
-    equal rows; without training documents both scores follow the prior alone.
+    64-bit hashes.
+
+    The model trains on every training document `passes` times. Up to MOST_WORDS
+    (14 848) words of `least` occurrences are told by context, over feature tables
+    of 2**least_bits to 2**most_bits rows by the number of distinct words; all other
+    words share a class and follow their counts within it.
+
+    A null text is empty; rows that repeat a doc_id and its text get equal rows;
+    without training documents both scores follow the prior alone; an empty table
+    gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"))
     training = texts.where(~in_fold("doc_id", 10))
     counts, table = count(training, most_known)
-    model = fit(training, counts, rounds=rounds)
+    model = fit(training, counts, rounds=rounds, passes=passes, **sizes)
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,23 +57,78 @@ def test_lookup_finds_every_key_and_no_other():
     assert language_model.Lookup(keys[:0]).find(other[:3]).tolist() == [-1, -1, -1]
 
 
-def test_model_chances_sum_to_one_without_copies():
-    """Over all classes and the words in them; the tail counts as one word."""
-    rng = np.random.default_rng(5)
-    keys = textkit.mix64(np.arange(1, 100, dtype=np.uint64))
-    counts = language_model.Counts(5000, 150, 40, 2, keys, np.sort(rng.integers(2, 90, 99))[::-1].copy())
-    start = language_model.start(counts)
-    model = language_model.replace(start, by_class=rng.normal(size=start.by_class.shape).astype(np.float32), by_word=rng.normal(size=start.by_word.shape).astype(np.float32))
-    tokens = np.concatenate([keys[[5, 7, 7, 90]], [np.uint64(language_model.END)]])
+def small_model(seed=5, words=3000):
+    rng = np.random.default_rng(seed)
+    keys = textkit.mix64(np.arange(1, words + 1, dtype=np.uint64))
+    numbers = np.sort(rng.integers(8, 900, words))[::-1].copy()
+    model = language_model.start(language_model.Counts(int(numbers.sum()) + 5000, words + 900, 40, 2, keys, numbers))
+    noise = {t: rng.normal(size=getattr(model, t).shape).astype(np.float32) for t in (*language_model.TABLES, "again")}
+    return keys, language_model.replace(model, **noise), rng
+
+
+def test_model_chances_sum_to_one():
+    """Over all words of the vocabulary, the tail, and the last word again where it is in the tail."""
+    keys, model, _ = small_model()
+    lookup, odd = language_model.Lookup(model.vocabulary), textkit.mix64(np.arange(10**6, 10**6 + 2, dtype=np.uint64))
+    for history in (keys[[5, 7]], keys[[700, 700]], np.array([keys[3], odd[0]])):
+        following = np.concatenate([keys, odd])
+        tokens = np.concatenate([np.append(history, w) for w in following])
+        gain, tail = language_model.gains(tokens, np.arange(0, len(tokens) + 1, 3), model, lookup)
+        chance = 10 ** gain[2::3]
+        assert tail[2::3].tolist() == [False] * len(keys) + [history[1] != odd[0], True]
+        assert abs(chance[: len(keys)].sum() + chance[-2:].sum() / (1 if history[1] == odd[0] else 2) - 1) < 1e-4
+
+
+def test_gains_are_softmaxes_by_hand():
+    keys, model, rng = small_model(7)
+    lookup, bits = language_model.Lookup(model.vocabulary), model.bits
+    soft = lambda z: np.exp(z.astype(np.float64) - z.max()) / np.exp(z.astype(np.float64) - z.max()).sum()
+    row = lambda kind, *parts: int(language_model._row(bits, kind, *[np.array([p], dtype=np.uint64) for p in parts])[0])
+    numbers = [*rng.integers(0, 3000, 60).tolist(), 600, 600, 600, 4, 4]
+    tokens = keys[numbers]
+    got, _ = language_model.gains(tokens, np.array([0, len(tokens)]), model, lookup)
+    place = lambda n: tuple(int(v[0]) for v in language_model.placed(np.array([n])))
+    for k in range(2, len(tokens)):
+        one, two, same = tokens[k - 1], tokens[k - 2], int(tokens[k - 1] == tokens[k - 2])
+        kind, slot, leaf = place(numbers[k])
+        last = place(numbers[k - 1])
+        z = model.classes + model.by_class[row(1, one)] + model.by_class[row(2, two)] + model.by_class[row(3, one, two)] + model.by_class[row(4, same * 64 + last[0] + 1)]
+        z[language_model.COPY] = language_model.OUT
+        want = soft(z)[kind]
+        z = model.words[kind] + model.by_word[row(5, one, kind)] + model.by_word[row(6, two, kind)]
+        if last[0] == kind:
+            z[last[1]] += model.again[same]
+        want *= soft(z)[slot]
+        if leaf >= 0:
+            z = model.leaves[(kind - language_model.PLAIN) * 32 + slot] + model.by_leaf[row(7, one, kind * 32 + slot)] + model.by_leaf[row(8, two, kind * 32 + slot)]
+            if last[:2] == (kind, slot) and last[2] >= 0:
+                z[last[2]] += model.again[2 + same]
+            want *= soft(z)[leaf]
+        assert abs(got[k] - np.log10(max(want, 1e-300))) < 1e-3, k
+
+
+def test_training_learns_what_follows_what():
+    """A text of pairs: after training the second word of a pair is all but certain, in plain and in deep classes."""
+    rng = random.Random(3)
+    first, second = [f"a{k}" for k in range(700)], [f"b{k}" for k in range(700)]
+    texts = [" ".join(w for k in rng.choices(range(700), k=400) for w in (first[k], second[k])) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counted = [b.to_pydict() for b in language_model._count(iter([batch]))]
+    tokens = np.array([t for b in counted for t in b["token"]], dtype=np.int64).view(np.uint64)
+    numbers = np.array([n for b in counted for n in b["n"]])
+    order = np.argsort(-numbers, kind="stable")
+    model = language_model.start(language_model.Counts(int(numbers.sum()), len(tokens), 60, 1, tokens[order], numbers[order]))
     lookup = language_model.Lookup(model.vocabulary)
-    base = language_model.steps(tokens, np.array([0, 5]), lookup)
-    at = np.array([2])
-    chance = language_model._class_chances(model, base, slice(0, 5))[2]
-    total = chance[language_model.TAIL] + chance[language_model.COPY]
-    for c in range((len(keys) + 31) // 32):
-        s = language_model.replace(base, target=np.full(5, c), word_features=language_model.steps(np.concatenate([tokens[:2], keys[c * 32 : c * 32 + 1], tokens[3:]]), np.array([0, 5]), lookup).word_features)
-        total += chance[c] * language_model._word_chances(model, s, at)[0].sum()
-    assert abs(total - 1) < 1e-4
+    (raw, offsets), moved = one_slice(texts[:3]), model
+    for _ in range(6):
+        made = pa.Table.from_batches(list(language_model._train(iter([batch]), moved, 0.3)))
+        rows = len(model.by_class)
+        step = np.zeros((3 * rows + 1, 32), dtype=np.float32)
+        step[made["row"].to_numpy()] = np.frombuffer(b"".join(made["moved"].to_pylist()), dtype=np.float16).reshape(-1, 32)
+        moved = language_model.replace(moved, **{t: getattr(moved, t) + step[k * rows : (k + 1) * rows] for k, t in enumerate(language_model.TABLES)}, again=moved.again + step[-1, :4])
+    words, begins = language_model.tokens_of(raw, offsets)
+    before, after = (language_model.gains(words, begins, m, lookup)[0][1:800:2].mean() for m in (model, moved))
+    assert before < -2.5 and after > -1
 
 
 def edit_distance(a, b):
