@@ -20,21 +20,21 @@ def _noise(height: np.ndarray, position: float, aspect: float, velocity: float |
     return np.einsum("ni,ij->nij", std**2, np.eye(std.shape[1]))
 
 
-def initiate(measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([measured, np.zeros_like(measured)], axis=1), _noise(measured[:, 3], 2 * POSITION, 1e-2, 10 * VELOCITY, 1e-5)
+def initiate(measured: np.ndarray, position: float = POSITION, velocity: float = VELOCITY) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([measured, np.zeros_like(measured)], axis=1), _noise(measured[:, 3], 2 * position, 1e-2, 10 * velocity, 1e-5)
 
 
-def predict(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    grown = _noise(mean[:, 3], POSITION, 1e-2, VELOCITY, 1e-5)
+def predict(mean: np.ndarray, cov: np.ndarray, position: float = POSITION, velocity: float = VELOCITY) -> tuple[np.ndarray, np.ndarray]:
+    grown = _noise(mean[:, 3], position, 1e-2, velocity, 1e-5)
     return mean @ STEP.T, STEP @ cov @ STEP.T + grown
 
 
-def project(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mean[:, :4], cov[:, :4, :4] + _noise(mean[:, 3], POSITION, 1e-1)
+def project(mean: np.ndarray, cov: np.ndarray, position: float = POSITION) -> tuple[np.ndarray, np.ndarray]:
+    return mean[:, :4], cov[:, :4, :4] + _noise(mean[:, 3], position, 1e-1)
 
 
-def update(mean: np.ndarray, cov: np.ndarray, measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    seen, spread = project(mean, cov)
+def update(mean: np.ndarray, cov: np.ndarray, measured: np.ndarray, position: float = POSITION) -> tuple[np.ndarray, np.ndarray]:
+    seen, spread = project(mean, cov, position)
     gain = np.linalg.solve(spread, cov[:, :4, :]).transpose(0, 2, 1)
     return mean + np.einsum("nij,nj->ni", gain, measured - seen), cov - gain @ spread @ gain.transpose(0, 2, 1)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contracts import Aggregator, MovingAverage
 from ..errors import require
 from ..functions import vectors
+from ..schema import finite_array
 
 #: Rows of a query side that may be sent to every task.
 MOST_BROADCAST = 20_000
@@ -111,6 +116,56 @@ def centroids(entries: DataFrame, *, alpha: float = 0.9, order: str = "entry_id"
     return out.crossJoin(F.broadcast(cut)).where(F.col("last_seen") >= F.col("__cut")).drop("__cut")
 
 
+class OnlineCentroids:
+    """A bounded gallery of one vector an identity, fed one observation at a time.
+
+    Each identity's vector is folded by an aggregator of its own; a new identity
+    beyond the capacity takes the place of the one seen longest ago.
+    """
+
+    def __init__(self, capacity: int = 10_000, make: Callable[[], Aggregator] = MovingAverage) -> None:
+        require(capacity >= 1, f"capacity must be 1 or more, got {capacity}")
+        self.capacity, self.make = capacity, make
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: dict[str, dict] = {}  # by identity, the one seen longest ago first
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def add(self, identity: str, vector: np.ndarray, camera_id: str | None = None, *, weight: float = 1.0) -> None:
+        """Fold one observation; one that is refused leaves the gallery as it was."""
+        require(identity is not None, "an entry needs an identity")
+        vector = np.asarray(vector, dtype=float).reshape(-1)
+        require(len(vector) > 0 and bool(np.isfinite(vector).all()), "a vector must be finite")
+        width = next((len(e["vector"]) for e in self.held.values()), len(vector))
+        require(len(vector) == width, f"vectors must have {width} places, got {len(vector)}")
+        entry = self.held.get(identity) or {"folder": self.make(), "vector": None, "observations": 0}
+        made = entry["folder"].update(entry["vector"], vector / max(float(np.linalg.norm(vector)), 1e-12), weight=weight)
+        if identity not in self.held and len(self.held) >= self.capacity:
+            del self.held[next(iter(self.held))]
+        self.held.pop(identity, None)
+        self.held[identity] = {**entry, "vector": made, "observations": entry["observations"] + 1, "camera_id": camera_id}
+
+    def remove_identity(self, identity: str) -> int:
+        return int(self.held.pop(identity, None) is not None)
+
+    def observations(self, identity: str) -> int:
+        return self.held[identity]["observations"] if identity in self.held else 0
+
+    def query(self, vector: np.ndarray, k: int = 1, *, threshold: float | None = None, exclude_camera: str | None = None) -> list[tuple[str, float]]:
+        """The k best (identity, cosine), those last seen by exclude_camera left out, none if the best is below the threshold."""
+        require(k >= 1, f"k must be 1 or more, got {k}")
+        names = [n for n, e in self.held.items() if exclude_camera is None or e["camera_id"] != exclude_camera]
+        if not names:
+            return []
+        v = np.asarray(vector, dtype=float)
+        dots = np.stack([self.held[n]["vector"] for n in names]) @ (v / max(float(np.linalg.norm(v)), 1e-12))
+        best = np.argsort(-dots, kind="stable")[:k]
+        return [] if threshold is not None and dots[best[0]] < threshold else [(names[b], float(dots[b])) for b in best]
+
+
 def camera_codes(entries: DataFrame, most: int = 4096) -> DataFrame:
     """(camera_id, code): cameras numbered from 0 by name; more than `most` are refused."""
     names = entries.select("camera_id").distinct()
@@ -118,7 +173,18 @@ def camera_codes(entries: DataFrame, most: int = 4096) -> DataFrame:
     return names.coalesce(1).withColumn("code", (F.row_number().over(Window.orderBy("camera_id")) - 1).cast("long"))
 
 
-def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lambda_value: float = 0.3, vector: str = "vector") -> DataFrame:
+def rerank_size(queries: int, gallery: int, k1: int, k2: int, width: int) -> dict[str, int]:
+    """About how many bytes each part of rerank takes on all executors together.
+
+    Pairs are made twice, once for the neighbours and once for the result; lists
+    of neighbours and weights are far smaller than pairs for all but tiny tables.
+    """
+    n = queries + gallery
+    reach = max(k1, k2 - 1) + 1
+    return {"vectors": 8 * width * n, "pairs": 48 * n * n, "neighbours": 48 * n * reach, "weights": 48 * n * reach * (1 + k2), "result": 24 * queries * gallery}
+
+
+def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lambda_value: float = 0.3, vector: str = "vector", max_entries: int = 20_000) -> DataFrame:
     """k-reciprocal re-ranking: (query_id, entry_id, distance), lower is closer.
 
     Every step keeps only neighbour lists, so beyond the pairwise distances the
@@ -127,12 +193,24 @@ def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6,
     by neighbours whose own half-size lists overlap them by more than two thirds;
     their weights exp(-d) are averaged over k2 neighbours, and the Jaccard
     distance of the weights is blended with the plain one.
+
+    All pairs of queries and entries are compared, so more than max_entries of them
+    are refused: re-rank a set of candidates from a plain search then. A vector
+    that is missing or not finite is refused too, as is a k1 that leaves no entry out.
     """
     require(0 <= lambda_value <= 1, f"lambda_value must be in [0, 1], got {lambda_value}")
     require(k1 >= 1 and k2 >= 1, f"k1 and k2 must be positive, got {k1} and {k2}")
     q = queries.select(F.struct(F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id")).alias("n"), F.col(vector).alias("v"))
     g = gallery.select(F.struct(F.lit(1).alias("side"), F.col("entry_id").cast("long").alias("id")).alias("n"), F.col(vector).alias("v"))
-    rows = q.unionByName(g)
+    counted = {r["side"]: r for r in q.unionByName(g).groupBy(F.col("n.side").alias("side")).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()}
+    n_query, n_gallery = (counted[side]["n"] if side in counted else 0 for side in (0, 1))
+    total = n_query + n_gallery
+    require(total == 0 or k1 < total, f"k1 = {k1} needs more than {total} entries")
+    if total > max_entries:
+        parts = rerank_size(n_query, n_gallery, k1, k2, max(r["width"] or 0 for r in counted.values()))
+        told = ", ".join(f"{name} {size / 1e9:.1f} GB" for name, size in parts.items())
+        require(False, f"re-ranking {n_query} queries against {n_gallery} entries takes {told}; raise max_entries, or re-rank candidates only")
+    rows = q.unionByName(g).withColumn("v", finite_array(F.when(F.col("v").isNull(), F.raise_error(F.lit("re-ranking needs a vector of every row"))).otherwise(F.col("v")), "vector"))
     pairs = rows.alias("a").crossJoin(rows.alias("b")).select(F.col("a.n").alias("i"), F.col("b.n").alias("j"), (1 - vectors.dot(F.col("a.v"), F.col("b.v"))).alias("d"))
     scale = Window.partitionBy("i")
     pairs = pairs.withColumn("d", F.col("d") / F.greatest(F.max("d").over(scale), F.lit(1e-12)))

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .. import registry
+from ..contracts import IDENTITY
 from ..errors import TrackError, require
 from ..functions import arrays, kalman
 from ..functions.assignment import Solved, associate, associate_locked, associate_subset, cascade
@@ -309,8 +311,9 @@ class BotSort(ByteTrack):
 
     name = "botsort"
 
-    def __init__(self, *, appearance_gate: float = 0.25, appearance_weight: float = 0.5, **byte) -> None:
+    def __init__(self, *, appearance_gate: float = 0.25, appearance_weight: float = 0.5, cmc: str = "none", cmc_options: dict | None = None, **byte) -> None:
         super().__init__(**byte)
+        self.motion = registry.MOTIONS.build(cmc, **(cmc_options or {}))
         require(0 < appearance_gate <= 2, f"appearance_gate is a cosine distance in (0, 2], got {appearance_gate}")
         require(0 < appearance_weight <= 1, f"appearance_weight must be in (0, 1], got {appearance_weight}")
         self.looks_gate, self.looks_weight = appearance_gate, appearance_weight
@@ -325,7 +328,9 @@ class BotSort(ByteTrack):
         return arrays.gate(cost, self.pool.distances(sure.boxes[columns], rows) if self.gated else None)
 
     def pair(self, found: Detections, height: int, width: int, affine: np.ndarray | None) -> None:
-        if affine is not None:
+        # what comes with the frame is surer than an estimate
+        affine = self.motion.estimate(None) if affine is None else affine
+        if not np.array_equal(affine, IDENTITY):
             self.pool.move_camera(affine)
         super().pair(found, height, width, affine)
 

@@ -32,6 +32,10 @@ class Registry:
 
         return keep
 
+    def backends(self, name: str) -> list[str]:
+        """Where a component runs: this library has one home for each, Spark; none for an unknown name."""
+        return ["spark"] if name in self else []
+
     def names(self) -> list[str]:
         return sorted(self._targets)
 
@@ -67,6 +71,7 @@ CLUSTERERS = Registry("clusterer")
 CLUSTERERS.add("agglomerative", "sightline.operators.crosscamera:average_linkage", ("average_linkage", "aic"))
 GALLERIES = Registry("gallery")
 GALLERIES.add("flat", "sightline.operators.retrieval:retained")
+GALLERIES.add("online", "sightline.operators.retrieval:OnlineCentroids")
 GALLERIES.add("centroid", "sightline.operators.retrieval:centroids", ("prototype",))
 AGGREGATORS = Registry("aggregator")
 AGGREGATORS.add("mean", "sightline.operators.aggregate:mean", ("average",))
@@ -77,3 +82,9 @@ HEADS.add("yolo26_seg", "sightline.operators.detection:masks", ("yolo26-seg", "y
 IMAGE_OPS = Registry("image operation")
 for _name in ("letterbox", "crops", "nv12_letterbox"):
     IMAGE_OPS.add(_name, f"sightline.functions.imaging:{_name}")
+MOTIONS = Registry("camera motion")
+MOTIONS.add("none", "sightline.contracts:FixedCamera", ("fixed",))
+MOTIONS.add("external", "sightline.contracts:Telemetry", ("telemetry", "ptz"))
+RUNNING = Registry("running aggregate")
+RUNNING.add("mean", "sightline.contracts:RunningMean", ("average",))
+RUNNING.add("ema", "sightline.contracts:MovingAverage", ("exponential",))

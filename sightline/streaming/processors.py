@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..contracts import MovingAverage
 from ..errors import TrackError
-from ..operators import crosscamera, tracking
+from ..operators import crosscamera, retrieval, tracking
 from ..schema import TRACKS
 
 STATE = "blob binary"
@@ -110,3 +111,39 @@ def centroids_stream(entries: DataFrame, *, alpha: float = 0.9) -> DataFrame:
     kinds = dict(entries.dtypes)
     schema = f"identity {kinds['identity']}, vector array<double>, observations long, camera_id {kinds['camera_id']}"
     return entries.groupBy("identity").applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def gallery_stream(entries: DataFrame, *, group: str = "group_id", capacity: int = 10_000, alpha: float = 0.9) -> DataFrame:
+    """A bounded centroid gallery for each group over a stream: the entries of a micro-batch and how many identities are held after it.
+
+    entries has the group, identity, entry_id, camera_id, a vector and, if there
+    is one, quality, which weighs it. The state of a group is its gallery, so the
+    least recently seen identity of the group goes when the capacity is reached.
+    """
+    columns = [group, "identity", "entry_id", "camera_id", "vector", *(["quality"] if "quality" in entries.columns else [])]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = retrieval.OnlineCentroids(capacity, _Folder(alpha))
+        if state.exists:
+            held.held = pickle.loads(state.get[0])
+        seen: dict = {}
+        for row in pd.concat(list(batches)).sort_values("entry_id").to_dict("records"):
+            held.add(row["identity"], np.asarray(list(row["vector"]), dtype=float), row["camera_id"], weight=float(row.get("quality", 1.0)))
+            seen[row["identity"]] = None
+        state.update((pickle.dumps(held.held),))
+        kept = [n for n in seen if n in held.held]
+        yield pd.DataFrame({group: key[0], "identity": kept, "vector": [held.held[n]["vector"] for n in kept], "observations": [held.observations(n) for n in kept], "camera_id": [held.held[n]["camera_id"] for n in kept], "held": len(held)})
+
+    kinds = dict(entries.dtypes)
+    schema = f"{group} {kinds[group]}, identity {kinds['identity']}, vector array<double>, observations long, camera_id {kinds['camera_id']}, held long"
+    return entries.select(*columns).groupBy(group).applyInPandasWithState(step, schema, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+class _Folder:
+    """Makes the moving averages of a gallery; a class, so that a state that holds them can be pickled."""
+
+    def __init__(self, alpha: float) -> None:
+        self.alpha = alpha
+
+    def __call__(self) -> MovingAverage:
+        return MovingAverage(self.alpha)
