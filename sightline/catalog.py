@@ -60,6 +60,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, en
 SELECT query_id, entry_id, score, rank, CASE WHEN rank = 1 THEN score >= 0.3 END AS accepted FROM r WHERE rank <= 5""",
 )
 def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by blocked products."""
+    return retrieval.search(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), 5, threshold=0.3, exclude_camera=True, round_to=6)
+
+
+@query("retrieval_topk_pairs", ORACLE_SQL["retrieval_topk"])
+def retrieval_topk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over pairs as rows."""
     out = retrieval.top_k(scored(spark, sf_dir), 5, threshold=0.3, exclude_camera=True)
     return out.select("query_id", "entry_id", "score", "rank", "accepted")
 

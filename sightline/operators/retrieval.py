@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,88 @@ def top_k(scored: DataFrame, k: int, *, threshold: float | None = None, exclude_
     return out.withColumn("accepted", accepted)
 
 
+#: Rows of queries and entries of one product.
+TILE = (512, 8192)
+
+
+class _Best:
+    """The k best entries of each query so far: scores fall along a row, ties go to the lower entry."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.scores, self.entries = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, at: slice, scores: np.ndarray, entries: np.ndarray) -> None:
+        k = self.scores.shape[1]
+        scores = np.concatenate([self.scores[at], scores], axis=1)
+        entries = np.concatenate([self.entries[at], np.broadcast_to(entries, (len(scores), len(entries)))], axis=1)
+        if scores.shape[1] > 4 * k:
+            # what lies below the k-th best goes before the rest is sorted; equals of it stay
+            cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            keep = scores >= cut
+            wide = int(keep.sum(axis=1).max())
+            first = np.argsort(~keep, axis=1, kind="stable")[:, :wide]
+            scores, entries = np.where(np.take_along_axis(keep, first, 1), np.take_along_axis(scores, first, 1), -np.inf), np.take_along_axis(entries, first, 1)
+        order = np.lexsort((entries, -scores))[:, :k]
+        self.scores[at], self.entries[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(entries, order, 1)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def search(queries: DataFrame, gallery: DataFrame, k: int, *, threshold: float | None = None, exclude_camera: bool = False, vector: str = "vector", round_to: int | None = None, most_bytes: int = 32 << 20) -> DataFrame:
+    """top_k of similarities by blocked products: query_id, entry_id, score, rank, accepted.
+
+    Query vectors travel in blocks of most_bytes, one scan of the gallery each;
+    a task multiplies them with its entries and keeps k rows a query, so pairs are
+    never rows. Vectors are of unit length and one width; rows without one, or
+    without an id, are neither asked nor found. Ids are longs.
+    """
+    require(k >= 1, f"k must be 1 or more, got {k}")
+    camera = exclude_camera and "camera_id" in queries.columns and "camera_id" in gallery.columns
+    name = F.col("camera_id").cast("string") if camera else F.lit(None).cast("string")
+    pick = lambda df, key: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), name.alias("camera"))
+    asked, held = pick(queries, "query_id"), pick(gallery, "entry_id")
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, math.ceil(8 * n * (width or 0) / most_bytes))
+    found = None
+    for block in range(blocks):
+        own = (asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()
+        if not own.num_rows:
+            continue
+        part = held.mapInArrow(_searcher(own, k, round_to, camera), "query_id long, entry_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = asked.sparkSession.createDataFrame([], "query_id long, entry_id long, score double")
+    return top_k(found, k, threshold=threshold)
+
+
+def _searcher(asked: pa.Table, k: int, round_to: int | None, camera: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = asked.column("id").to_numpy(), _matrix(asked.column("v"))
+        views = np.array(asked.column("camera").to_pylist(), dtype=object)
+        best = _Best(len(ids), k)
+        for batch in batches:
+            for b in range(0, batch.num_rows, TILE[1]):
+                own = batch.slice(b, TILE[1])
+                x, entries = _matrix(own.column("v")), own.column("id").to_numpy()
+                cameras = np.array(own.column("camera").to_pylist(), dtype=object)
+                for a in range(0, len(ids), TILE[0]):
+                    at = slice(a, a + TILE[0])
+                    scores = q[at] @ x.T
+                    scores = scores if round_to is None else np.round(scores, round_to)
+                    if camera:
+                        same = (views[at][:, None] == cameras[None, :]) & np.array([c is not None for c in cameras])
+                        scores = np.where(same.astype(bool), -np.inf, scores)
+                    best.add(at, scores, entries)
+        row, place = np.nonzero(best.scores > -np.inf)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best.entries[row, place]), pa.array(best.scores[row, place])], names=["query_id", "entry_id", "score"])
+
+    return run
+
+
 def ranking(scored: DataFrame) -> DataFrame:
     """scored without rows of the query's own identity and camera, with rank, hit and the hits so far."""
     same = F.col("query_identity") == F.col("identity")

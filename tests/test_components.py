@@ -188,3 +188,20 @@ def test_a_study_is_stored_and_taken_up_again(tmp_path, monkeypatch):
     assert tuning.run_study("sort", {}, trials=6, timeout=0.0).trials == 0
     for name in tracking.TRACKERS:
         tuning.space_for(name)
+
+
+@pytest.mark.parametrize("most_bytes", [32 << 20, 400])
+def test_search_is_brute_force(spark, most_bytes):
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.integers(-2, 3, (n, 4)) + np.array([0.5, 0, 0, 0]))
+    q, g = unit(23), unit(300)
+    asked = spark.createDataFrame([(k, v.tolist(), ["a", "b", None][k % 3]) for k, v in enumerate(q)] + [(99, None, "a"), (None, q[0].tolist(), "a")], "query_id long, vector array<double>, camera_id string")
+    held = spark.createDataFrame([(k, v.tolist(), ["a", "b", None][k % 3]) for k, v in enumerate(g)] + [(999, None, "b")], "entry_id long, vector array<double>, camera_id string").repartition(3)
+    got = retrieval.search(asked, held, 7, threshold=0.9, exclude_camera=True, round_to=6, most_bytes=most_bytes).collect()
+    want = set()
+    for k, v in enumerate(q):
+        own = ["a", "b", None][k % 3]
+        may = [(-round(float(v @ x), 6), e) for e, x in enumerate(g) if own is None or ["a", "b", None][e % 3] != own]
+        want |= {(k, e, -s, r + 1, (-s >= 0.9) if r == 0 else None) for r, (s, e) in enumerate(sorted(may)[:7])}
+    assert sorted((r[0], r[1], round(r[2], 5), r[3], r[4]) for r in got) == sorted((a, b, round(s, 5), r, c) for a, b, s, r, c in want)
+    assert retrieval.search(asked.limit(0), held, 3).count() == 0 and retrieval.search(asked, held.limit(0), 3).count() == 0
