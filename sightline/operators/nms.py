@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.arrays import iou as iou_matrix
 from ..functions.boxes import Box, iou
-from ..plans.grouping import grouped_map
+from ..plans.grouping import chunked_map
 
 METHODS = ["none", "classic", "linear", "gauss", "neighborhood"]
 
@@ -47,22 +47,23 @@ def decay(overlaps: np.ndarray, method: str, sigma: float) -> np.ndarray:
     return np.zeros_like(overlaps) if method == "classic" else 1 - overlaps if method == "linear" else np.exp(-(overlaps**2) / sigma)
 
 
-def _soft(pdf: pd.DataFrame, row: str, iou_threshold: float, method: str, sigma: float, score_threshold: float) -> pd.DataFrame:
-    pdf = pdf[pdf["score"] >= score_threshold].sort_values(["score", row], ascending=[False, True])
-    boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float)
-    scores = pdf["score"].to_numpy(dtype=float).copy()
-    alive = np.ones(len(pdf), dtype=bool)
+def _soft(boxes: np.ndarray, scores: np.ndarray, iou_threshold: float, method: str, sigma: float, score_threshold: float) -> tuple[list[int], np.ndarray]:
+    """Rows kept, best first, of rows in falling order, and what the scores became."""
+    scores = scores.copy()
+    alive = np.ones(len(scores), dtype=bool)
     kept = []
     while alive.any():
         best = int(np.where(alive, scores, -np.inf).argmax())
         alive[best] = False
         kept.append(best)
         rest = np.flatnonzero(alive)
+        if not len(rest):
+            break
         over = iou_matrix(boxes[best : best + 1], boxes[rest])[0]
         hit = np.ones(len(rest), dtype=bool) if method == "gauss" else over > iou_threshold
         scores[rest[hit]] *= decay(over[hit], method, sigma)
         alive[rest] = scores[rest] >= max(score_threshold, 1e-12)
-    return pdf.iloc[kept].assign(score=scores[kept])
+    return kept, scores
 
 
 def suppress(df: DataFrame, keys: list[str], row: str, *, iou_threshold: float, method: str = "classic", sigma: float = 0.5, score_threshold: float = 0.0, min_neighbors: int = 0, min_score_sum: float = 0.0, max_output: int | None = None) -> DataFrame:
@@ -85,10 +86,19 @@ def suppress(df: DataFrame, keys: list[str], row: str, *, iou_threshold: float,
         kinds = dict(slim.dtypes)
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in slim.columns if c != "score").replace(f"`{row}` {kinds[row]}", f"`{row}` {kinds[row]}, score double")
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _soft(pdf, row, iou_threshold, method, sigma, score_threshold)[[*keys, row, "score", "x1", "y1", "x2", "y2"]]
-
-        out = grouped_map(slim, keys, one, schema).select(*keys, row, "score").withColumn("rank", F.row_number().over(order))
+        def each(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            boxes, scores = pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), pdf["score"].to_numpy(dtype=float)
+            order = np.lexsort((pdf[row].to_numpy(), -scores, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))))
+            at, left = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own = order[a:b]
+                own = own[scores[own] >= score_threshold]
+                kept, now = _soft(boxes[own], scores[own], iou_threshold, method, sigma, score_threshold)
+                at.append(own[kept])
+                left.append(now[kept])
+            return pdf.iloc[np.concatenate(at)].assign(score=np.concatenate(left))
+
+        out = chunked_map(slim, keys, each, schema).select(*keys, row, "score").withColumn("rank", F.row_number().over(order))
     else:
         items = _sorted_items(slim, keys, row, score_threshold)
         kept = items.withColumn("kept", _classic(F.col("items"), iou_threshold))

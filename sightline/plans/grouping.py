@@ -9,28 +9,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key in turn, from batches sorted by key; nulls of a key are one group."""
+def _changes(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Rows that begin a key; nulls of a key are one."""
+    change = np.zeros(len(batch), dtype=bool)
+    change[:1] = True
+    for k in keys:
+        v, none = batch[k].to_numpy(), batch[k].isna().to_numpy()
+        change[1:] |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
+    return np.flatnonzero(change)
+
+
+def chunks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of whole keys, and where each key's rows begin and the last one's end, from batches sorted by key."""
     held: list[pd.DataFrame] = []
-    last: tuple | None = None
     for batch in batches:
         if not len(batch):
             continue
-        columns = [batch[k] for k in keys]
-        change = np.zeros(len(batch), dtype=bool)
-        for c in columns:
-            v, none = c.to_numpy(), c.isna().to_numpy()
-            change[1:] |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
-        cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            now = tuple(None if pd.isna(c.iloc[a]) else c.iloc[a] for c in columns)
-            if held and now != last:
-                yield _joined(held)
-                held = []
-            last = now
-            held.append(batch.iloc[a:b])
+        # the last key so far may go on
+        joint = pd.concat([held[-1].iloc[-1:], batch]) if held else batch
+        begins = _changes(joint, keys) - (1 if held else 0)
+        last = int(begins[-1])
+        if held and last < 0 or not held and last == 0:
+            held.append(batch)
+            continue
+        held.append(batch.iloc[:last])
+        whole = _joined([h for h in held if len(h)])
+        yield whole, np.append(_changes(whole, keys), len(whole))
+        held = [batch.iloc[last:]]
     if held:
-        yield _joined(held)
+        whole = _joined(held)
+        yield whole, np.append(_changes(whole, keys), len(whole))
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key in turn, from batches sorted by key."""
+    for whole, cuts in chunks(batches, keys):
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield whole if len(cuts) == 2 else whole.iloc[a:b].reset_index(drop=True)
 
 
 def _joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
@@ -64,6 +79,15 @@ def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def chunked_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over batches of whole keys and their cuts, for work that numpy can do on many small groups at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _together(fn(whole, cuts) for whole, cuts in chunks(batches, keys))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def folded(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
     """A fold of each key's rows in order, one value of `order` at a time.
 

@@ -205,3 +205,18 @@ def test_search_is_brute_force(spark, most_bytes):
         want |= {(k, e, -s, r + 1, (-s >= 0.9) if r == 0 else None) for r, (s, e) in enumerate(sorted(may)[:7])}
     assert sorted((r[0], r[1], round(r[2], 5), r[3], r[4]) for r in got) == sorted((a, b, round(s, 5), r, c) for a, b, s, r, c in want)
     assert retrieval.search(asked.limit(0), held, 3).count() == 0 and retrieval.search(asked, held.limit(0), 3).count() == 0
+
+
+def test_chunks_hold_whole_keys():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, 6, rng.integers(0, 30)))
+        pdf = pd.DataFrame({"k": keys, "v": np.arange(len(keys))})
+        edges = np.sort(rng.integers(0, len(keys) + 1, 4))
+        parts = [pdf.iloc[a:b] for a, b in zip([0, *edges], [*edges, len(keys)])]
+        got = list(grouping.chunks(iter(parts), ["k"]))
+        assert [v for whole, _ in got for v in whole["v"]] == list(range(len(keys)))
+        groups = [whole["k"].iloc[a:b].tolist() for whole, cuts in got for a, b in zip(cuts[:-1], cuts[1:])]
+        assert groups == [[k] * int((keys == k).sum()) for k in np.unique(keys)]
