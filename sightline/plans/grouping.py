@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _changes(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
+def changes(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Rows that begin a key; nulls of a key are one."""
     change = np.zeros(len(batch), dtype=bool)
     change[:1] = True
@@ -27,18 +27,18 @@ def chunks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[p
             continue
         # the last key so far may go on
         joint = pd.concat([held[-1].iloc[-1:], batch]) if held else batch
-        begins = _changes(joint, keys) - (1 if held else 0)
+        begins = changes(joint, keys) - (1 if held else 0)
         last = int(begins[-1])
         if held and last < 0 or not held and last == 0:
             held.append(batch)
             continue
         held.append(batch.iloc[:last])
         whole = _joined([h for h in held if len(h)])
-        yield whole, np.append(_changes(whole, keys), len(whole))
+        yield whole, np.append(changes(whole, keys), len(whole))
         held = [batch.iloc[last:]]
     if held:
         whole = _joined(held)
-        yield whole, np.append(_changes(whole, keys), len(whole))
+        yield whole, np.append(changes(whole, keys), len(whole))
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
