@@ -475,10 +475,11 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
 
     # most lines are alone; only the others are sorted
     counts = lines.groupBy("node").agg(F.count("*").alias("n")).join(linked, "node", "left")
-    met = counts.where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("group"))
+    # written, so that the joins deal both of their sides, and can split the rows of a line that stands everywhere
+    met = written(counts.where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("group")))
     placed = written(lines.select("doc_id", "row_key", "line", "node").join(met, "node").drop("node"))
     here = F.struct("doc_id", "row_key", "line")
-    firsts = placed.groupBy("group").agg(F.min(here).alias("first"))
+    firsts = written(placed.groupBy("group").agg(F.min(here).alias("first")))
     rest = placed.join(firsts, "group").where(here != F.col("first"))
     return rest.select("doc_id", "row_key", "line", F.col("first.doc_id").alias("kept_doc"), F.col("first.line").alias("kept_line"))
 
