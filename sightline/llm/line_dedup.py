@@ -499,7 +499,9 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, **parameters) -> DataFrame:
     """docs with repeated lines cut out of text; n_chars, where there is one, follows.
 
-    Documents of which only blank lines would be left go; all other columns are unchanged.
+    Documents of which only blank lines would be left go; all other columns are
+    unchanged. Null and empty texts stay as they are; rows that repeat doc_id and
+    text are cut alike; names that begin with __sl_ are taken.
     """
     drops = repeated_lines(docs, **parameters).groupBy(F.col("doc_id").alias("__sl_doc"), F.col("row_key").alias("__sl_key")).agg(F.collect_set("line").alias("__sl_drop"))
     keyed = docs.withColumn("__sl_own", F.xxhash64(F.coalesce("text", F.lit(""))))
