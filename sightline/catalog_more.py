@@ -404,3 +404,37 @@ def still_query(name: str) -> None:
 
 for _name in tracking.TRACKERS:
     still_query(_name)
+
+
+# cross-camera identity on a still scene: three objects in the views of two cameras, one of which is away now and then
+
+PLACED = f"""{DET}, f AS (SELECT DISTINCT camera, frame_id FROM det), g AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY frame_id) AS n FROM f),
+o AS (SELECT 'g' || camera AS group_id, frame_id AS instant, 'c' || v AS camera_id, 10 * v + k AS track_id, k, n FROM g, (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0, 1]) AS v) WHERE v = 0 OR n <= 5 OR n % 7 <> 0),
+h AS (SELECT *, count(*) OVER (PARTITION BY group_id, camera_id, track_id ORDER BY n) AS hits FROM o)"""
+
+
+def placed_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("camera").orderBy("frame_id"))
+    seen = det(spark, sf_dir).select("camera", "frame_id").distinct().withColumn("n", n)
+    seen = seen.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).where("v = 0 OR n <= 5 OR n % 7 <> 0")
+    look = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (j == F.col("k")).cast("float"))
+    corners = {"x1": 100 * F.col("k"), "y1": F.lit(50), "x2": 100 * F.col("k") + 50, "y2": F.lit(300)}
+    return seen.select(
+        F.concat(F.lit("g"), "camera").alias("group_id"), F.col("frame_id").alias("instant"), F.concat(F.lit("c"), "v").alias("camera_id"), (10 * F.col("v") + F.col("k")).cast("long").alias("track_id"),
+        *[c.cast("float").alias(name) for name, c in corners.items()], look.alias("embedding"), F.lit(480).alias("frame_h"), F.lit(640).alias("frame_w"),
+    )
+
+
+@query("mtmc_clusters_still", f"WITH {PLACED} SELECT group_id, instant, camera_id, track_id::BIGINT AS track_id, (k - 1)::INT AS cluster FROM o")
+def mtmc_clusters_still(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosscamera.clusters(placed_scene(spark, sf_dir))
+
+
+@query(
+    "mtmc_global_tracks_still",
+    f"WITH {PLACED} SELECT group_id, instant, camera_id, track_id::BIGINT AS track_id, CASE WHEN hits >= 3 THEN k - 1 END::BIGINT AS global_id, CASE WHEN hits >= 3 THEN k - 1 END::INT AS cluster, hits::INT AS hits FROM h",
+)
+def mtmc_global_tracks_still(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosscamera.global_tracks(placed_scene(spark, sf_dir))
