@@ -27,7 +27,7 @@ COPY, TAIL = CLASSES - 2, CLASSES - 1
 DEEP = COPY - PLAIN
 #: Words that the model can tell apart by context.
 MOST_WORDS = PLAIN * WORDS + DEEP * WORDS * WORDS
-BATCH = 1 << 14
+BATCH = 1 << 15
 #: Hashes that stand for the end and the start of a text; no word's bytes give these by rule, only by chance.
 END, START = 0x1D8E4E27C47D124F, 0x2545F4914F6CDD1D
 PRIOR = 0.1
@@ -165,7 +165,7 @@ def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.where(at < 0, -1, v) for v in (kind, slot, leaf))
 
 
-def start(counts: Counts, *, least: int = 8, least_bits: int = 13, most_bits: int = 15) -> Model:
+def start(counts: Counts, *, least: int = 8, least_bits: int = 13, most_bits: int = 14) -> Model:
     """The unigram model: biases are the logarithms of the counts, all other weights 0.
 
     The vocabulary holds the words of `least` occurrences or more, MOST_WORDS at
@@ -241,7 +241,7 @@ def steps(tokens: np.ndarray, begins: np.ndarray, lookup: Lookup, bits: int) ->
     features = [_row(bits, 1, one), _row(bits, 2, two), _row(bits, 3, one, two), _row(bits, 4, (same * 64 + before[0] + 1).astype(U64))]
     within = target.astype(U64)
     inside = within * U64(WORDS) + slot.astype(U64)
-    return Steps(target, slot, leaf, features, [_row(bits, 5, one, within), _row(bits, 6, two, within)], [_row(bits, 7, one, inside), _row(bits, 8, two, inside)], may_copy, same, before)
+    return Steps(target, slot, leaf, features, [_row(bits, 5, one, within), _row(bits, 6, two, within)], [_row(bits, 7, one, inside)], may_copy, same, before)
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -251,33 +251,41 @@ def _soft(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _class_chances(model: Model, s: Steps, part: slice) -> np.ndarray:
+def _log_chance(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """log10 of the chance of one column of each row, 1e-30 at least."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), goal].astype(np.float64)
+    np.exp(z, out=z)
+    return np.maximum((own - np.log(z.sum(axis=1))) / np.log(10), -30)
+
+
+def _class_logits(model: Model, s: Steps, part: slice) -> np.ndarray:
     z = model.by_class[s.features[0][part]]
     for f in s.features[1:]:
         z += model.by_class[f[part]]
     z += model.classes
     z[~s.may_copy[part], COPY] = OUT
-    return _soft(z)
+    return z
 
 
-def _word_chances(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
-    """Chances of the words or groups of the target class, at positions whose class has some."""
+def _word_logits(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
+    """Logits of the words or groups of the target class, at positions whose class has some."""
     z = model.words[s.target[at]]
     for f in s.word_features:
         z += model.by_word[f[at]]
     own = _again(s, at, 0)
     z[own, s.last[1][at[own]]] += model.again[s.same[at[own]].astype(np.int64)]
-    return _soft(z)
+    return z
 
 
-def _leaf_chances(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
-    """Chances of the words of the target group, at positions whose word is in one."""
+def _leaf_logits(model: Model, s: Steps, at: np.ndarray) -> np.ndarray:
+    """Logits of the words of the target group, at positions whose word is in one."""
     z = model.leaves[s.group[at]]
     for f in s.leaf_features:
         z += model.by_leaf[f[at]]
     own = _again(s, at, 1)
     z[own, s.last[2][at[own]]] += model.again[2 + s.same[at[own]].astype(np.int64)]
-    return _soft(z)
+    return z
 
 
 def _again(s: Steps, at: np.ndarray, level: int) -> np.ndarray:
@@ -288,16 +296,15 @@ def _again(s: Steps, at: np.ndarray, level: int) -> np.ndarray:
     return np.flatnonzero(own)
 
 
-def _spread(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
-    """An AdaGrad step on the rows that occur."""
+def _spread(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
+    """An AdaGrad step on the rows that occur; slopes has a line for each column of the table."""
+    rows = rows.astype(np.intp)
     number = np.bincount(rows, minlength=len(table))
     found = np.flatnonzero(number)
     seen += number
-    rank = np.empty(len(table), dtype=np.int64)
-    rank[found] = np.arange(len(found))
-    width = slope.shape[1]
-    at = (rank[rows] * width)[:, None] + np.arange(width)
-    push = np.bincount(at.ravel(), weights=slope.ravel(), minlength=len(found) * width).reshape(-1, width).astype(np.float32)
+    push = np.empty((len(found), len(slopes)), dtype=np.float32)
+    for c, slope in enumerate(slopes):
+        push[:, c] = np.bincount(rows, weights=slope, minlength=len(table))[found]
     grown = squares[found]
     grown += push**2
     squares[found] = grown
@@ -306,6 +313,10 @@ def _spread(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.n
     table[found] += push
 
 
+def _by_column(slope: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(slope.T, dtype=np.float64)
+
+
 TABLES = ("by_class", "by_word", "by_leaf")
 
 
@@ -323,22 +334,24 @@ def _train(batches: Iterator[pa.RecordBatch], model: Model, rate: float) -> Iter
             s = steps(*tokens_of(raw, offsets), lookup, own.bits)
             for a in range(0, len(s.target), BATCH):
                 part = slice(a, min(a + BATCH, len(s.target)))
-                slope = -_class_chances(own, s, part)
+                slope = -_soft(_class_logits(own, s, part))
                 slope[np.arange(len(slope)), s.target[part]] += 1
+                slopes = _by_column(slope)
                 for f in s.features:
-                    _spread(tables[0], squares[0], seen[0], f[part], slope, rate)
+                    _spread(tables[0], squares[0], seen[0], f[part], slopes, rate)
                 inside = a + np.flatnonzero(s.target[part] < COPY)
-                for level, at, chances, goal, features in ((0, inside, _word_chances, s.slot, s.word_features), (1, inside[s.leaf[inside] >= 0], _leaf_chances, s.leaf, s.leaf_features)):
+                for level, at, logits, goal, features in ((0, inside, _word_logits, s.slot, s.word_features), (1, inside[s.leaf[inside] >= 0], _leaf_logits, s.leaf, s.leaf_features)):
                     if len(at):
-                        slope = -chances(own, s, at)
+                        slope = -_soft(logits(own, s, at))
                         slope[np.arange(len(at)), goal[at]] += 1
                         mine = _again(s, at, level)
                         push = np.bincount(s.same[at[mine]].astype(np.int64), weights=slope[mine, s.last[1 + level][at[mine]]], minlength=2)
                         both = slice(2 * level, 2 * level + 2)
                         again[both] += push**2
                         own.again[both] += (rate * push / np.sqrt(again[both] + 1e-3)).astype(np.float32)
+                        slopes = _by_column(slope)
                         for f in features:
-                            _spread(tables[1 + level], squares[1 + level], seen[1 + level], f[at], slope, rate)
+                            _spread(tables[1 + level], squares[1 + level], seen[1 + level], f[at], slopes, rate)
     ids, values, weights = [], [], []
     for k, t in enumerate(TABLES):
         some = np.flatnonzero(seen[k])
@@ -399,17 +412,15 @@ def gains(tokens: np.ndarray, begins: np.ndarray, model: Model, lookup: Lookup)
     """log10 P(class) * P(word | class) at each token, but for the words of the tail their class alone; and where those are."""
     s = steps(tokens, begins, lookup, model.bits)
     out = np.zeros(len(tokens))
-    log = lambda p: np.log10(np.maximum(p, 1e-30))
     for a in range(0, len(tokens), BATCH):
         part = slice(a, min(a + BATCH, len(tokens)))
-        target = s.target[part]
-        out[part] = log(_class_chances(model, s, part)[np.arange(len(target)), target])
-        inside = a + np.flatnonzero(target < COPY)
+        out[part] = _log_chance(_class_logits(model, s, part), s.target[part])
+        inside = a + np.flatnonzero(s.target[part] < COPY)
         if len(inside):
-            out[inside] += log(_word_chances(model, s, inside)[np.arange(len(inside)), s.slot[inside]])
+            out[inside] += _log_chance(_word_logits(model, s, inside), s.slot[inside])
         deep = inside[s.leaf[inside] >= 0]
         if len(deep):
-            out[deep] += log(_leaf_chances(model, s, deep)[np.arange(len(deep)), s.leaf[deep]])
+            out[deep] += _log_chance(_leaf_logits(model, s, deep), s.leaf[deep])
     return out, s.target == TAIL
 
 

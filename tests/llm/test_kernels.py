@@ -100,7 +100,7 @@ def test_gains_are_softmaxes_by_hand():
             z[last[1]] += model.again[same]
         want *= soft(z)[slot]
         if leaf >= 0:
-            z = model.leaves[(kind - language_model.PLAIN) * 32 + slot] + model.by_leaf[row(7, one, kind * 32 + slot)] + model.by_leaf[row(8, two, kind * 32 + slot)]
+            z = model.leaves[(kind - language_model.PLAIN) * 32 + slot] + model.by_leaf[row(7, one, kind * 32 + slot)]
             if last[:2] == (kind, slot) and last[2] >= 0:
                 z[last[2]] += model.again[2 + same]
             want *= soft(z)[leaf]
