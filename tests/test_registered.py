@@ -29,7 +29,7 @@ def plain(v):
 
 #: One or two of each family; all of them are compared by the driver.
 NAMES = ["box_round_trips", "box_repairs", "crop_pixels", "sample_positions", "letterbox_points", "calibrated_points", "unit_vectors", "appearance_costs", "centroid_topk", "centroid_capacity", "retrieval_topk", "retrieval_rerank"]
-NAMES += ["nms_soft", "nms_neighborhood", "detector_candidates", "detector_suppressed", "detector_decode", "mtmc_spatial_pairs", "mtmc_gated_pairs", "eval_clear_lanes", "eval_identity_lanes", "eval_hota_lanes", "eval_without_ignored", "track_sort_still", "track_deepsortv2_still"]
+NAMES += ["nms_soft", "nms_neighborhood", "detector_candidates", "detector_suppressed", "detector_decode", "mtmc_spatial_pairs", "mtmc_gated_pairs", "eval_clear_lanes", "eval_identity_lanes", "eval_hota_lanes", "eval_without_ignored"]
 
 
 @pytest.mark.parametrize("name", NAMES)
