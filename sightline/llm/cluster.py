@@ -229,6 +229,23 @@ class Recent:
         return np.sort(once)
 
 
+#: Words of a piece of a bit table as a power of two (64 kB), and tasks that make pieces.
+PIECE_BITS, PIECE_TASKS = 13, 32
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, words) of the bits at p; a task holds its own pieces of the table."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("p").to_numpy()
+        for piece in np.unique(at >> 6 + PIECE_BITS).tolist():
+            own = at[at >> 6 + PIECE_BITS == piece]
+            words = held.setdefault(piece, np.zeros(1 << PIECE_BITS, dtype=np.uint64))
+            np.bitwise_or.at(words, own >> 6 & (1 << PIECE_BITS) - 1, np.uint64(1) << (own & 63).astype(np.uint64))
+    for piece, words in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([words.tobytes()], type=pa.binary())], names=["piece", "words"])
+
+
 class Bloom:
     """A set of well-mixed longs as a bit table: no member is missed, few others pass."""
 
@@ -237,7 +254,7 @@ class Bloom:
 
     @classmethod
     def of(cls, df: DataFrame, column: str, least_bits: int = 23, most_bits: int = 28) -> Bloom:
-        """Or the bits of all rows together on the executors; at most 2**(bits - 6) words come back.
+        """Or the bits of all rows together on the executors; the table comes back in pieces, 2**(bits - 3) bytes in all.
 
         The table has about 16 bits a row, from 2**least_bits up to 2**most_bits (32
         MB); with far more rows than that it lets most pass, which costs time and
@@ -247,10 +264,12 @@ class Bloom:
         mask = (1 << bits) - 1
         at = [F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 64 - bits)]
         rows = df.select(F.explode(F.array(*at)).alias("p"))
-        rows = rows.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+        dealt = rows.repartition(PIECE_TASKS, F.shiftright("p", 6 + PIECE_BITS))
         words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        words[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64)
+        # never as rows of Python: a word would take a hundred times its size
+        for batch in dealt.mapInArrow(_pieces, "piece long, words binary").toArrow().to_batches():
+            for piece, held in zip(batch.column("piece").to_pylist(), batch.column("words")):
+                words[piece << PIECE_BITS : piece + 1 << PIECE_BITS] = np.frombuffer(held.as_buffer(), dtype=np.uint64)
         return cls(words, bits)
 
     def has(self, x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -52,6 +53,23 @@ def test_components(spark):
     assert cluster.components(spark.createDataFrame([], "a long, b long"), spark).count() == 0
 
 
+def test_a_bit_table_comes_back_whole_and_small(spark):
+    ids = spark.range(150_000).selectExpr("xxhash64(id) AS node").cache()
+    cluster.Bloom.of(ids.limit(10), "node")
+    tracemalloc.start()
+    made = cluster.Bloom.of(ids, "node")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # as rows of Python the table of 1 MB took 40
+    assert most < 8 << 20
+    nodes = np.array([r["node"] for r in ids.collect()]).view(np.uint64)
+    want = np.zeros(1 << made.bits, dtype=bool)
+    want[(nodes & np.uint64((1 << made.bits) - 1)).astype(np.int64)] = True
+    want[(nodes >> np.uint64(64 - made.bits)).astype(np.int64)] = True
+    assert (np.unpackbits(made.words.view(np.uint8), bitorder="little") == want).all()
+    assert not cluster.Bloom.of(ids.where("node IS NULL"), "node").words.any()
+
+
 def near_texts():
     rng = random.Random(2)
     texts = []
