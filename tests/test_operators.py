@@ -91,6 +91,22 @@ def test_ignored_boxes_take_predictions_away(spark):
     assert scores(spark, gt, pred, length=1, ignored=objects(spark, [("s", 1, 9, 306)]), unscored=competing)["FP"] == 1
 
 
+def test_boxes_of_one_id_in_a_frame_match_on_their_own(spark):
+    gt = [("s", f, i, 300 * i) for f in (1, 2) for i in (1, 2, 3)]
+    pred = [("s", f, 7, 300 * i) for f in (1, 2) for i in (1, 2)] + [("s", 1, 8, 900)]
+    got = scores(spark, gt, pred)
+    assert (got["TP"], got["FP"], got["FN"], got["IDSW"]) == (5, 0, 1, 0)
+    # tracks 1 and 2: 2 boxes shared of 4 in the union each; track 3: 1 of 2
+    assert got["DetA"] == pytest.approx(5 / 6) and got["AssA"] == pytest.approx((2 * 2 / 4 + 2 * 2 / 4 + 1 / 2) / 5)
+
+
+def test_ignored_boxes_take_every_box_of_an_id(spark):
+    truth = objects(spark, [("s", 1, i, 300 * i) for i in (1, 2, 3)])
+    predicted = objects(spark, [("s", 1, 7, 300), ("s", 1, 7, 600), ("s", 1, 8, 900)])
+    left = evaluation.without_ignored(predicted, truth.where("id = 2"), truth.where("id <> 2")).collect()
+    assert [(r["frame_id"], r["id"]) for r in left] == [(1, 8)]
+
+
 def test_combined_sums_counts_before_it_divides(spark):
     gt = objects(spark, [("a", 1, 1, 0), ("b", 1, 1, 0), ("b", 2, 1, 0), ("b", 3, 1, 0)])
     pred = objects(spark, [("b", f, 1, 0) for f in (1, 2, 3)])
