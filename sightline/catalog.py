@@ -78,13 +78,13 @@ p AS (SELECT query_id, min(rank) AS first, round(avg(hits / rank), 6) AS ap FROM
 
 @query("ranking_per_query", f"WITH {REID}, {RANKED} SELECT query_id, first, ap FROM p")
 def ranking_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.per_query(scored(spark, sf_dir)))
+    return rounded(retrieval.rank_queries(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), round_to=6))
 
 
 @query("ranking_cmc_map", f"""WITH {REID}, {RANKED}, n AS (SELECT count(*) AS q FROM queries), m AS (SELECT avg(ap) AS map, count(*) AS evaluated FROM p)
 SELECT round((SELECT avg((first <= 1)::INT) FROM p), 6) AS rank_1, round((SELECT avg((first <= 5)::INT) FROM p), 6) AS rank_5, round((SELECT avg((first <= 20)::INT) FROM p), 6) AS rank_20, round(map, 5) AS map, evaluated, q - evaluated AS skipped FROM m, n""")
 def ranking_cmc_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.evaluate_ranking(scored(spark, sf_dir))
+    out = retrieval.evaluate_search(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), round_to=6)
     return out.select(*[F.round(F.col("cmc")[k - 1], 6).alias(f"rank_{k}") for k in (1, 5, 20)], F.round("map", 5).alias("map"), "evaluated", "skipped")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import DET, FRAME, IOU, ORACLE_SQL, OVER, REID, SIM, det, query, rounded, scored
+from .catalog import DET, FRAME, IOU, ORACLE_SQL, OVER, REID, SIM, det, query, rounded
 from .functions import boxes, costs, vectors
 from .operators import crosscamera, detection, evaluation, pairs, retrieval, tracking
 from .plans import views
@@ -152,7 +152,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, en
 SELECT round(avg((first <= 10)::INT), 6) AS rank_10 FROM p""",
 )
 def ranking_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.rank_at(retrieval.evaluate_ranking(scored(spark, sf_dir)), 10))
+    return rounded(retrieval.rank_at(retrieval.evaluate_search(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), round_to=6), 10))
 
 
 NODES = """n AS (SELECT 0 AS side, query_id AS id, vector AS v FROM queries UNION ALL SELECT 1, entry_id, vector FROM gallery),

@@ -154,6 +154,74 @@ def per_query(scored: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.min("rank").alias("first"), F.avg(F.col("hits") / F.col("rank")).alias("ap"))
 
 
+#: Pairs of a query and an entry that one task ranks, about, and scores it holds at once.
+PAIRS_A_TASK, SCORES_AT_ONCE = 16_000_000, 1 << 21
+
+
+def rank_queries(queries: DataFrame, gallery: DataFrame, *, vector: str = "vector", round_to: int | None = None, most_bytes: int = 128 << 20) -> DataFrame:
+    """per_query of similarities by products: pairs are never rows while the gallery's vectors take up to most_bytes.
+
+    The gallery goes to every task, the queries are dealt; each query's scores are
+    sorted where they are made. A larger gallery is ranked over pairs as rows, with
+    the same result. A missing vector ranks last. Ids are longs, and tell queries apart.
+    """
+    width = gallery.agg(F.max(F.size(vector))).first()[0] or 1
+    n_queries, n_entries = queries.count(), gallery.count()
+    if not n_entries:
+        return queries.sparkSession.createDataFrame([], "query_id long, first int, ap double")
+    if 8 * width * n_entries > most_bytes:
+        return per_query(similarities(queries, gallery, vector=vector, round_to=round_to))
+    camera = "camera_id" in queries.columns and "camera_id" in gallery.columns
+    name = F.col("camera_id").cast("string") if camera else F.lit(None).cast("string")
+    none = F.array_repeat(F.lit(0.0), width)
+
+    def pick(df: DataFrame, key: str) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        return df.select(F.col(key).cast("long").alias("id"), F.coalesce(v, none).alias("v"), v.isNull().alias("absent"), F.col("identity").cast("string").alias("identity"), name.alias("camera"))
+
+    held = pick(gallery, "entry_id").toArrow().sort_by("id")
+    x = _matrix(held.column("v"))
+    slim = x.astype(np.float32)
+    x = slim if (slim == x).all() else x
+    absent = held.column("absent").to_numpy()
+    names, views = (held.column(c).combine_chunks().dictionary_encode() for c in ("identity", "camera"))
+    tasks = max(1, min(1024, n_queries * n_entries // PAIRS_A_TASK))
+    return pick(queries, "query_id").repartition(tasks, "id").mapInArrow(_ranker(x, absent, names, views, round_to), "query_id long, first int, ap double")
+
+
+def _codes(column: pa.DictionaryArray) -> tuple[np.ndarray, dict[str, int]]:
+    """A number for each row, -1 without a value, and the numbers of the values."""
+    return column.indices.fill_null(-1).to_numpy(), {v: k for k, v in enumerate(column.dictionary.to_pylist())}
+
+
+def _ranker(x: np.ndarray, absent: np.ndarray, names: pa.DictionaryArray, views: pa.DictionaryArray, round_to: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = x.astype(np.float64).T
+        (identity, known), (camera, places) = _codes(names), _codes(views)
+        rows = max(1, SCORES_AT_ONCE // max(1, len(absent)))
+        for batch in batches:
+            out: list[tuple[int, int, float]] = []
+            for a in range(0, batch.num_rows, rows):
+                own = batch.slice(a, rows)
+                scores = _matrix(own.column("v")) @ held
+                scores = scores if round_to is None else np.round(scores, round_to)
+                scores[:, absent] = -np.inf
+                for row, q in enumerate(own.select(["id", "absent", "identity", "camera"]).to_pylist()):
+                    match = identity == known.get(q["identity"], -2)
+                    counts = ~(match & (camera == places.get(q["camera"], -2)))
+                    # entries stand in the order of their ids, which breaks ties
+                    order = np.arange(len(match)) if q["absent"] else np.argsort(-scores[row], kind="stable")
+                    order = order[counts[order]]
+                    ranks = np.flatnonzero(match[order]) + 1
+                    if len(ranks):
+                        out.append((q["id"], int(ranks[0]), float(np.mean(np.arange(1, len(ranks) + 1) / ranks))))
+            if out:
+                ids, first, ap = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(ap, pa.float64())], names=["query_id", "first", "ap"])
+
+    return run
+
+
 def evaluate_ranking(scored: DataFrame, max_rank: int = 50) -> DataFrame:
     """One row: cmc (share of queries with a hit by rank k), map, evaluated, skipped.
 
@@ -162,7 +230,17 @@ def evaluate_ranking(scored: DataFrame, max_rank: int = 50) -> DataFrame:
     """
     queries = scored.select("query_id").distinct().count()
     length = min(max_rank, scored.select("entry_id").distinct().count())
-    found = per_query(scored)
+    return _summed(per_query(scored), queries, length)
+
+
+def evaluate_search(queries: DataFrame, gallery: DataFrame, max_rank: int = 50, *, vector: str = "vector", round_to: int | None = None) -> DataFrame:
+    """evaluate_ranking of the similarities of queries and gallery, by rank_queries."""
+    entries = gallery.select("entry_id").distinct().count()
+    asked = queries.select("query_id").distinct().count() if entries else 0
+    return _summed(rank_queries(queries, gallery, vector=vector, round_to=round_to), asked, min(max_rank, entries))
+
+
+def _summed(found: DataFrame, queries: int, length: int) -> DataFrame:
     at = [F.avg((F.col("first") <= k).cast("double")) for k in range(1, length + 1)]
     out = found.agg(F.array(*at).alias("cmc"), F.avg("ap").alias("map"), F.count("*").alias("evaluated"))
     return out.withColumn("skipped", F.lit(queries) - F.col("evaluated"))

@@ -216,6 +216,23 @@ def test_rerank_equals_the_dense_form(spark):
     assert len(got) == 240 and all(abs(r["distance"] - want[r["query_id"], r["entry_id"]]) < 1e-9 for r in got)
 
 
+def test_ranking_by_products_equals_ranking_over_pairs(spark):
+    rng = np.random.default_rng(10)
+    x = unit_rows(rng, 60).round(2)  # ties
+    rows = [(k, None if k in (7, 20) else [float(v) for v in x[k]], None if k == 9 else f"p{k % 5}", None if k == 11 else k % 3) for k in range(60)]
+    g = spark.createDataFrame(rows, "entry_id long, vector array<double>, identity string, camera_id int")
+    q = g.where("entry_id % 2 = 1 OR entry_id = 20").withColumnRenamed("entry_id", "query_id")
+    scored = retrieval.similarities(q, g, round_to=2)
+    order = lambda df: sorted((r["query_id"], r["first"], round(r["ap"], 9)) for r in df.collect())
+    want = order(retrieval.per_query(scored))
+    assert len(want) >= 25 and order(retrieval.rank_queries(q, g, round_to=2)) == want
+    assert order(retrieval.rank_queries(q, g, round_to=2, most_bytes=10)) == want
+    assert retrieval.evaluate_search(q, g, round_to=2).first()["skipped"] == retrieval.evaluate_ranking(scored).first()["skipped"]
+    assert order(retrieval.rank_queries(q, g.limit(0))) == []
+    # pairs are not rows: no plan holds a product of the two tables
+    assert "CartesianProduct" not in (plan := retrieval.rank_queries(q, g)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
 def test_ema_is_an_ordered_fold(spark):
     rng = np.random.default_rng(9)
     x = unit_rows(rng, 12)
