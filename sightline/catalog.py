@@ -159,7 +159,7 @@ i AS (SELECT det.*, greatest(0, 1 - coalesce(worst, 0)) AS isolation FROM det LE
 @query("isolation_momentum", f"""WITH {DET}, {ISOLATION} SELECT camera, frame_id, det_idx, round(isolation, 6) AS isolation,
   round(least(greatest(0.9 + 0.1 * (1 - (least(greatest(score, 0.5), 0.8) - 0.5) / 0.3), 0.9 + 0.1 * (1 - (least(greatest(isolation, 0.5), 0.8) - 0.5) / 0.3)), 0.95), 5) AS momentum FROM i""")
 def isolation_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pairs.isolation(det(spark, sf_dir), FRAME, "det_idx")
+    out = pairs.isolation(det(spark, sf_dir).select(*FRAME, "det_idx", "score", *pairs.CORNERS), FRAME, "det_idx")
     keep = costs.appearance_momentum(F.col("score"), F.col("isolation"))
     return out.select(*FRAME, "det_idx", F.round("isolation", 6).alias("isolation"), F.round(keep, 5).alias("momentum"))
 

@@ -52,6 +52,38 @@ def direction(headings: np.ndarray, origins: np.ndarray, boxes: np.ndarray) -> n
     return out
 
 
+#: Boxes on one side of a tile of overlaps.
+TILE = 256
+
+
+def worst_overlap(boxes: np.ndarray) -> np.ndarray:
+    """The highest IoU of each box with another, 0 for a lone one; each pair is made once, in tiles that stay in the cache."""
+    x1, y1, x2, y2 = np.ascontiguousarray(boxes.T)
+    area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    out = np.zeros(len(boxes))
+    for a in range(0, len(boxes), TILE):
+        row = np.s_[a : a + TILE, None]
+        for b in range(a, len(boxes), TILE):
+            column = np.s_[None, b : b + TILE]
+            shared = np.minimum(x2[row], x2[column])
+            shared -= np.maximum(x1[row], x1[column])
+            np.maximum(shared, 0, out=shared)
+            height = np.minimum(y2[row], y2[column])
+            height -= np.maximum(y1[row], y1[column])
+            np.maximum(height, 0, out=height)
+            shared *= height
+            union = np.add(area[row], area[column], out=height)
+            union -= shared
+            np.maximum(union, 1e-9, out=union)
+            shared /= union
+            if a == b:
+                np.fill_diagonal(shared, 0)
+            else:
+                out[b : b + TILE] = np.maximum(out[b : b + TILE], shared.max(axis=0))
+            out[a : a + TILE] = np.maximum(out[a : a + TILE], shared.max(axis=1))
+    return out
+
+
 def isolation(boxes: np.ndarray) -> np.ndarray:
     """1 less the highest IoU with another box; a lone box has 1."""
     if len(boxes) < 2:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, vectors
+from ..functions.arrays import worst_overlap
+from ..plans.grouping import arrow_map
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -48,12 +52,23 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], cell:
 
 
 def isolation(df: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """df with isolation: 1 less the highest IoU with another box of its keys; 1 for a lone box."""
-    slim = df.select(*keys, row, *CORNERS)
-    pairs = iou_pairs(slim, slim, keys).where(F.col(f"a_{row}") != F.col(f"b_{row}"))
-    worst = pairs.groupBy(*keys, F.col(f"a_{row}").alias(row)).agg(F.max("iou").alias("__worst"))
-    out = df.join(worst, [*keys, row], "left")
-    return out.withColumn("isolation", F.greatest(F.lit(0.0), 1 - F.coalesce("__worst", F.lit(0.0)))).drop("__worst")
+    """df with isolation: 1 less the highest IoU with another box of its keys; 1 for a lone box, or one without a corner.
+
+    Boxes of equal keys are compared over arrays; pairs are never rows. row tells
+    the boxes of a key apart.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def each(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        corners = np.column_stack([table.column(c).cast(pa.float64()).to_numpy() for c in CORNERS])
+        whole = np.logical_and.reduce([table.column(c).is_valid().to_numpy() for c in (*CORNERS, row)])
+        out = np.ones(len(corners))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = a + np.flatnonzero(whole[a:b])
+            out[own] = np.maximum(0.0, 1 - worst_overlap(corners[own]))
+        return table.append_column("isolation", pa.array(out))
+
+    return arrow_map(df, keys, each, f"{kinds}, isolation double")
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:

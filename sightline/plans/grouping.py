@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -88,6 +89,39 @@ def chunked_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.n
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def _arrow_chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """chunks() of Arrow batches: columns stay as they came."""
+    held: list[pa.Table] = []
+    cuts: list[int] = []  # where keys begin in what is held
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        joint = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table]) if held else table
+        begins = changes(joint.select(keys).to_pandas(), keys)
+        begins = begins[1:] - 1 if held else begins
+        cuts += (begins + size).tolist()
+        held.append(table)
+        size += table.num_rows
+        if len(cuts) > 1:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, cuts[-1]).combine_chunks(), np.array(cuts)
+            held, size, cuts = [whole.slice(cuts[-1])], size - cuts[-1], [0]
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.array([*cuts, size])
+
+
+def arrow_map(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """chunked_map over Arrow tables, for rows that pass through with their types and nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, cuts in _arrow_chunks(batches, keys):
+            yield from fn(whole, cuts).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def folded(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
     """A fold of each key's rows in order, one value of `order` at a time.
 

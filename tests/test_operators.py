@@ -402,6 +402,24 @@ def test_detector_output_becomes_frames(spark):
         detection.decode(tensors.withColumn("values", F.expr("array(array(0D, 0D, 1D, 1D, 7D, 0D))")), frames, (640, 640)).collect()
 
 
+def test_isolation_is_brute_force_and_makes_no_pairs(spark):
+    rng = np.random.default_rng(11)
+    xy = rng.integers(0, 300, (700, 2))
+    b = np.hstack([xy, xy + rng.integers(1, 40, (700, 2))]).astype(float)
+    rows = [(None if k % 7 == 3 else k % 7, k, *map(float, b[k]), None if k % 2 else k) for k in range(700)] + [(1, 700, None, 0.0, 9.0, 9.0, 1)]
+    rows += [(9, k, 10.0 * k, 0.0, 10.0 * k + 12, 9.0, k) for k in range(701, 1301)]
+    df = spark.createDataFrame(rows, "key long, row long, x1 double, y1 double, x2 double, y2 double, extra long")
+    made = pairs.isolation(df, ["key"], "row")
+    assert "Join" not in made._jdf.queryExecution().toString()
+    got = {r["row"]: (r["isolation"], r["extra"]) for r in made.collect()}
+    assert len(got) == len(rows) and all(got[r[1]][1] == r[6] for r in rows)
+    assert got[700][0] == 1.0
+    for k in range(0, 700, 13):
+        others = [j for j in range(k % 7, 700, 7) if j != k]
+        assert got[k][0] == pytest.approx(1 - max(iou_of(b[k], b[j]) for j in others), abs=1e-12)
+    assert got[1000][0] == pytest.approx(1 - 2 / 22)
+
+
 def test_isolation_of_a_lone_box(spark):
     df = spark.createDataFrame([("f", 1, 0.0, 0.0, 10.0, 10.0), ("g", 1, 0.0, 0.0, 10.0, 10.0), ("g", 2, 5.0, 0.0, 15.0, 10.0)], "key string, row long, x1 double, y1 double, x2 double, y2 double")
     got = {(r["key"], r["row"]): round(r["isolation"], 6) for r in pairs.isolation(df, ["key"], "row").collect()}
