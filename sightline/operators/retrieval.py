@@ -338,8 +338,9 @@ def camera_codes(entries: DataFrame, most: int = 4096) -> DataFrame:
 def rerank_size(queries: int, gallery: int, k1: int, k2: int, width: int) -> dict[str, int]:
     """About how many bytes each part of rerank takes on all executors together.
 
-    Pairs are made twice, once for the neighbours and once for the result; lists
-    of neighbours and weights are far smaller than pairs for all but tiny tables.
+    Pairs are the distances, made block by block for neighbours, weights and the
+    result and never held as a whole; lists of neighbours and weights are far
+    smaller for all but tiny tables.
     """
     n = queries + gallery
     reach = max(k1, k2 - 1) + 1
@@ -349,8 +350,8 @@ def rerank_size(queries: int, gallery: int, k1: int, k2: int, width: int) -> dic
 def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lambda_value: float = 0.3, vector: str = "vector", max_entries: int = 20_000) -> DataFrame:
     """k-reciprocal re-ranking: (query_id, entry_id, distance), lower is closer.
 
-    Every step keeps only neighbour lists, so beyond the pairwise distances the
-    data is rows * k1. Distances are divided by each row's largest; a row's
+    Vectors go to every task, which makes the distances of its rows block by block;
+    every step keeps only neighbour lists, so the data is rows * k1. Distances are divided by each row's largest; a row's
     neighbours are its first k1 + 1 in both directions, itself included, widened
     by neighbours whose own half-size lists overlap them by more than two thirds;
     their weights exp(-d) are averaged over k2 neighbours, and the Jaccard
@@ -372,12 +373,18 @@ def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6,
         parts = rerank_size(n_query, n_gallery, k1, k2, max(r["width"] or 0 for r in counted.values()))
         told = ", ".join(f"{name} {size / 1e9:.1f} GB" for name, size in parts.items())
         require(False, f"re-ranking {n_query} queries against {n_gallery} entries takes {told}; raise max_entries, or re-rank candidates only")
+    spark = queries.sparkSession
+    if not total:
+        return spark.createDataFrame([], "query_id long, entry_id long, distance double")
     rows = q.unionByName(g).withColumn("v", finite_array(F.when(F.col("v").isNull(), F.raise_error(F.lit("re-ranking needs a vector of every row"))).otherwise(F.col("v")), "vector"))
-    pairs = rows.alias("a").crossJoin(rows.alias("b")).select(F.col("a.n").alias("i"), F.col("b.n").alias("j"), (1 - vectors.dot(F.col("a.v"), F.col("b.v"))).alias("d"))
-    scale = Window.partitionBy("i")
-    pairs = pairs.withColumn("d", F.col("d") / F.greatest(F.max("d").over(scale), F.lit(1e-12)))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")) - 1).where(F.col("r") <= max(k1, k2 - 1))
-    near = near.select("i", "j", "d", "r")
+    held = rows.select("n.side", "n.id", "v").toArrow().sort_by([("side", "ascending"), ("id", "ascending")])
+    # equal vectors have one column of the products, so that their distances are equal to the last bit
+    known, place = np.unique(_matrix(held.column("v")), axis=0, return_inverse=True)
+    far = _Far(known, place.reshape(-1))
+    ids = held.column("id").to_numpy()
+    tasks = max(1, min(1024, total * total // PAIRS_A_TASK))
+    # rows go by their numbers, queries first, in the order of their ids
+    near = spark.range(0, total, 1, tasks).mapInArrow(_neighbours(far, max(k1, k2 - 1)), "i long, j long, r int")
 
     def reciprocal(k: int) -> DataFrame:
         own = near.where(F.col("r") <= k)
@@ -389,16 +396,72 @@ def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6,
     widened = full.select("i", "set", F.explode("set").alias("c")).join(half, "c")
     joins = widened.where(F.size(F.array_intersect("half", "set")) * 3 > F.size("half") * 2)
     more = joins.groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("half"))).alias("more"))
-    sets = full.join(more, "i", "left").select("i", F.explode(F.array_union("set", F.coalesce("more", F.array().cast(full.schema["set"].dataType)))).alias("j"))
-    weights = sets.join(pairs, ["i", "j"]).select("i", "j", F.exp(-F.col("d")).alias("w"))
-    weights = weights.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("i")))
+    sets = full.join(more, "i", "left").select("i", F.array_union("set", F.coalesce("more", F.array().cast("array<bigint>"))).alias("set"))
+    weights = sets.repartition(tasks, "i").mapInArrow(_weights(far), "i long, j long, w double")
     if k2 > 1:
         first = near.where(F.col("r") < k2).select(F.col("i").alias("of"), F.col("j").alias("i"))
         weights = first.join(weights, "i").groupBy(F.col("of").alias("i"), "j").agg((F.sum("w") / k2).alias("w"))
-    left = weights.where("i.side = 0").select(F.col("i").alias("q"), "j", F.col("w").alias("wq"))
-    right = weights.where("i.side = 1").select(F.col("i").alias("g"), "j", F.col("w").alias("wg"))
+    left = weights.where(F.col("i") < n_query).select(F.col("i").alias("q"), "j", F.col("w").alias("wq"))
+    right = weights.where(F.col("i") >= n_query).select(F.col("i").alias("g"), "j", F.col("w").alias("wg"))
     shared = left.join(right, "j").groupBy("q", "g").agg(F.sum(F.least("wq", "wg")).alias("s"))
-    plain = pairs.where("i.side = 0 AND j.side = 1").select(F.col("i").alias("q"), F.col("j").alias("g"), "d")
+    plain = spark.range(0, n_query, 1, max(1, min(n_query, tasks))).mapInArrow(_plain(far, ids, n_query), "q long, g long, query_id long, entry_id long, d double")
     out = plain.join(shared, ["q", "g"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     distance = (1 - F.col("s") / (2 - F.col("s"))) * (1 - lambda_value) + F.col("d") * lambda_value
-    return out.select(F.col("q.id").alias("query_id"), F.col("g.id").alias("entry_id"), distance.alias("distance"))
+    return out.select("query_id", "entry_id", distance.alias("distance"))
+
+
+class _Far:
+    """Distances of rows to all rows, divided by each row's largest; of a row's vector there is one in known, at its place."""
+
+    def __init__(self, known: np.ndarray, place: np.ndarray) -> None:
+        self.known, self.place = known, place
+
+    def blocks(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their distances), a bounded number at a time."""
+        step = max(1, SCORES_AT_ONCE // len(self.place))
+        for a in range(0, len(rows), step):
+            own = rows[a : a + step]
+            d = 1 - self.known[self.place[own]] @ self.known.T
+            yield own, (d / np.maximum(d.max(axis=1, keepdims=True), 1e-12))[:, self.place]
+
+
+def _neighbours(far: _Far, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(i, j, r) of the `most` + 1 nearest rows of each, ties to the lower."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, d in far.blocks(batch.column(0).to_numpy()):
+                first = np.stack([np.argsort(row, kind="stable")[: most + 1] for row in d])
+                rank = np.broadcast_to(np.arange(first.shape[1], dtype=np.int32), first.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, first.shape[1])), pa.array(first.ravel()), pa.array(rank.ravel())], names=["i", "j", "r"])
+
+    return run
+
+
+def _weights(far: _Far) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """exp(-d) of the rows of each set as shares of their sum, from (i, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = iter(batch.column("set").to_pylist())
+            for own, d in far.blocks(batch.column("i").to_numpy()):
+                picked = [np.array(next(sets), dtype=np.int64) for _ in own]
+                made = [np.exp(-row[j]) for row, j in zip(d, picked)]
+                w = np.concatenate([m / m.sum() for m in made])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(j) for j in picked])), pa.array(np.concatenate(picked)), pa.array(w)], names=["i", "j", "w"])
+
+    return run
+
+
+def _plain(far: _Far, ids: np.ndarray, n_query: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distances of each query to all entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = np.arange(n_query, len(ids))
+        for batch in batches:
+            for own, d in far.blocks(batch.column(0).to_numpy()):
+                for q, row in zip(own.tolist(), d) if len(entries) else ():
+                    columns = [np.full(len(entries), q), entries, np.full(len(entries), ids[q]), ids[entries], row[n_query:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "g", "query_id", "entry_id", "d"])
+
+    return run

@@ -216,6 +216,18 @@ def test_rerank_equals_the_dense_form(spark):
     assert len(got) == 240 and all(abs(r["distance"] - want[r["query_id"], r["entry_id"]]) < 1e-9 for r in got)
 
 
+def test_rerank_of_copies_makes_no_pairs(spark):
+    rng = np.random.default_rng(12)
+    x = unit_rows(rng, 12).round(6)
+    frame = lambda rows, name: spark.createDataFrame([(100 + k, [float(v) for v in x[k % 12]]) for k in rows], f"{name} long, vector array<double>")
+    made = retrieval.rerank(frame(range(0, 6), "query_id"), frame(range(6, 42), "entry_id"), k1=4, k2=2)
+    plan = made._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {(r["query_id"], r["entry_id"]): r["distance"] for r in made.collect()}
+    want = rerank_plainly(x[:6], x[np.arange(6, 42) % 12], 4, 2, 0.3)
+    assert len(got) == want.size and all(got[100 + a, 106 + b] == pytest.approx(want[a, b], abs=1e-9) for a in range(6) for b in range(36))
+
+
 def test_ranking_by_products_equals_ranking_over_pairs(spark):
     rng = np.random.default_rng(10)
     x = unit_rows(rng, 60).round(2)  # ties
