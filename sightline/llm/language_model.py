@@ -244,19 +244,33 @@ def steps(tokens: np.ndarray, begins: np.ndarray, lookup: Lookup, bits: int) ->
     return Steps(target, slot, leaf, features, [_row(bits, 5, one, within), _row(bits, 6, two, within)], [_row(bits, 7, one, inside)], may_copy, same, before)
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+#: Positions whose logits are turned into columns at a time, so that they stay in the processor's cache.
+TURNED = 1024
+
+
+def _slopes(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """What each logit is to rise by, the goal's 1 less each one's chance; a line for each column of z."""
+    out = np.empty((z.shape[1], len(z)))
+    for a in range(0, len(z), TURNED):
+        chance = np.ascontiguousarray(z[a : a + TURNED].T)
+        chance -= chance.max(axis=0)
+        np.exp(chance, out=chance)
+        chance /= -chance.sum(axis=0)
+        out[:, a : a + TURNED] = chance
+    out[goal, np.arange(len(z))] += 1
+    return out
 
 
 def _log_chance(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """log10 of the chance of one column of each row, 1e-30 at least."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), goal].astype(np.float64)
-    np.exp(z, out=z)
-    return np.maximum((own - np.log(z.sum(axis=1))) / np.log(10), -30)
+    out = np.empty(len(z))
+    for a in range(0, len(z), TURNED):
+        turned = np.ascontiguousarray(z[a : a + TURNED].T)
+        turned -= turned.max(axis=0)
+        own = turned[goal[a : a + TURNED], np.arange(turned.shape[1])].astype(np.float64)
+        np.exp(turned, out=turned)
+        out[a : a + TURNED] = own - np.log(turned.sum(axis=0))
+    return np.maximum(out / np.log(10), -30)
 
 
 def _class_logits(model: Model, s: Steps, part: slice) -> np.ndarray:
@@ -313,10 +327,6 @@ def _spread(table: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.n
     table[found] += push
 
 
-def _by_column(slope: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(slope.T, dtype=np.float64)
-
-
 TABLES = ("by_class", "by_word", "by_leaf")
 
 
@@ -334,22 +344,18 @@ def _train(batches: Iterator[pa.RecordBatch], model: Model, rate: float) -> Iter
             s = steps(*tokens_of(raw, offsets), lookup, own.bits)
             for a in range(0, len(s.target), BATCH):
                 part = slice(a, min(a + BATCH, len(s.target)))
-                slope = -_soft(_class_logits(own, s, part))
-                slope[np.arange(len(slope)), s.target[part]] += 1
-                slopes = _by_column(slope)
+                slopes = _slopes(_class_logits(own, s, part), s.target[part])
                 for f in s.features:
                     _spread(tables[0], squares[0], seen[0], f[part], slopes, rate)
                 inside = a + np.flatnonzero(s.target[part] < COPY)
                 for level, at, logits, goal, features in ((0, inside, _word_logits, s.slot, s.word_features), (1, inside[s.leaf[inside] >= 0], _leaf_logits, s.leaf, s.leaf_features)):
                     if len(at):
-                        slope = -_soft(logits(own, s, at))
-                        slope[np.arange(len(at)), goal[at]] += 1
+                        slopes = _slopes(logits(own, s, at), goal[at])
                         mine = _again(s, at, level)
-                        push = np.bincount(s.same[at[mine]].astype(np.int64), weights=slope[mine, s.last[1 + level][at[mine]]], minlength=2)
+                        push = np.bincount(s.same[at[mine]].astype(np.int64), weights=slopes[s.last[1 + level][at[mine]], mine], minlength=2)
                         both = slice(2 * level, 2 * level + 2)
                         again[both] += push**2
                         own.again[both] += (rate * push / np.sqrt(again[both] + 1e-3)).astype(np.float32)
-                        slopes = _by_column(slope)
                         for f in features:
                             _spread(tables[1 + level], squares[1 + level], seen[1 + level], f[at], slopes, rate)
     ids, values, weights = [], [], []

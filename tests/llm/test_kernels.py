@@ -107,6 +107,17 @@ def test_gains_are_softmaxes_by_hand():
         assert abs(got[k] - np.log10(max(want, 1e-300))) < 1e-3, k
 
 
+def test_slopes_and_chances_are_softmaxes_by_columns():
+    rng = np.random.default_rng(6)
+    z = (4 * rng.normal(size=(2 * language_model.TURNED + 5, 32))).astype(np.float32)
+    goal = rng.integers(0, 32, len(z))
+    chance = np.exp(z.astype(float)) / np.exp(z.astype(float)).sum(axis=1, keepdims=True)
+    slopes = language_model._slopes(z.copy(), goal)
+    assert slopes.flags["C_CONTIGUOUS"] and slopes.dtype == np.float64
+    assert np.allclose(slopes.T, np.eye(32)[goal] - chance, atol=1e-6)
+    assert np.allclose(language_model._log_chance(z.copy(), goal), np.log10(chance[np.arange(len(z)), goal]), atol=1e-5)
+
+
 def test_training_learns_what_follows_what():
     """A text of pairs: after training the second word of a pair is all but certain, in plain and in deep classes."""
     rng = random.Random(3)
