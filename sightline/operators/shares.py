@@ -10,11 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions.arrays import distinct_boxes, iou_block
-from ..plans.grouping import arrow_chunks, changes
+from ..plans.grouping import arrow_chunks, arrow_schema, changes
 from .frames import FRAME, Boxes, both_packed, unpacked
 
 #: The tasks among which a sequence's frames are dealt; each sums the pairs of tracks it meets.
@@ -202,7 +200,7 @@ def potentials(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     sequence, gt, pred = dict(frames.dtypes)["sequence"], dict(truth.dtypes)["id"], dict(predictions.dtypes)["id"]
     wide = f"sequence {sequence}, gt {gt}, preds array<{pred}>, sums array<double>, n bigint"
     slim = f"sequence {sequence}, gt {gt}, pred {pred}, potential double, n_gt bigint, n_pred bigint"
-    as_told, as_met = (to_arrow_schema(StructType.fromDDL(s)) for s in (wide, slim))
+    as_told, as_met = arrow_schema(wide), arrow_schema(slim)
     dealt = frames.repartition("sequence", F.pmod(F.hash("frame_id"), F.lit(PARTS))).sortWithinPartitions(*FRAME)
     told = dealt.mapInArrow(lambda batches: _told(batches, as_told), wide)
     stripes = F.when(F.col("gt").isNull(), F.sequence(F.lit(0), F.lit(STRIPES - 1))).otherwise(F.array(F.pmod(F.hash("gt"), F.lit(STRIPES))))
