@@ -105,7 +105,7 @@ class Sums:
                 yield name, [names[i] for i in some], row[some]
 
 
-def _rows(frames: Iterator[tuple[object, object, Boxes | None, Boxes | None]]) -> Iterator[tuple]:
+def _rows(frames: Iterator[tuple[tuple, Boxes | None, Boxes | None, pa.Table | None]]) -> Iterator[tuple]:
     """(sequence, gt, preds, sums, n): sums of shares; then the boxes of each truth track, and those of the predicted ones without a gt."""
     sums, counts, last = Sums(), (Counter(), Counter()), None
 
@@ -123,7 +123,7 @@ def _rows(frames: Iterator[tuple[object, object, Boxes | None, Boxes | None]]) -
             yield last, None, some, [float(counts[1][n]) for n in some], 0
         counts[0].clear(), counts[1].clear()
 
-    for sequence, frame, truth, predictions in frames:
+    for (sequence, frame), truth, predictions, _ in frames:
         if sequence != last:
             yield from done()
             last = sequence
@@ -152,7 +152,7 @@ def _rows(frames: Iterator[tuple[object, object, Boxes | None, Boxes | None]]) -
 
 def _told(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    for row in _rows(unpacked(batches)):
+    for row in _rows(unpacked(batches, FRAME)):
         held.append(row)
         if len(held) >= 256:
             yield _batch(held, schema)
@@ -206,3 +206,34 @@ def potentials(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     stripes = F.when(F.col("gt").isNull(), F.sequence(F.lit(0), F.lit(STRIPES - 1))).otherwise(F.array(F.pmod(F.hash("gt"), F.lit(STRIPES))))
     striped = told.withColumn("stripe", F.explode(stripes)).repartition("sequence", "stripe").sortWithinPartitions("sequence", "stripe", "gt")
     return striped.mapInArrow(lambda batches: _met(batches, as_met), slim)
+
+
+class Alignments:
+    """The alignment of each pair of a sequence's tracks, 0 for pairs that share no frame: as a table where a fair part of it is filled, else as sorted keys."""
+
+    def __init__(self, pairs: pa.Table) -> None:
+        slots = []
+        self.ids: list[dict] = []
+        for c in ("gt", "pred"):
+            coded = pc.dictionary_encode(pairs.column(c).combine_chunks())
+            slots.append(coded.indices.to_numpy().astype(np.int64))
+            self.ids.append({name: k for k, name in enumerate(coded.dictionary.to_pylist())})
+        values = pairs.column("alignment").to_numpy()
+        shape = [len(known) for known in self.ids]
+        self.table, self.keys = None, None
+        if shape[0] * shape[1] <= 4 * len(values):
+            self.table = np.zeros(shape)
+            self.table[slots[0], slots[1]] = values
+        else:
+            keys = slots[0] * shape[1] + slots[1]
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order]
+
+    def of(self, rows: list, columns: list) -> np.ndarray:
+        """The alignments of tracks by tracks; all of them are known by name."""
+        r, c = (np.array([known[n] for n in names]) for known, names in zip(self.ids, (rows, columns)))
+        if self.table is not None:
+            return self.table[r[:, None], c]
+        keys = r[:, None] * len(self.ids[1]) + c
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0)
