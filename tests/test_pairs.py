@@ -8,7 +8,7 @@ from sightline import catalog, catalog_more  # noqa: F401
 from sightline.functions.rounding import nearest
 
 SMALL = "/root/testdata/sf0.001"
-PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping"]
+PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping", "direction_costs"]
 
 
 @pytest.mark.parametrize("digits", [5, 6, 9])
