@@ -6,9 +6,10 @@ import pytest
 
 from sightline import catalog, catalog_more  # noqa: F401
 from sightline.functions.rounding import nearest
+from sightline.functions.vectors import dot
 
 SMALL = "/root/testdata/sf0.001"
-PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping", "direction_costs"]
+PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping", "direction_costs", "mtmc_gated_pairs"]
 
 
 @pytest.mark.parametrize("digits", [5, 6, 9])
@@ -28,3 +29,15 @@ def test_nearest_rounds_as_duckdb_does(spark, digits):
 def test_pairs_are_rounded_by_arithmetic(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "round(" not in plan and "rint(" in plan.lower()
+
+
+def test_cosines_of_known_width_are_compiled(spark):
+    rows = [(1, [0.6, 0.8], [1.0, 0.0]), (2, [0.1, 0.3], [0.7, -0.2]), (3, [0.1, None], [0.7, -0.2]), (4, None, [0.7, -0.2])]
+    df = spark.createDataFrame(rows, "n int, a array<double>, b array<double>")
+    known = df.select("n", dot(df.a, df.b, 2).alias("s"))
+    assert "aggregate(" not in known._jdf.queryExecution().executedPlan().toString()
+    assert known.collect() == df.select("n", dot(df.a, df.b).alias("s")).collect()
+    with pytest.raises(Exception, match="must have 3 places"):
+        df.select(dot(df.a, df.b, 3)).collect()
+    plan = catalog.QUERIES["mtmc_gated_pairs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan
