@@ -9,7 +9,7 @@ from sightline.functions.rounding import nearest
 from sightline.functions.vectors import dot
 
 SMALL = "/root/testdata/sf0.001"
-PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping", "direction_costs", "mtmc_gated_pairs"]
+PAIRS = ["eval_pairs", "iou_pairs", "association_costs", "iou_overlapping", "direction_costs", "mtmc_gated_pairs", "mtmc_spatial_pairs"]
 
 
 @pytest.mark.parametrize("digits", [5, 6, 9])
