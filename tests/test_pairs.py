@@ -1,5 +1,7 @@
 """Queries that answer with all pairs."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -41,3 +43,19 @@ def test_cosines_of_known_width_are_compiled(spark):
         df.select(dot(df.a, df.b, 3)).collect()
     plan = catalog.QUERIES["mtmc_gated_pairs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_code_of_pairs_is_short_enough_to_be_compiled(spark, name):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan()
+        code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenString(plan)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # HotSpot leaves methods beyond 8000 bytes to the interpreter
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
