@@ -71,13 +71,14 @@ def each_text(fn: Callable, *fixed) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int, unlike: str | None = None) -> DataFrame:
+def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int, unlike: str | None = None, count: str | None = None) -> DataFrame:
     """Deal the rows of each key into pairs of blocks of about limit in weight.
 
     Adds lo, hi and part. Rows of one (key, lo, hi) meet; where lo = hi all of
     them are of that block, else part tells the block. A key below the limit has
     the one pair (0, 0); a heavier one has n blocks and each of its rows n copies.
-    With `unlike`, rows of keys that have one value of that column alone go.
+    With `unlike`, rows of keys that have one value of that column alone go; with
+    `count`, a column of that name tells n.
     """
     if unlike:
         # one window, so that the rows are made, dealt and sorted once
@@ -90,7 +91,8 @@ def by_block(df: DataFrame, key: str, unit: Column, weight: Column, limit: int,
         dealt = df.join(heavy, key, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     dealt = dealt.withColumn("part", F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(unit), F.col("__n")).cast("int")))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return dealt.withColumns({"lo": F.least("part", "__j"), "hi": F.greatest("part", "__j")}).drop("__n", "__j")
+    dealt = dealt.withColumns({"lo": F.least("part", "__j"), "hi": F.greatest("part", "__j")}).drop("__j")
+    return dealt.withColumnRenamed("__n", count) if count else dealt.drop("__n")
 
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str, *fixed) -> DataFrame:

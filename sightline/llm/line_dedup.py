@@ -278,10 +278,26 @@ def _near(key: np.ndarray, sim: np.ndarray, mark: np.ndarray, bits: int, least:
     return np.concatenate([np.zeros(0, dtype=np.int64), *left]), np.concatenate([np.zeros(0, dtype=np.int64), *right])
 
 
+#: Links as (at, a, b), with nulls after them, or rows to be dealt by their blocks as (at, node, sim, mark, lo, hi).
+MET = ["at", "a", "b", "mark", "lo", "hi"]
+
+
 def _key_links(batches: Iterator[pa.RecordBatch], bits: int, least: float) -> Iterator[pa.RecordBatch]:
-    """A forest of the near lines of each key, from rows sorted by (at, lo, hi, length); a run goes on into the next batch."""
+    """(at, a, b): a forest of the near lines of each key, from rows sorted by (at, lo, hi, length); a run goes on into the next batch.
+
+    Near lines of a key, in a block of it, have one b; at tells keys and blocks apart.
+    Rows of keys of several blocks, where `blocks` tells them, are passed on as they are.
+    """
     rest = np.zeros((4, 0), dtype=np.int64)
     for batch in _then_none(batches):
+        if batch is not None and "blocks" in batch.schema.names:
+            many = batch.column("blocks").to_numpy() > 1
+            if many.any():
+                hot = batch.filter(pa.array(many))
+                yield pa.RecordBatch.from_arrays([hot.column(c) for c in ("at", "node", "sim", "mark", "lo", "hi")], names=MET)
+                batch = batch.filter(pa.array(~many))
+                if not batch.num_rows:
+                    continue
         if batch is not None:
             at = batch.column("at").to_numpy() ^ (batch.column("lo").to_numpy().astype(np.int64) << 32) ^ batch.column("hi").to_numpy()
             rest = np.concatenate([rest, np.stack([at, *(batch.column(c).to_numpy() for c in ("node", "sim", "mark"))])], axis=1)
@@ -296,10 +312,10 @@ def _key_links(batches: Iterator[pa.RecordBatch], bits: int, least: float) -> It
         if len(left):
             root = smallest_roots(len(key), left, right)
             some = np.flatnonzero(root != np.arange(len(key)))
-            pairs = np.unique(np.stack([node[some], node[root[some]]], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            links = np.unique(np.stack([key[some], node[some], node[root[some]]], axis=1), axis=0)
+            links = links[links[:, 1] != links[:, 2]]
+            if len(links):
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in links.T), pa.nulls(len(links), pa.int64()), pa.nulls(len(links), pa.int32()), pa.nulls(len(links), pa.int32())], names=MET)
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -436,6 +452,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("row_key"), text.alias("text"))
 
 
+def meetings(links: DataFrame, sized: DataFrame, block: int) -> DataFrame:
+    """(node, group, lo, hi, part): where the lines of sized(node, root, weight) meet, each near pair of links(at, a, b) somewhere.
+
+    A group of near lines, a root, meets whole up to `block` in weight. Chance
+    likeness connects ever more of a corpus into one group, whose blocks would
+    copy each line once a block: a heavier group falls apart into the near lines
+    of each key where that makes fewer copies, at most one a key.
+    """
+    copies = lambda weight: weight * F.ceil(weight / block)
+    heavy = sized.groupBy("root").agg(F.sum("weight").alias("w")).where(F.col("w") > block)
+    heavy = written(heavy.select("root", copies(F.col("w")).alias("whole")))
+    if heavy.isEmpty():
+        return by_block(sized.withColumnRenamed("root", "group"), "group", F.col("node"), F.col("weight"), block)
+    # each has more than block in weight, so that they are few
+    near = links.select(F.explode(F.array("a", "b")).alias("node"), F.xxhash64("at", "b").alias("group")).distinct()
+    near = written(near.join(sized.join(F.broadcast(heavy.select("root")), "root"), "node").select("root", "group", "node", "weight"))
+    made = near.groupBy("root", "group").agg(F.sum("weight").alias("w")).groupBy("root").agg(F.sum(copies(F.col("w"))).alias("apart"))
+    apart = F.broadcast(written(heavy.join(made, "root").where("apart < whole").select("root")))
+    whole = sized.join(apart, "root", "left_anti").select("node", F.col("root").alias("group"), "weight")
+    return by_block(whole.unionByName(near.join(apart, "root", "left_semi").select("node", "group", "weight")), "group", F.col("node"), F.col("weight"), block)
+
+
 def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3, similarity: float = 0.9, block: int = 32_768, least_chars: int = 9) -> DataFrame:
     """The lines to drop: (doc_id, row_key, line, kept_doc, kept_line).
 
@@ -457,21 +495,29 @@ def repeated_lines(docs: DataFrame, *, least_words: int = 5, distance: int = 3,
     keyed = _keyed(docs)
     # a key that one line alone has goes
     tables = keyed.select("text").mapInArrow(_keyed_lines(least_words, least_chars, similarity), "at long, node long, sim long, mark long")
-    dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, unlike="node").select("at", "lo", "hi", "node", "sim", "mark")
+    dealt = by_block(tables, "at", F.col("node"), F.lit(1), LINES_A_KEY, unlike="node", count="blocks").select("at", "lo", "hi", "blocks", "node", "sim", "mark")
     length = F.col("mark").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
-    met = dealt.repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", length)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _key_links(batches, bits, similarity)
 
-    groups = written(components(met.mapInArrow(near, "a long, b long"), spark))
+    # rows lie together by their key, so that only keys of several blocks are dealt again
+    schema = "at long, a long, b long, mark long, lo int, hi int"
+    met = written(dealt.sortWithinPartitions("at", length).mapInArrow(near, schema))
+    links, hot = met.where("lo IS NULL").select("at", "a", "b"), met.where("lo IS NOT NULL")
+    if not hot.isEmpty():
+        hot = hot.select("at", "lo", "hi", F.col("a").alias("node"), F.col("b").alias("sim"), "mark").repartition("at", "lo", "hi").sortWithinPartitions("at", "lo", "hi", length)
+        links = links.unionByName(written(hot.mapInArrow(near, schema)).select("at", "a", "b"))
+    groups = written(components(links.select("a", "b"), spark))
 
     wanted = Bloom.of(groups, "node")
     lines = written(keyed.mapInArrow(_placed_lines(least_words, least_chars, similarity, wanted), PLACED))
-    texts = lines.where("words IS NOT NULL").select("node", "sim", "more", "length", "keys", "words").distinct().join(groups, "node")
-    # a group of near lines stays whole up to `block` lines of BYTES_A_LINE, which one task can hold
-    met = by_block(texts, "root", F.col("node"), F.ceil(F.octet_length("words") / BYTES_A_LINE), block)
-    linked = written(components(grouped(met, ["root", "lo", "hi"], _verified, "a long, b long", bits, similarity), spark))
+    texts = lines.where("words IS NOT NULL").select("node", "sim", "more", "length", "keys", "words")
+    # what one task can hold: `block` lines of BYTES_A_LINE
+    sized = written(texts.groupBy("node").agg(F.max(F.ceil(F.octet_length("words") / BYTES_A_LINE)).alias("weight")).join(groups, "node"))
+    # places are dealt without the words, which are shuffled by line and by place and no more
+    met = texts.dropDuplicates(["node"]).join(meetings(links, sized, block), "node")
+    linked = written(components(grouped(met, ["group", "lo", "hi"], _verified, "a long, b long", bits, similarity), spark))
 
     # most lines are alone; only the others are sorted
     counts = lines.groupBy("node").agg(F.count("*").alias("n")).join(linked, "node", "left")

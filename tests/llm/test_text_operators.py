@@ -139,6 +139,25 @@ def test_line_dedup_finds_what_edit_similarity_alone_finds(spark):
     assert {r["doc_id"]: r["kept_doc"] for r in line_dedup.repeated_lines(frame(spark, texts)).collect()} == want
 
 
+def test_a_chain_of_near_lines_is_not_copied_once_a_block(spark, monkeypatch):
+    rng = random.Random(7)
+    pool = prose(rng, 1300).split()
+    docs = frame(spark, [(k, " ".join(pool[2 * k : 2 * k + 40])) for k in range(600)])
+    met = []
+
+    def counted(df, keys, *rest):
+        met.append(df.select("node", *keys).toPandas())
+        return cluster.grouped(df, keys, *rest)
+
+    monkeypatch.setattr(line_dedup, "grouped", counted)
+    want, got = (sorted(tuple(r) for r in line_dedup.repeated_lines(docs, block=block).collect()) for block in (32_768, 16))
+    whole, dealt = met
+    assert want and got == want
+    # all lines are one group, of 38 blocks
+    assert whole.groupby(list(whole.columns[1:])).size().tolist() == [whole["node"].nunique()] and whole["node"].nunique() > 550
+    assert len(dealt) < 20 * whole["node"].nunique()
+
+
 def test_line_dedup_drops_copies_of_short_lines_and_of_lines_without_blanks(spark):
     chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
     texts = [(1, f"All rights reserved.\n{chinese}\nthe end"), (2, f"the end\nall rights reserved\n{chinese}"), (3, chinese[:8])]
