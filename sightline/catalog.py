@@ -122,7 +122,7 @@ def gallery_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieval_rerank")
 def retrieval_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.rerank(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), k1=10, k2=3))
+    return rounded(retrieval.rerank(views.queries(spark, sf_dir), views.gallery(spark, sf_dir), k1=10, k2=3, max_entries=None))
 
 
 @query("vector_distances", f"WITH {REID} SELECT q.query_id, g.entry_id, round(list_dot_product(q.vector, g.vector), 6) AS cosine, round(1 - list_dot_product(q.vector, g.vector), 6) AS cosine_distance, round(sqrt(greatest(0, list_dot_product(q.vector, q.vector) + list_dot_product(g.vector, g.vector) - 2 * list_dot_product(q.vector, g.vector))), 5) AS euclidean FROM queries q JOIN gallery g ON q.identity = g.identity WHERE q.query_id <> g.entry_id")

@@ -228,6 +228,26 @@ def test_rerank_of_copies_makes_no_pairs(spark):
     assert len(got) == want.size and all(got[100 + a, 106 + b] == pytest.approx(want[a, b], abs=1e-9) for a in range(6) for b in range(36))
 
 
+def test_the_rerank_query_takes_tables_of_any_size(spark, tmp_path, monkeypatch):
+    from sightline import catalog
+
+    rng = np.random.default_rng(13)
+    x = unit_rows(rng, 60)
+    spark.createDataFrame([(k, [float(v) for v in r], k % 4) for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    # the default guard of the operator, as if the table were beyond it
+    monkeypatch.setitem(retrieval.rerank.__kwdefaults__, "max_entries", 50)
+    made = catalog.QUERIES["retrieval_rerank"](spark, str(tmp_path))
+    want = rerank_plainly(x[::20], x, 10, 3, 0.3)
+    got = {(r["query_id"], r["entry_id"]): r["distance"] for r in made.collect()}
+    assert len(got) == 180 and all(got[20 * a, b] == pytest.approx(want[a, b], abs=1e-6) for a in range(3) for b in range(60))
+
+
+def test_the_lowest_values_of_a_row_are_those_of_a_stable_sort():
+    rng = np.random.default_rng(14)
+    for row in (rng.integers(0, 9, 300) / 8, rng.normal(size=300), np.zeros(300), rng.normal(size=5)):
+        assert retrieval._first(row, 11).tolist() == np.argsort(row, kind="stable")[:11].tolist()
+
+
 def test_ranking_by_products_equals_ranking_over_pairs(spark):
     rng = np.random.default_rng(10)
     x = unit_rows(rng, 60).round(2)  # ties
